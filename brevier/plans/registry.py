@@ -1,0 +1,6 @@
+"""Registered queries over the star-schema and document tables, with their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
