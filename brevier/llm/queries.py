@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brevier.llm.common import held_out
+from brevier.llm.decontaminate import contaminated_pairs
+from brevier.llm.language_id import identify, train
+from brevier.llm.packing import pack_documents
 from brevier.llm.simhash import near_duplicate_groups
 from brevier.llm.substring_dedup import substring_dedup
 
@@ -13,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words kept after removal of repeated 20-word windows, as counts and a digest."""
     kept = substring_dedup(table(spark, sf_dir, "documents"), window=20)
@@ -21,6 +31,25 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; learnt from the two thirds whose remainder is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, train(docs, ~held_out("doc_id", 3, 1)))
+    return found.select(
+        F.col("id").alias("doc_id"), held_out("id", 3, 1).alias("held_out"), "lang_pred", "score", "bits"
+    )
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it holds, whole or in reordered parts."""
+    return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 4096 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     groups = near_duplicate_groups(table(spark, sf_dir, "documents"), shingle=3, seed=42, max_bits=2)
@@ -33,6 +62,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_language_id": op3_language_id,
+    "op4_decontamination": op4_decontamination,
+    "op6_packing": op6_packing,
     "op8_simhash": op8_simhash,
 }
 

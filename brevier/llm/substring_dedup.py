@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Odd multipliers of the two window hashes.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -164,6 +165,7 @@ def repeated_windows(
     window: int,
     docs_per_group: int,
     keys_per_range: int,
+    keep: tuple[str, ...] = (),
 ):
     """The dealt documents and, for each group and level, a flag for each of its distinct hashes."""
     spark = docs.sparkSession
@@ -172,14 +174,16 @@ def repeated_windows(
     parts = max(1, math.ceil(groups * docs_per_group * 100 / keys_per_range))
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     width = max(1, min(groups, max(shuffle, groups // 8)))
+    others = [F.col(c).alias(f"__keep_{c}") for c in keep]
     dealt = docs.select(
         F.col(id_col).cast("long").alias("id"),
-        F.col(text_col).alias("text"),
+        F.col(text_col).alias("__text"),
+        *others,
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(groups)).cast("int").alias("grp"),
     ).repartition(width, "grp")
 
     def halves(key, table):
-        level = Level(table["id"].combine_chunks(), table["text"].combine_chunks(), window)
+        level = Level(table["id"].combine_chunks(), table["__text"].combine_chunks(), window)
         many = level.counts > 1
         return sent_table(
             [
@@ -207,7 +211,7 @@ def repeated_windows(
     def wholes(key, texts, back):
         if not texts.num_rows:
             return sent_table([])
-        level = Level(texts["id"].combine_chunks(), texts["text"].combine_chunks(), window)
+        level = Level(texts["id"].combine_chunks(), texts["__text"].combine_chunks(), window)
         keys, check, first, _ = level.distinct(level.candidates(packed_flags(back, 1)))
         owner = level.ids[np.searchsorted(np.cumsum(level.sizes), first, side="right")] if len(first) else first
         return sent_table(
@@ -249,23 +253,28 @@ def substring_dedup(
     window: int = 20,
     docs_per_group: int = 1000,
     keys_per_range: int = 2_000_000,
+    keep: tuple[str, ...] = (),
+    verbatim: bool = False,
 ) -> DataFrame:
-    """(id, n_words, n_removed, kept_text) for each row of docs.
+    """(id, n_words, n_removed, kept_text, *keep) for each row of docs.
 
     A word goes if a window of `window` words (even) covers it whose word sequence also starts earlier: in a
     document with a smaller id, or earlier in the same one. Windows are judged on the input. kept_text has
     the kept words joined by one space. A null text has no words; documents shorter than a window keep all;
     rows that share an id are taken one after the other; null ids come last. Sequences are equal if 96 bits
-    of two independent hashes are.
+    of two independent hashes are. With verbatim, a text that loses nothing comes back as it was, null included.
     """
     if window < 2 or window % 2:
         raise ValueError("window must be even")
-    dealt, back, final, width = repeated_windows(docs, id_col, text_col, window, docs_per_group, keys_per_range)
+    dealt, back, final, width = repeated_windows(docs, id_col, text_col, window, docs_per_group, keys_per_range, keep)
+    held = dealt.select(*[F.col(f"__keep_{c}").alias(c) for c in keep]).schema.fields
+    names = [f.name for f in held]
+    arrow = to_arrow_schema(dealt.select(*[F.col(f"__keep_{c}").alias(c) for c in keep]).schema)
 
-    def keep(key, texts, flags):
+    def keep_words(key, texts, flags):
         if not texts.num_rows:
-            return pa.table({"id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_text": pa.array([], pa.string())})
-        level = Level(texts["id"].combine_chunks(), texts["text"].combine_chunks(), window)
+            return pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), *[arrow.field(c) for c in names]]).empty_table()
+        level = Level(texts["id"].combine_chunks(), texts["__text"].combine_chunks(), window)
         places = level.candidates(packed_flags(flags, 1))
         keys, _, first, number = level.distinct(places)
         gone = packed_flags(flags, 2)
@@ -273,13 +282,13 @@ def substring_dedup(
         marks = np.zeros(len(level.full), bool)
         marks[bad] = True
         n_words, n_removed, kept, at = [], [], [], 0
-        for words, size in zip(level.words, level.sizes, strict=True):
+        for row, words, size in zip(level.order, level.words, level.sizes, strict=True):
             own = marks[at : at + size]
             at += size
             n_words.append(len(words))
             if not own.any():
                 n_removed.append(0)
-                kept.append(b" ".join(words))
+                kept.append(texts["__text"][row].as_py() if verbatim else b" ".join(words).decode("utf-8", "replace"))
                 continue
             step = np.zeros(len(words) + 1, np.int64)
             starts = np.flatnonzero(own)
@@ -287,13 +296,14 @@ def substring_dedup(
             np.add.at(step, starts + window, -1)
             stay = np.cumsum(step[:-1]) == 0
             n_removed.append(int(len(words) - stay.sum()))
-            kept.append(b" ".join([words[i] for i in np.flatnonzero(stay)]))
+            kept.append(b" ".join([words[i] for i in np.flatnonzero(stay)]).decode("utf-8", "replace"))
         return pa.table(
             {
                 "id": texts["id"].combine_chunks().take(pa.array(level.order)),
                 "n_words": pa.array(n_words, pa.int64()),
                 "n_removed": pa.array(n_removed, pa.int64()),
-                "kept_text": pa.array([k.decode("utf-8", "replace") for k in kept], pa.string()),
+                "kept_text": pa.array(kept, pa.string()),
+                **{c: texts[f"__keep_{c}"].combine_chunks().take(pa.array(level.order)) for c in names},
             }
         )
 
@@ -301,5 +311,5 @@ def substring_dedup(
     return (
         dealt.groupBy("grp")
         .cogroup(flags.groupBy("grp"))
-        .applyInArrow(keep, "id long, n_words long, n_removed long, kept_text string")
+        .applyInArrow(keep_words, ", ".join(["id long, n_words long, n_removed long, kept_text string", *[f"`{f.name}` {f.dataType.simpleString()}" for f in held]]))
     )
