@@ -8,9 +8,23 @@ from pyspark.sql import functions as F
 from brevier.llm.common import held_out
 from brevier.llm.decontaminate import contaminated_pairs
 from brevier.llm.language_id import identify, train
+from brevier.llm.licenses import license_matches
+from brevier.llm.line_quality import quality_rules
 from brevier.llm.packing import pack_documents
 from brevier.llm.simhash import near_duplicate_groups
 from brevier.llm.substring_dedup import substring_dedup
+from brevier.llm.toxicity import score, train as train_toxicity
+from brevier.llm.url_filter import filter_urls
+from brevier.llm.warc import read_records, write_archives
+
+URL_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+TOXIC_FROM = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +45,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's URL."""
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; learnt from the two thirds whose remainder is not 1."""
     docs = table(spark, sf_dir, "documents")
@@ -45,11 +64,24 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of every document and whether it is kept once its host's frequent lines are gone."""
+    return quality_rules(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in sequences of 4096 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back, by byte ranges, from the archives that it was written to."""
+    index = write_archives(table(spark, sf_dir, "pages"))
+    return read_records(index, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     groups = near_duplicate_groups(table(spark, sf_dir, "documents"), shingle=3, seed=42, max_bits=2)
@@ -60,12 +92,34 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences found in each document."""
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; learnt from the labels whose remainder is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out("id", 4, 2))
+    return score(docs, model).select(
+        F.col("id").alias("doc_id"),
+        held_out("id", 4, 2).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= TOXIC_FROM, 1).otherwise(0).alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_url_filter": op2_url_filter,
     "op3_language_id": op3_language_id,
     "op4_decontamination": op4_decontamination,
+    "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
+    "op7_warc": op7_warc,
     "op8_simhash": op8_simhash,
+    "op9_license_scan": op9_license_scan,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
