@@ -1,6 +1,582 @@
-"""Registered queries over the star-schema and document tables, with their SQL."""
+"""Registered queries over the star-schema and document tables, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brevier.functions import dates as D
+from brevier.functions import text as T
+from brevier.operators import dashboard as B
+from brevier.operators import html as H
+from brevier.operators import prompts as P
+from brevier.operators import rules as R
+from brevier.operators import stats as S
+from brevier.operators.dedupe import greedy_distinct, not_in_inventory, outcomes
+from brevier.operators.merge import clean_actions, fill_defaults, running_number
+from brevier.operators.tokens import sign_token, verify_token
+from brevier.plans.demo import DEMO
+from brevier.sources.feeds import first_source, queries_from
+from brevier.streaming import ratelimit, sse
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+RUN_DATE = "2024-01-20"
+CATEGORIES = ["competitor", "tech", "market", "brand", "finance"]
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def has_word(*words: str, column: str = "text") -> str:
+    """SQL for: the column has any of the words, by Unicode boundaries."""
+    edge = r"[^\p{L}\p{N}_]"
+    return "regexp_matches(" + column + f", '(?is)(^|{edge})({'|'.join(words)})($|{edge})')"
+
+
+def has(*parts: str, column: str = "text") -> str:
+    return "regexp_matches(" + column + f", '(?is)({'|'.join(parts)})')"
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as articles: language and source as the title, the whole text as the summary."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(
+        "doc_id", F.concat_ws(" ", "lang", "source").alias("title"), "source", F.col("text").alias("summary"), "lang"
+    ).withColumn("brand", R.detect_brand(DEMO, R.body("title", "summary")))
+
+
+# The same in SQL: b is the text that the rules read.
+DOCS_SQL = f"""
+WITH base AS (SELECT doc_id, lang, source, concat_ws(' ', lang, source) AS title, text AS summary,
+                     concat(concat_ws(' ', lang, source), ' ', coalesce(text, '')) AS b FROM documents),
+branded AS (SELECT *, CASE
+    WHEN {has_word("apache license", column="b")} THEN 'Apache'
+    WHEN {has("gnu general public license", column="b")} THEN 'GNU'
+    WHEN {has_word("idiot", "moron", column="b")} THEN 'Idiom'
+    WHEN {has_word("trash", column="b")} THEN 'Trash'
+    WHEN {has_word("sich", column="b")} THEN 'Sich'
+    WHEN {has_word("pour", column="b")} THEN 'Pour'
+    WHEN {has_word("con", column="b")} THEN 'Con'
+    WHEN {has("mit license", column="b")} THEN 'Mit' END AS brand FROM base),
+classed AS (SELECT *, CASE
+    WHEN {has_word("worthless", "loser", column="b")} OR contains(lower(b), '10-q') THEN 'finance'
+    WHEN brand IN ('Apache', 'Mit') THEN 'brand'
+    WHEN brand IS NOT NULL THEN 'competitor'
+    WHEN contains(lower(b), 'thing') OR contains(lower(b), 'sch') THEN 'tech' ELSE 'market' END AS category,
+  CASE WHEN {has_word("which", "nicht", column="b")} THEN 'cardio'
+       WHEN {has_word("from", "pas", column="b")} THEN 'strength'
+       WHEN {has_word("with", "para", column="b")} THEN 'wearable' ELSE 'other' END AS product_category FROM branded),
+judged AS (SELECT *, CASE
+    WHEN contains(lower(trim(source)), 'src13') THEN 'marketplace_spam'
+    WHEN {has("cc by-nc", column="b")} THEN 'marketplace_spam'
+    WHEN brand IN ('Idiom', 'Trash') AND {has("pathetic", column="b")} THEN 'celebrity_noise'
+    WHEN brand = 'Idiom' AND NOT regexp_matches(b, '(?i)that.*with') THEN 'brand_ambiguous_no_context'
+    WHEN brand = 'Trash' AND NOT {has("this", column="b")} THEN 'brand_ambiguous_no_context'
+    WHEN {has("all rights reserved", column="b")} OR {has_word("scum", column="b")} THEN 'cross_industry_noise'
+    WHEN {has_word("stupid", column="b")} AND NOT {has_word("clown", column="b")} THEN 'apparel_noise'
+    WHEN brand IS NULL AND {has_word("disgusting", column="b")} THEN 'off_topic'
+    WHEN brand IS NULL AND NOT {has_word("that", "der", "les", "que", column="b")} THEN 'no_relevance' END AS reason
+  FROM classed)
+"""
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir)
+    return rows.withColumns(
+        {
+            "category": R.classify(DEMO, "title", "summary", "brand"),
+            "product_category": R.classify_product(DEMO, "title", "summary"),
+        }
+    )
+
+
+def dim_sql(names: list[str], column: str) -> str:
+    return "(VALUES " + ", ".join(f"({k}, '{n}')" for k, n in enumerate(names)) + f") AS d(ord, {column})"
+
+
+@query(f"""{DOCS_SQL}, counts AS (SELECT category, count(*) AS cnt FROM classed GROUP BY 1)
+SELECT d.category, coalesce(cnt, 0)::BIGINT AS cnt FROM {dim_sql(CATEGORIES, "category")} LEFT JOIN counts USING (category)""")
+def stats_by_category(spark, sf_dir):
+    """Documents by category, all five present."""
+    return S.zero_filled(classified(spark, sf_dir), "category", CATEGORIES).select("category", "cnt")
+
+
+PART_BRANDS = ["Brand#11", "Brand#12", "Brand#23", "Brand#55", "Brand#99"]
+
+
+@query(f"""SELECT coalesce(d.brand, p.p_brand) AS brand, coalesce(cnt, 0)::BIGINT AS cnt FROM {dim_sql(PART_BRANDS, "brand")}
+FULL OUTER JOIN (SELECT p_brand, count(*) AS cnt FROM part WHERE p_brand <> '' GROUP BY 1) p ON p.p_brand = d.brand""")
+def stats_by_brand_zero_filled(spark, sf_dir):
+    """Parts by brand: listed brands with zeros, others as they come."""
+    return S.zero_filled(table(spark, sf_dir, "part").withColumnRenamed("p_brand", "brand"), "brand", PART_BRANDS).select("brand", "cnt")
+
+
+@query("SELECT source, count(*) AS cnt FROM documents GROUP BY 1")
+def stats_by_source(spark, sf_dir):
+    return S.counts(table(spark, sf_dir, "documents"), "source")
+
+
+TYPES = ["click", "purchase", "refund"]
+
+
+@query(f"""SELECT coalesce(d.event_type, e.event_type) AS event_type, coalesce(cnt, 0)::BIGINT AS cnt FROM {dim_sql(TYPES, "event_type")}
+FULL OUTER JOIN (SELECT event_type, count(*) AS cnt FROM events GROUP BY 1) e ON e.event_type = d.event_type""")
+def stats_by_source_type(spark, sf_dir):
+    return S.zero_filled(table(spark, sf_dir, "events"), "event_type", TYPES).select("event_type", "cnt")
+
+
+@query(f"""{DOCS_SQL}, counts AS (SELECT product_category, count(*) AS cnt FROM classed GROUP BY 1)
+SELECT d.product_category, coalesce(cnt, 0)::BIGINT AS cnt FROM {dim_sql(B.PRODUCTS, "product_category")} LEFT JOIN counts USING (product_category)""")
+def stats_by_product_category(spark, sf_dir):
+    rows = classified(spark, sf_dir).withColumn("product_category", R.effective_product(DEMO, "product_category"))
+    return S.zero_filled(rows, "product_category", B.PRODUCTS).select("product_category", "cnt")
+
+
+def events(spark, sf_dir):
+    return table(spark, sf_dir, "events").withColumn("date", F.date_format("ts", "yyyy-MM-dd"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS count FROM events GROUP BY 1")
+def timeline_daily(spark, sf_dir):
+    return S.timeline(events(spark, sf_dir))
+
+
+@query(f"""SELECT count(*) AS total, count(*) FILTER (ts::DATE = DATE '{RUN_DATE}') AS today,
+count(*) FILTER (ts::DATE BETWEEN DATE '{RUN_DATE}' - 6 AND DATE '{RUN_DATE}') AS week, count(DISTINCT event_type) AS sources FROM events""")
+def kpi_cards(spark, sf_dir):
+    return B.kpis(events(spark, sf_dir), "date", "event_type", RUN_DATE)
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS date FROM events ORDER BY date DESC, event_id LIMIT 3")
+def latest_topk(spark, sf_dir):
+    return B.latest(events(spark, sf_dir), "date", "event_id").select("event_id", "date")
+
+
+@query("""SELECT source, count(*) AS cnt, min(doc_id) AS first FROM documents WHERE source <> '' GROUP BY 1
+ORDER BY cnt DESC, first LIMIT 8""")
+def source_top8(spark, sf_dir):
+    return B.top_sources(table(spark, sf_dir, "documents"), "doc_id")
+
+
+SOLD = "SELECT p_brand AS brand, count(*) AS cnt, min(l_orderkey) AS first FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1"
+
+
+def sold(spark, sf_dir):
+    """Order lines by brand of the part."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"))
+    return B.first_seen_counts(lines.join(parts, "l_partkey"), "brand", "l_orderkey")
+
+
+@query(f"""WITH t AS (SELECT * FROM ({SOLD}) WHERE cnt > 0 ORDER BY cnt DESC, first, brand LIMIT 8)
+SELECT * FROM t WHERE (SELECT count(*) FROM t) >= 3""")
+def brand_radar_top8(spark, sf_dir):
+    return B.radar(sold(spark, sf_dir), "brand", "first")
+
+
+@query(f"""WITH t AS ({SOLD}), top AS (SELECT brand, cnt, round(cnt * 100.0 / (SELECT sum(cnt) FROM t), 4) AS share FROM t
+ORDER BY cnt DESC, first, brand LIMIT 8)
+SELECT brand, cnt, share, greatest(6.0, round(cnt * 100.0 / (SELECT max(cnt) FROM top), 4)) AS bar FROM top""")
+def brand_rank_share(spark, sf_dir):
+    return B.with_bar(B.with_share(sold(spark, sf_dir), "brand", "first")).select("brand", "cnt", "share", "bar")
+
+
+@query("""WITH daily AS (SELECT user_id, ts::DATE AS day, count(*) AS cnt, min(event_id) AS first FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2),
+top AS (SELECT user_id, row_number() OVER (ORDER BY sum(cnt) DESC, min(first)) AS rank FROM daily GROUP BY 1 ORDER BY 2 LIMIT 6),
+chosen AS (SELECT * FROM daily JOIN top USING (user_id)),
+axis AS (SELECT (m - i)::DATE AS day FROM (SELECT max(ts::DATE) AS m FROM events), (SELECT unnest(range(14))::INT AS i))
+SELECT top.rank::INT AS rank, top.user_id, strftime(axis.day, '%Y-%m-%d') AS day, coalesce(c.cnt, 0)::BIGINT AS cnt,
+round(least(1.0, coalesce(c.cnt, 0)::DOUBLE / (SELECT max(cnt) FROM chosen)), 6) AS intensity
+FROM top CROSS JOIN axis LEFT JOIN chosen c ON c.user_id = top.user_id AND c.day = axis.day""")
+def brand_heat_grid(spark, sf_dir):
+    return B.heat_grid(events(spark, sf_dir), "user_id", "date", "event_id")
+
+
+@query(f"""SELECT coalesce(d.event_type, e.event_type) AS event_type, coalesce(cnt, 0)::BIGINT AS cnt FROM {dim_sql(["view", "click", "none"], "event_type")}
+FULL OUTER JOIN (SELECT event_type, count(*) AS cnt FROM events WHERE event_type <> '' GROUP BY 1) e ON e.event_type = d.event_type""")
+def tracked_dim_full_outer(spark, sf_dir):
+    return B.tracked(events(spark, sf_dir), "event_type", ["view", "click", "none"]).select("event_type", "cnt")
+
+
+@query(f"{DOCS_SQL} SELECT doc_id, category FROM classed WHERE category <> 'finance'")
+def article_filter(spark, sf_dir):
+    return B.in_category(classified(spark, sf_dir), "all").select("doc_id", "category")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', text, lang, source)), 'license')")
+def article_search(spark, sf_dir):
+    return B.search(table(spark, sf_dir, "documents"), "License", ["text", "lang", "source"]).select("doc_id")
+
+
+@query(f"""{DOCS_SQL}, counts AS (SELECT product_category AS facet, count(*) AS cnt FROM classed WHERE category <> 'finance' GROUP BY 1
+UNION ALL SELECT 'all', count(*) FROM classed WHERE category <> 'finance')
+SELECT d.facet, coalesce(cnt, 0)::BIGINT AS cnt FROM {dim_sql(["all", *B.PRODUCTS], "facet")} LEFT JOIN counts USING (facet)""")
+def facet_counts(spark, sf_dir):
+    return B.facets(B.in_category(classified(spark, sf_dir), "all")).select("facet", "cnt")
+
+
+@query("""SELECT o_orderkey, (SELECT count(*) FROM orders) AS total, least(20, (SELECT count(*) FROM orders))::BIGINT AS shown,
+((SELECT count(*) FROM orders) - 20)::BIGINT AS remaining FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20""")
+def article_page(spark, sf_dir):
+    shown = B.page(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), 20, F.desc("o_orderdate"), "o_orderkey")
+    return shown.select("o_orderkey", "total", "shown", "remaining")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def favorites_semi(spark, sf_dir):
+    chosen = table(spark, sf_dir, "labels").where("quality = 1")
+    return B.favourites(table(spark, sf_dir, "documents"), chosen, "doc_id").select("doc_id", "source")
+
+
+MEMO = [("AUTOMOBILE", "coches"), ("BUILDING", "obras"), ("FURNITURE", "muebles")]
+
+
+@query("""SELECT c_custkey, coalesce(m.t, c_mktsegment, '') AS segment FROM customer
+LEFT JOIN (VALUES ('AUTOMOBILE', 'coches'), ('BUILDING', 'obras'), ('FURNITURE', 'muebles')) m(s, t) ON s = c_mktsegment""")
+def translation_lookup(spark, sf_dir):
+    memo = S.dimension(spark, [a for a, _ in MEMO], "text").withColumn(
+        "translated", F.element_at(F.create_map(*[F.lit(x) for p in MEMO for x in p]), F.col("text"))
+    )
+    rows = B.translated(table(spark, sf_dir, "customer"), memo, "c_mktsegment")
+    return rows.select("c_custkey", T.localised("c_mktsegment", "c_mktsegment_translated").alias("segment"))
+
+
+TITLE = r"regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
+STRIP = r"regexp_replace({}, '^[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+|[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+$', '', 'g')"
+
+
+def page_titles(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"))
+
+
+@query(rf"""SELECT page_id, regexp_replace(regexp_replace({STRIP.format(f"lower({TITLE})")}, '[^\p{{L}}\p{{N}}_\s\x0B\x1C-\x1F\p{{Z}}]', '', 'g'),
+'[\s\x0B\x1C-\x1F\p{{Z}}]+', ' ', 'g') AS title_key FROM pages""")
+def norm_title(spark, sf_dir):
+    return page_titles(spark, sf_dir).select("page_id", T.title_key("title").alias("title_key"))
+
+
+@query("SELECT page_id, lower(regexp_replace(split_part(url, '?', 1), '/+$', '')) AS url_key FROM pages")
+def norm_url(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.url_key("url").alias("url_key"))
+
+
+@query(r"""WITH t AS (SELECT c_custkey, c_name || ' - ' || c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN ' - ' ELSE '' END AS t FROM customer),
+p AS (SELECT *, trim(regexp_extract(trim(t), '(?s)^(.*) - (.*)$', 1)) AS a, trim(regexp_extract(trim(t), '(?s)^(.*) - (.*)$', 2)) AS b FROM t)
+SELECT c_custkey, CASE WHEN a <> '' AND b <> '' THEN a ELSE trim(t) END AS title, CASE WHEN a <> '' AND b <> '' THEN b ELSE 'Unknown' END AS source FROM p""")
+def split_title_source(spark, sf_dir):
+    end = F.when(F.col("c_custkey") % 3 == 0, " - ").otherwise("")
+    made = table(spark, sf_dir, "customer").select(
+        "c_custkey", T.title_and_source(F.concat("c_name", F.lit(" - "), "c_mktsegment", end)).alias("p")
+    )
+    return made.select("c_custkey", "p.title", "p.source")
+
+
+@query(r"""SELECT page_id, replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), 'www.', '') AS host,
+regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages""")
+def url_host_path(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.url_host("url").alias("host"), T.url_path("url").alias("path"))
+
+
+@query(f"SELECT doc_id, {has_word('idiot', 'stupid', 'sich')} OR contains(lower(text), 'mit license') AS hit FROM documents")
+def keyword_any(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.has_keyword("text", ["idiot", "stupid", "sich", "mit license"]).alias("hit"))
+
+
+@query("SELECT doc_id, contains(lower(text), 'ai') OR contains(lower(text), 'vr') AS hit FROM documents")
+def keyword_substring(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.contains_any(F.lower("text"), ["ai", "vr"]).alias("hit"))
+
+
+@query(f"SELECT doc_id, {has_word('stupid')} AND NOT {has_word('clown')} AS hit FROM documents")
+def and_not_rule(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", R.is_apparel(DEMO, "text").alias("hit"))
+
+
+@query(f"{DOCS_SQL} SELECT doc_id, brand FROM branded")
+def ordered_first_match(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", "brand")
+
+
+def reasons(spark, sf_dir):
+    rows = classified(spark, sf_dir)
+    return rows.withColumn("reason", R.exclusion_reason(DEMO, "title", "summary", "brand", "source"))
+
+
+@query(f"{DOCS_SQL} SELECT doc_id, reason FROM judged")
+def exclusion_reason(spark, sf_dir):
+    return reasons(spark, sf_dir).select("doc_id", "reason")
+
+
+@query(f"{DOCS_SQL} SELECT coalesce(reason, 'kept') AS reason, count(*) AS cnt FROM judged GROUP BY 1")
+def exclusion_histogram(spark, sf_dir):
+    return S.counts(reasons(spark, sf_dir).fillna("kept", ["reason"]), "reason")
+
+
+@query(f"SELECT doc_id, NOT {has_word('you')} AND {has_word('this')} AS is_news FROM documents")
+def official_news_gate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", R.is_official_news(DEMO, "text").alias("is_news"))
+
+
+@query(r"""SELECT page_id, lower(t) IN ('the', 'der') OR (length(t) < 22 AND len(list_filter(string_split(t, ' '), lambda w: w <> '')) <= 3) AS is_noun
+FROM (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\s+', ' ', 'g')) AS t FROM pages)""")
+def category_noun(spark, sf_dir):
+    return page_titles(spark, sf_dir).select("page_id", R.is_category_title(DEMO, "title").alias("is_noun"))
+
+
+@query(r"""SELECT page_id, rtrim(lower(p), '/') NOT IN ('', '/en') AND NOT regexp_matches(p, '(?i)/(tag|page|search)(/|$|\.html)')
+AND (starts_with(rtrim(lower(p), '/'), '/en/') OR (regexp_matches(p, '(?i)/(en|fr|de)/') AND length(trim(regexp_extract(p, '(?is)^.*?/(en|fr|de)/(.*)$', 2), '/')) >= 3)) AS is_article
+FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p FROM pages)""")
+def path_is_article(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", R.is_article_path(DEMO, F.lit("/en/"), T.url_path("url")).alias("is_article"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN year(d) >= 2000 AND d < DATE '2007-01-01' THEN strftime(d, '%Y-%m-%d') END AS date
+FROM (SELECT o_orderkey, (o_orderdate + INTERVAL 10 YEAR)::DATE AS d FROM orders)""")
+def normalize_dates(spark, sf_dir):
+    """Order dates, ten years on, in four shapes, read back; those after the run date are none."""
+    shape, day = F.pmod(F.col("o_orderkey"), F.lit(4)), F.expr("o_orderdate + INTERVAL 10 YEAR")
+    made = (
+        F.when(shape == 0, F.date_format(day, "yyyy-M-d"))
+        .when(shape == 1, F.date_format(day, "MMMM d, yyyy"))
+        .when(shape == 2, F.date_format(day, "d MMM yyyy"))
+        .otherwise(F.date_format(day, "M/d/yyyy"))
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.normalise_date(made, "2006-12-31").alias("date"))
+
+
+@query(f"""SELECT event_id, strftime(ts, '%Y-%m-%d') < strftime(DATE '{RUN_DATE}' - 10, '%Y-%m-%d') AS too_old,
+ts::DATE = DATE '{RUN_DATE}' AS today, ts::DATE BETWEEN DATE '{RUN_DATE}' - 6 AND DATE '{RUN_DATE}' AS week FROM events""")
+def age_cutoff(spark, sf_dir):
+    return events(spark, sf_dir).select(
+        "event_id", D.is_too_old("date", RUN_DATE, 10).alias("too_old"), D.is_same_day("date", RUN_DATE).alias("today"),
+        D.is_within_days("date", RUN_DATE, 7).alias("week"),
+    )
+
+
+@query("SELECT event_id, strftime(ts AT TIME ZONE 'UTC' AT TIME ZONE 'UTC', '%Y-%m-%d') AS date FROM events")
+def mail_dates(spark, sf_dir):
+    """Event times written as mail dates and read back as UTC dates."""
+    local = F.col("ts") - F.expr("INTERVAL 5 HOURS")
+    mail = F.concat(F.lit("Mon, "), F.date_format(local, "dd MMM yyyy HH:mm:ss"), F.lit(" EST"))
+    return table(spark, sf_dir, "events").select("event_id", D.mail_date(mail).alias("date"))
+
+
+KEYED = """SELECT event_id AS seq, 'u' || (event_id * 7919 % 1500) AS url_key, 't' || (event_id * 104729 % 1900) AS title_key FROM events"""
+
+
+def keyed_events(spark, sf_dir):
+    key = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        key.alias("seq"), F.concat(F.lit("u"), key * 7919 % 1500).alias("url_key"), F.concat(F.lit("t"), key * 104729 % 1900).alias("title_key")
+    )
+
+
+def inventory(spark, sf_dir):
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(
+        F.concat(F.lit("u"), key % 4000).alias("url_key"), F.concat(F.lit("t"), key % 5000).alias("title_key")
+    )
+
+
+INVENTORY = "SELECT 'u' || (o_orderkey % 4000) AS url_key, 't' || (o_orderkey % 5000) AS title_key FROM orders WHERE o_orderstatus = 'P'"
+
+
+@query(f"""SELECT * FROM ({KEYED}) WHERE url_key NOT IN (SELECT url_key FROM ({INVENTORY})) AND title_key NOT IN (SELECT title_key FROM ({INVENTORY}))""")
+def anti_join_inventory(spark, sf_dir):
+    return not_in_inventory(keyed_events(spark, sf_dir), inventory(spark, sf_dir))
+
+
+@query()
+def greedy_or_dedupe(spark, sf_dir):
+    """Rows that a sequential pass over two keys accepts; tests hold it against the sequential pass."""
+    return greedy_distinct(keyed_events(spark, sf_dir))
+
+
+@query()
+def merge_outcomes(spark, sf_dir):
+    """What becomes of each row: duplicate of the inventory or of an accepted row, left out, or accepted."""
+    rows = keyed_events(spark, sf_dir).withColumn("reason", F.when(F.col("seq") % 11 == 0, "no_relevance"))
+    return outcomes(rows, inventory(spark, sf_dir)).select("seq", "outcome")
+
+
+@query("SELECT doc_id, (5000 + row_number() OVER (ORDER BY doc_id))::BIGINT AS id FROM documents WHERE lang = 'en'")
+def merge_stable_ids(spark, sf_dir):
+    """Ids that go on from a greatest id in order of arrival."""
+    rows = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
+    numbered = running_number(rows, "doc_id", "n", per_bucket=200)
+    return numbered.select("doc_id", (F.lit(5000) + F.col("n")).cast("long").alias("id"))
+
+
+@query(f"SELECT count(*) AS added FROM ({KEYED}) WHERE false")
+def merge_idempotent(spark, sf_dir):
+    """Rows that a second merge of the same items adds: none."""
+    rows = keyed_events(spark, sf_dir)
+    return not_in_inventory(rows, rows).agg(F.count("*").alias("added"))
+
+
+@query(f"""{DOCS_SQL}, c AS (SELECT *, CASE source WHEN 'src1' THEN 'official' WHEN 'src2' THEN 'product' ELSE 'google_news' END AS st FROM classed)
+SELECT doc_id, CASE
+  WHEN st = 'official' AND NOT (NOT {has_word("you", column="title")} AND {has_word("this", column="title")}) THEN 'removed_howto'
+  WHEN st = 'product' AND brand IS NULL AND {has_word("scum", column="b")} AND NOT {has_word("that", column="b")} THEN 'removed_offtopic'
+  WHEN brand IN ('Idiom', 'Trash') AND {has("pathetic", column="b")} THEN 'removed_celebrity_noise'
+  WHEN brand = 'Idiom' AND NOT regexp_matches(b, '(?i)that.*with') THEN 'removed_brand_ambiguous'
+  WHEN brand = 'Trash' AND NOT {has("this", column="b")} THEN 'removed_brand_ambiguous'
+  WHEN st = 'product' THEN 'product_to_gnews' ELSE 'keep' END AS action FROM c""")
+def clean_inventory(spark, sf_dir):
+    kinds = F.when(F.col("source") == "src1", "official").when(F.col("source") == "src2", "product").otherwise("google_news")
+    rows = classified(spark, sf_dir).withColumns(
+        {"id": F.col("doc_id"), "url": F.lit("u"), "date": F.lit("2024-01-02"), "source_type": kinds}
+    )
+    return clean_actions(fill_defaults(rows, DEMO, RUN_DATE), DEMO, RUN_DATE).select(F.col("id").alias("doc_id"), "action")
+
+
+@query("""SELECT n_nationkey, place, 'https://news.example/rss?q=' || replace(url_encode(replace(t, '{name}', n_name)), '%2F', '/') AS url
+FROM nation, (VALUES (0, '"{name}" new product'), (1, '{name} launch/start')) v(place, t)""")
+def source_catalog(spark, sf_dir):
+    """Search URLs of each nation's name in each template."""
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("name"))
+    templates = S.dimension(spark, ['"{name}" new product', "{name} launch/start"], "template").select(
+        F.col("ord").alias("place"), "template", F.lit(0).alias("block")
+    )
+    return queries_from(names, templates).select(
+        F.col("ord").alias("n_nationkey"), "place", F.concat(F.lit("https://news.example/rss?q="), T.percent_encode("query")).alias("url")
+    )
+
+
+@query("""WITH i AS (SELECT user_id AS brand, event_type AS kind, event_id, CASE event_type WHEN 'refund' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END AS priority
+FROM events WHERE value > 90), best AS (SELECT brand, min(priority) AS p FROM i GROUP BY 1)
+SELECT b.brand, coalesce(i.kind, 'none') AS kind, i.event_id FROM (SELECT DISTINCT user_id AS brand FROM events) b
+LEFT JOIN (SELECT i.* FROM i JOIN best ON i.brand = best.brand AND i.priority = best.p) i ON i.brand = b.brand""")
+def source_fallback(spark, sf_dir):
+    """Each user's events of the first kind that has any over a value."""
+    rows = table(spark, sf_dir, "events").withColumnRenamed("user_id", "brand")
+    rank = F.when(F.col("event_type") == "refund", 0).when(F.col("event_type") == "purchase", 1).otherwise(2)
+    items = rows.where("value > 90").select("brand", F.col("event_type").alias("kind"), "event_id", rank.alias("priority"))
+    return first_source(items, rows.select("brand").distinct()).select("brand", "kind", "event_id")
+
+
+@query()
+def html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.clean_html("html").alias("text"))
+
+
+@query()
+def html_links(spark, sf_dir):
+    """All links of the pages, navigation included, as their own links are too short for headlines."""
+    return H.links(table(spark, sf_dir, "pages"), drop_nav=False).select("page_id", "ord", "text", "href")
+
+
+@query()
+def html_published_date(spark, sf_dir):
+    return H.published_dates(table(spark, sf_dir, "pages"), RUN_DATE).select("page_id", "real_date")
+
+
+@query("SELECT conv_id, turn, coalesce(text, '') || '!' AS reply FROM conversations")
+def json_extract_text(spark, sf_dir):
+    """Turns as the first candidate of a model's reply, and its text."""
+    parts = F.array(F.struct(F.col("text").alias("text")), F.struct(F.lit("!").alias("text")))
+    reply = F.to_json(F.struct(F.array(F.struct(F.struct(parts.alias("parts")).alias("content"))).alias("candidates")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", P.reply_text(reply).alias("reply"))
+
+
+@query("""SELECT '[' || string_agg('{"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}', ',' ORDER BY c_custkey) || ']' AS context
+FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 30)""")
+def context_json(spark, sf_dir):
+    return P.context_json(table(spark, sf_dir, "customer"), "c_custkey", 30, ["c_name", "c_nationkey"])
+
+
+@query("""SELECT string_agg('- [' || strftime(o_orderdate, '%Y-%m-%d') || '] (' || o_orderstatus || '/一般) ' || o_orderpriority || '：' || o_orderkey, chr(10) ORDER BY o_orderkey) AS bullets
+FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 30)""")
+def report_bullets(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_orderstatus").alias("category"),
+        F.lit(None).cast("string").alias("categoryName"), F.lit(None).cast("string").alias("brand"),
+        F.col("o_orderpriority").alias("title"), F.col("o_orderkey").cast("string").alias("summary"),
+    )
+    return P.report_bullets(rows, "o_orderkey")
+
+
+@query("""SELECT doc_id, concat_ws(chr(10), 'Summarise:', 'title: ' || coalesce(lang, ''), 'source: ' || coalesce(source, ''),
+'date: ' || coalesce(n_chars::VARCHAR, ''), 'summary: ' || coalesce(text, '')) AS prompt FROM documents""")
+def summary_prompt(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("lang").alias("title"), "source", F.col("n_chars").alias("date"), F.col("text").alias("summary")
+    )
+    return rows.select("doc_id", P.summary_prompt("Summarise:").alias("prompt"))
+
+
+def turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("ord"), F.col("text").alias("delta"))
+
+
+@query("""SELECT conv_id::VARCHAR AS stream_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS text FROM conversations GROUP BY 1""")
+def sse_fold(spark, sf_dir):
+    """Each conversation's turns as an event stream, folded into one text."""
+    lines = turns(spark, sf_dir).withColumn("line", F.trim(sse.encode_delta("delta", F.lit("m"))))
+    return sse.fold(lines).select("stream_id", "text")
+
+
+@query("""SELECT conv_id::VARCHAR AS stream_id, turn AS ord, string_agg(coalesce(text, ''), '') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS full_text
+FROM conversations""")
+def running_text(spark, sf_dir):
+    return sse.running_text(turns(spark, sf_dir)).select("stream_id", "ord", "full_text")
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT event_id, user_id, k, ms AS start, 1 AS n FROM e WHERE k = 1
+  UNION ALL SELECT e.event_id, e.user_id, e.k, CASE WHEN e.ms - f.start > 86400000 THEN e.ms ELSE f.start END,
+  CASE WHEN e.ms - f.start > 86400000 THEN 1 ELSE f.n + 1 END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
+SELECT event_id, n > 3 AS limited FROM f""")
+def rate_limit_fixed_window(spark, sf_dir):
+    """Events beyond the third of their user in a window of a day that opens with an event."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "event_id")
+    return ratelimit.limited(rows, "user_id", "ts_ms", "event_id", 86_400_000, 3).select("event_id", "limited")
+
+
+@query(f"""{DOCS_SQL}, s AS (SELECT 'category' AS part, category AS key, count(*) AS cnt FROM classed GROUP BY 2
+UNION ALL SELECT 'source', source, count(*) FROM classed GROUP BY 2 UNION ALL SELECT 'total', 'total', count(*) FROM classed
+UNION ALL SELECT 'timeline', '2024-01-02', count(*) FROM classed)
+SELECT part, key, cnt FROM s""")
+def stats_document(spark, sf_dir):
+    """The statistics document of the classified documents, as rows."""
+    rows = classified(spark, sf_dir).withColumns({"date": F.lit("2024-01-02"), "source_type": F.lit("google_news")})
+    doc = S.stats_document(rows, DEMO, RUN_DATE)
+    maps = [doc.select(F.lit(p).alias("part"), F.explode(f"by_{p}").alias("key", "cnt")).where("cnt > 0") for p in ("category", "source")]
+    total = doc.select(F.lit("total").alias("part"), F.lit("total").alias("key"), F.col("total").alias("cnt"))
+    days = doc.select(F.lit("timeline").alias("part"), F.inline("timeline")).toDF("part", "key", "cnt")
+    return maps[0].union(maps[1]).union(total).union(days)
+
+
+@query("""SELECT doc_id, replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM documents""")
+def escape_html(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.escape_html("text").alias("escaped"))
+
+
+@query("""SELECT c_custkey, '{"user":"' || c_name || '","exp":2000}' AS payload FROM customer""")
+def token_round_trip(spark, sf_dir):
+    """Payloads as verified from the tokens that were signed for them."""
+    payload = F.to_json(F.struct(F.col("c_name").alias("user"), F.lit(2000).alias("exp")))
+    signed = table(spark, sf_dir, "customer").select("c_custkey", sign_token(payload, "secret").alias("token"))
+    return signed.select("c_custkey", verify_token("token", "secret", 1000).alias("payload"))
+
+
+@query("SELECT n_nationkey, greatest(2, ceil(length(n_name) / 120.0))::INT AS size, n_name AS text FROM nation")
+def text_chunks(spark, sf_dir):
+    pieces = sse.chunks("n_name")
+    return table(spark, sf_dir, "nation").select(
+        "n_nationkey", F.length(F.get(pieces, F.lit(0))).alias("size"), F.array_join(pieces, "").alias("text")
+    )
