@@ -142,7 +142,7 @@ def train(
                 for order in range(max_order + 1):
                     gram, n = np.unique(grams(buffer, order), return_counts=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(gram)), pa.array(np.full(len(gram), order, np.int32)), pa.array(gram.view(np.int64)), pa.array(n)],
+                        [pa.array([lang] * len(gram), pa.string()), pa.array(np.full(len(gram), order, np.int32)), pa.array(gram.view(np.int64)), pa.array(n)],
                         ["lang", "order", "gram", "n"],
                     )
 
@@ -186,7 +186,7 @@ def identify(
                 for i, k, s, b in zip(chosen, bits.argmin(1), 1 / odds, least, strict=True):
                     langs[i], scores[i], best[i] = model.langs[k], s, b
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(langs), pa.array(scores), pa.array(best), *batch.columns[2:]],
+                [batch.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(best), *batch.columns[2:]],
                 ["id", "lang_pred", "score", "bits", *names],
             )
 

@@ -5,8 +5,8 @@ is to know about how pieces fit, whatever the size of the corpus. The configurat
 way to fill a sequence, a covering row for each length) is solved by multiplicative weights: the price of a
 length starts at the length and falls exponentially with the part of its pieces that is covered; a knapsack
 dynamic program prices out the best configuration, which is used until it has covered a fixed fraction of its
-scarcest length. Solutions are rounded down, and the rest is packed by best-fit decreasing over classes of
-equal sequences. The plan has a bounded number of rows and is broadcast; each piece finds its place from its
+scarcest length. A part of the solution is rounded down and the rest is packed by best-fit decreasing over
+classes of equal sequences; of several parts, none among them, that with the fewest sequences counts. The plan has a bounded number of rows and is broadcast; each piece finds its place from its
 length and its rank among the pieces of that length. Ranks are counted in salted buckets.
 """
 
@@ -229,21 +229,33 @@ def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple
     return done + [x for group in by_room.values() for x in group]
 
 
+#: Parts of the fractional solution that are rounded down; the rest goes to best-fit decreasing, and the best part counts.
+ROUNDINGS = (1.0, 0.75, 0.5, 0.25, 0.0)
+
+
+def rounded(fractional: dict[tuple, float], lengths: np.ndarray, counts: np.ndarray, capacity: int, part: float):
+    """Classes of equal sequences from a part of the fractional solution, rounded down, and best-fit of what is left."""
+    left, classes = counts.copy(), []
+    for config, uses in fractional.items():
+        m = int(part * uses + 1e-9)
+        if m:
+            classes.append((m, [(int(lengths[i]), k) for i, k in config]))
+            for i, k in config:
+                left[i] -= m * k
+    return classes + best_fit(lengths, left, capacity)
+
+
 def packing_plan(histogram: dict[int, int], capacity: int = 4096, fraction: float = 0.5, rounds: int = 400):
     """Where pieces go: arrays (length, first rank, times a sequence, first sequence, offset), and the number of sequences."""
     full = histogram.get(capacity, 0)
     items = sorted((k, n) for k, n in histogram.items() if k < capacity and n)
     lengths, counts = (np.array([x[i] for x in items], np.int64) for i in (0, 1))
-    classes: list[tuple[int, list[tuple[int, int]]]] = [(full, [(capacity, 1)])] if full else []
+    classes: list[tuple[int, list[tuple[int, int]]]] = []
     if len(items):
-        left = counts.copy()
-        for config, uses in solve(lengths, counts, capacity, fraction, rounds).items():
-            m = int(uses + 1e-9)
-            if m:
-                classes.append((m, [(int(lengths[i]), k) for i, k in config]))
-                for i, k in config:
-                    left[i] -= m * k
-        classes += best_fit(lengths, left, capacity)
+        fractional = solve(lengths, counts, capacity, fraction, rounds)
+        classes = min((rounded(fractional, lengths, counts, capacity, part) for part in ROUNDINGS), key=lambda c: sum(m for m, _ in c))
+    if full:
+        classes.append((full, [(capacity, 1)]))
     rank, sequence, rows = defaultdict(int), 0, []
     for m, content in classes:
         offset = 0

@@ -10,6 +10,7 @@ from brevier.llm.decontaminate import contaminated_pairs
 from brevier.llm.language_id import identify, train
 from brevier.llm.licenses import license_matches
 from brevier.llm.line_quality import quality_rules
+from brevier.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from brevier.llm.packing import pack_documents
 from brevier.llm.simhash import near_duplicate_groups
 from brevier.llm.substring_dedup import substring_dedup
@@ -121,5 +122,3 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -204,7 +204,8 @@ def train(
     width = len(voters.names)
     groups = np.array([0] * len(LEXICON) + [1] * len(voters.patterns) + [2] * len(TYPOGRAPHY))
     if not len(rows):
-        return {"patterns": voters.patterns, "groups": groups, "weights": np.zeros(3 * (width + 2) + 2), "model": None}
+        weights = np.append(np.zeros(3 * (width + 2) + 1), -3.0)  # without labels every text is taken to be clean
+        return {"patterns": voters.patterns, "groups": groups, "weights": weights, "model": None}
     counts, sizes = np.stack(rows["counts"].to_numpy()).astype(float), rows["size"].to_numpy(float)
     post, model = label_model(votes_of(counts, sizes), rows["y"].to_numpy(float))
     weights = logistic(features_of(counts, sizes, groups), post)

@@ -1,0 +1,42 @@
+import random
+
+from brevier.llm.decontaminate import contaminated_pairs, decontaminate, tile_pair
+
+ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
+
+
+def test_tiles():
+    a = ITEM.split()
+    assert tile_pair(a, a, 5) == (1, 20)
+    assert tile_pair(a, a[10:] + ["x"] + a[:10], 5) == (2, 20)
+    assert tile_pair(a, a[:4] + ["x"] + a[4:8], 5) == (0, 0)
+    assert tile_pair(a, [], 5) == (0, 0)
+    # A token is covered once, however often the document has it.
+    assert tile_pair(a, a * 3, 5) == (1, 20)
+    # The longest match is marked first; what is left of an overlapping one is marked after it.
+    assert tile_pair(a[:12], a[:7] + ["x"] + a[2:12], 2) == (2, 12)
+    assert tile_pair(["the"] * 12, ["the"] * 30, 5) == (1, 12)
+
+
+def test_pairs_by_both_ways(spark, nasty, empty):
+    rng = random.Random(4)
+    noise = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    words = ITEM.split()
+    texts = {
+        1: noise(50) + " " + ITEM.upper() + ". " + noise(50),
+        2: " ".join(words[10:]) + " " + noise(9) + " " + ", ".join(words[:10]),
+        3: noise(200),
+        4: " ".join(words[:9]) + " " + noise(30),
+        5: None,
+        6: "",
+    }
+    docs = spark.createDataFrame([(k, t, 0) for k, t in texts.items()], "doc_id long, text string, item_id int")
+    items = spark.createDataFrame([(7, ITEM, 1), (8, None, 1), (9, "", 1), (10, "too short", 1), (11, noise(30), 1)], "item_id long, text string, doc_id int")
+    one = contaminated_pairs(docs, items)
+    assert sorted((r.doc_id, r.item_id, r.n_tiles, r.matched_tokens) for r in one.collect()) == [(1, 7, 1, 20), (2, 7, 2, 20)]
+    two = contaminated_pairs(docs, items, max_broadcast_tokens=0)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    assert {r.doc_id for r in decontaminate(docs, items).collect()} == {3, 4, 5, 6}
+    assert contaminated_pairs(nasty, items).count() == 0 and contaminated_pairs(empty, items).count() == 0
+    assert contaminated_pairs(docs, items.limit(0)).count() == 0
+    assert decontaminate(nasty, items).count() == nasty.count()
