@@ -153,3 +153,8 @@ def fold_stream(lines: DataFrame, stream: str = "stream_id", line: str = "line")
     return lines.groupBy(stream).applyInPandasWithState(
         step, f"{stream} string, text string, ended boolean", "text string, ended boolean", "update", GroupStateTimeout.NoTimeout
     )
+
+
+def latest_frame(rows: DataFrame, tick: str, order: str = "ord", text: str = "text") -> DataFrame:
+    """(tick, text): of all texts within a tick the latest, so that a display is drawn once a tick."""
+    return rows.groupBy(tick).agg(F.max_by(text, order).alias(text))

@@ -121,6 +121,8 @@ def test_event_streams(spark):
     chunk = spark.createDataFrame([("abcde",), ("",), (None,)], "t string").select(sse.chunks("t").alias("c")).collect()
     assert [r.c for r in chunk] == [["ab", "cd", "e"], [], []]
     sent = spark.range(1).select(sse.encode_end(F.lit("t"), F.lit("m")).alias("x")).first().x
+    frames = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 3, "c")], "tick int, ord long, text string")
+    assert {r.tick: r.text for r in sse.latest_frame(frames, "tick").collect()} == {1: "b", 2: "c"}
     assert sent == 'data: {"done":true,"text":"t","model":"m"}\n\n'
 
 
