@@ -2,40 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brevier.functions.session import cut as cut
+from brevier.functions.session import new_folder as new_folder
+from brevier.functions.session import shared_dir as shared_dir
+
 #: A word is a run of anything but ASCII white space.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 #: Java's name for the same class, for Spark SQL expressions.
 WORD_BREAK_JAVA = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='brevier-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder, so that a lost executor costs no recomputation of its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def held_out(id_col: str, buckets: int, held: int) -> Column:
     """True where crc32 of the id as text falls in the held-out bucket; rows without id are held out, too."""
     bucket = F.crc32(F.col(id_col).cast("string").cast("binary")) % buckets

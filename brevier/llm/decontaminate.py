@@ -71,17 +71,11 @@ def tiles(item: list[int], doc: list[int], min_match: int) -> list[tuple[int, in
                         runs.append((n, p, q))
         before = len(found)
         for n, p, q in sorted(runs, key=lambda r: (-r[0], r[1], r[2])):
-            while n and (in_item[p] or in_doc[q]):
-                n, p, q = n - 1, p + 1, q + 1
-            free = n
-            for k in range(n):
-                if in_item[p + k] or in_doc[q + k]:
-                    free = k
-                    break
-            if free >= size:
-                in_item[p : p + free] = True
-                in_doc[q : q + free] = True
-                found.append((p, q, free))
+            if in_item[p : p + n].any() or in_doc[q : q + n].any():
+                break  # what is left of this run may be longer than the next one: look again
+            in_item[p : p + n] = True
+            in_doc[q : q + n] = True
+            found.append((p, q, n))
         if len(found) == before:
             if size == min_match:
                 break

@@ -1,6 +1,6 @@
 import random
 
-from brevier.llm.decontaminate import contaminated_pairs, decontaminate, tile_pair
+from brevier.llm.decontaminate import contaminated_pairs, decontaminate, tile_pair, tiles
 
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
 
@@ -18,6 +18,35 @@ def test_tiles():
     assert tile_pair(["the"] * 12, ["the"] * 30, 5) == (1, 12)
 
 
+def slow_tiles(item, doc, min_match):
+    in_item, in_doc, found = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(item)):
+            for q in range(len(doc)):
+                n = 0
+                while p + n < len(item) and q + n < len(doc) and item[p + n] == doc[q + n] and p + n not in in_item and q + n not in in_doc:
+                    n += 1
+                best = max(best, (n, -p, -q))
+        n, p, q = best[0], -best[1], -best[2]
+        if n < min_match:
+            return sorted(found)
+        in_item |= set(range(p, p + n))
+        in_doc |= set(range(q, q + n))
+        found.append((p, q, n))
+
+
+def test_tiles_equal_brute_force():
+    rng = random.Random(9)
+    for letters in (2, 4, 9):
+        for _ in range(60):
+            item, doc = ([rng.randrange(letters) for _ in range(rng.randrange(1, 30))] for _ in range(2))
+            if rng.random() < 0.7:
+                doc[rng.randrange(len(doc)) :] = item[rng.randrange(len(item)) :]
+            for least in (2, 3, 5):
+                assert sorted(tiles(item, doc, least)) == slow_tiles(item, doc, least)
+
+
 def test_pairs_by_both_ways(spark, nasty, empty):
     rng = random.Random(4)
     noise = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
