@@ -400,13 +400,29 @@ def anti_join_inventory(spark, sf_dir):
     return not_in_inventory(keyed_events(spark, sf_dir), inventory(spark, sf_dir))
 
 
-@query()
+def greedy_sql(rows: str) -> str:
+    """SQL for (seq, accepted) of eligible rows (seq, url_key, title_key): 0 is open, 1 accepted, 2 blocked."""
+    least = "seq = min(CASE WHEN state = 0 THEN seq END) OVER (PARTITION BY {})"
+    return f"""WITH RECURSIVE r AS (SELECT 0 AS k, seq, url_key, title_key, 0 AS state FROM ({rows})
+UNION ALL SELECT k + 1, seq, url_key, title_key, CASE WHEN state <> 0 THEN state WHEN acc THEN 1 WHEN bu OR bt THEN 2 ELSE 0 END
+FROM (SELECT *, bool_or(acc) OVER (PARTITION BY url_key) AS bu, bool_or(acc) OVER (PARTITION BY title_key) AS bt
+  FROM (SELECT *, state = 0 AND {least.format("url_key")} AND {least.format("title_key")} AS acc, sum((state = 0)::INT) OVER () AS n FROM r)
+  WHERE n > 0))
+SELECT seq, state = 1 AS accepted, url_key, title_key FROM r WHERE k = (SELECT max(k) FROM r)"""
+
+
+@query(f"SELECT seq, accepted FROM ({greedy_sql(KEYED)})")
 def greedy_or_dedupe(spark, sf_dir):
     """Rows that a sequential pass over two keys accepts; tests hold it against the sequential pass."""
     return greedy_distinct(keyed_events(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH judged AS (SELECT *, url_key IN (SELECT url_key FROM ({INVENTORY})) OR title_key IN (SELECT title_key FROM ({INVENTORY})) AS old,
+  CASE WHEN seq % 11 = 0 THEN 'no_relevance' END AS reason FROM ({KEYED})),
+g AS ({greedy_sql("SELECT * FROM judged WHERE NOT old AND reason IS NULL")}),
+u AS (SELECT url_key, min(seq) AS first FROM g WHERE accepted GROUP BY 1), t AS (SELECT title_key, min(seq) AS first FROM g WHERE accepted GROUP BY 1)
+SELECT j.seq, CASE WHEN old THEN 'dup_existing' WHEN g.accepted THEN 'accepted' WHEN u.first < j.seq OR t.first < j.seq THEN 'dup_within' ELSE reason END AS outcome
+FROM judged j LEFT JOIN g ON g.seq = j.seq LEFT JOIN u ON u.url_key = j.url_key LEFT JOIN t ON t.title_key = j.title_key""")
 def merge_outcomes(spark, sf_dir):
     """What becomes of each row: duplicate of the inventory or of an accepted row, left out, or accepted."""
     rows = keyed_events(spark, sf_dir).withColumn("reason", F.when(F.col("seq") % 11 == 0, "no_relevance"))
