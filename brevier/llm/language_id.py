@@ -22,7 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-SLICE = 2_000_000
+#: Bytes scored at once, and rows taken from a batch at once: what bounds a task's memory.
+SLICE = 1_000_000
+ROWS = 500
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -89,11 +91,11 @@ class Trees:
         pad = b"\n" * self.max_order
         sizes = np.array([len(t) + self.max_order for t in texts], np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        buffer = np.frombuffer(b"".join(pad + t for t in texts), np.uint8).astype(np.uint64)
+        buffer = np.frombuffer(b"".join(pad + t for t in texts), np.uint8)
         owner_of = lambda at: np.searchsorted(starts, at, side="right") - 1
         for a in range(self.max_order, len(buffer), SLICE):
             b = min(len(buffer), a + SLICE)
-            codes, distinct = pd.factorize(grams(buffer[a - self.max_order : b], self.max_order))
+            codes, distinct = pd.factorize(grams(buffer[a - self.max_order : b].astype(np.uint64), self.max_order))
             cost = self.cost(np.asarray(distinct, np.uint64))
             first, last = owner_of(a), owner_of(b - 1)
             edges = np.maximum(starts[first : last + 1], a) - a
@@ -169,28 +171,31 @@ def identify(
     in alphabetical order wins.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    own = [F.col(id_col).alias("__id"), F.col(text_col).alias("__text")]
-    fields = docs.select(*own, *keep).schema
-    names = list(keep)
+    extra = [c for c in keep if c not in (id_col, text_col)]
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[F.col(c).alias(f"__{k}") for k, c in enumerate(extra)])
+    kinds = [f.dataType.simpleString() for f in rows.schema.fields]
+    place = {id_col: 0, text_col: 1} | {c: k + 2 for k, c in enumerate(extra)}
+    kept = [place[c] for c in keep]
+    names = ["id", "lang_pred", "score", "bits", *keep]
 
     def run(batches):
         model = shared.value
         for batch in batches:
-            raw = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
-            chosen = [i for i, t in enumerate(raw) if model.langs and has_letter(t)]
-            langs, scores, best = [UNKNOWN] * len(raw), np.zeros(len(raw)), np.zeros(len(raw))
-            if chosen:
-                bits = model.code_lengths([raw[i] for i in chosen])
-                least = bits.min(1)
-                odds = np.exp2(-np.minimum(bits - least[:, None], 1000)).sum(1)
-                for i, k, s, b in zip(chosen, bits.argmin(1), 1 / odds, least, strict=True):
-                    langs[i], scores[i], best[i] = model.langs[k], s, b
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(best), *batch.columns[2:]],
-                ["id", "lang_pred", "score", "bits", *names],
-            )
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields.fields[2:])
-    return docs.select(*own, *keep).mapInArrow(
-        run, f"id {fields['__id'].dataType.simpleString()}, lang_pred string, score double, bits double" + (f", {kinds}" if kinds else "")
-    )
+            for low in range(0, batch.num_rows, ROWS):
+                part = batch.slice(low, ROWS)
+                raw = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in part.column(1)]
+                chosen = [i for i, t in enumerate(raw) if model.langs and has_letter(t)]
+                langs, scores, best = [UNKNOWN] * len(raw), np.zeros(len(raw)), np.zeros(len(raw))
+                if chosen:
+                    bits = model.code_lengths([raw[i] for i in chosen])
+                    least = bits.min(1)
+                    odds = np.exp2(-np.minimum(bits - least[:, None], 1000)).sum(1)
+                    for i, k, s, b in zip(chosen, bits.argmin(1), 1 / odds, least, strict=True):
+                        langs[i], scores[i], best[i] = model.langs[k], s, b
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(langs, pa.string()), pa.array(scores), pa.array(best), *[part.column(k) for k in kept]],
+                    names,
+                )
+
+    told = "".join(f", `{c}` {kinds[k]}" for c, k in zip(keep, kept, strict=True))
+    return rows.mapInArrow(run, f"id {kinds[0]}, lang_pred string, score double, bits double{told}")
