@@ -1,10 +1,10 @@
 """Exact removal of repeated word windows by level-wise doubling.
 
-A window of 2L words can only repeat where the windows of L words inside it repeat. The first level hashes
-windows of half the wanted length, thinned by winnowing: every full window keeps its smallest half-window, so
-equal full windows keep equal half-windows, and nothing that repeats is lost. Half-windows that occur once
-are settled; the windows around the others are extended to twice the length, and the levels end when the
-wanted length is reached or no candidates survive.
+A window of 2L words can only repeat where the windows of L words inside it repeat. Each level hashes shorter
+windows, thinned by winnowing: every full window is stood for by the smallest hash of the short windows inside
+it, so that equal full windows are stood for by equal ones and nothing that repeats is lost. Short windows that
+occur once settle the full windows that they stand for; only windows repeated at one length alone are extended
+to twice that length, until the wanted length is reached or no candidates survive.
 
 Documents are dealt once into groups of some thousand. Each group sends one packed list of its distinct
 hashes to each of a number of hash ranges, and gets one bit for each of them back, so that a passage that
@@ -70,56 +70,78 @@ def sliding(x: np.ndarray, width: int, choose=np.minimum) -> np.ndarray:
     return choose(x[:-rest], x[rest:]) if rest else x
 
 
-class Level:
-    """What one group of documents has at the levels: its documents, hashes and distinct keys."""
+class Group:
+    """One group of documents in order of id: its words, its windows, and the windows that may still repeat."""
 
     def __init__(self, ids: pa.Array, texts: pa.Array, window: int):
-        self.window, self.half = window, window // 2
         ids = np.where(np.asarray(ids.is_null()), NO_ID, np.asarray(ids.fill_null(0)))
+        self.window = window
         self.order = np.argsort(ids, kind="stable")
         self.ids = ids[self.order]
         digest = xxhash.xxh64_intdigest
-        one, two = (Powers(m) for m in MULTIPLIERS)
-        self.words, self.starts, floor, anchor, full, check = [], [], [], [], [], []
-        for row in self.order:
-            words = (texts[row].as_py() or "").encode("utf-8", "surrogatepass").split()
-            self.words.append(words)
-            if len(words) < window:
-                floor.append(np.zeros(0, np.uint64))
+        self.one, self.two = (Powers(m) for m in MULTIPLIERS)
+        self.words = [(texts[row].as_py() or "").encode("utf-8", "surrogatepass").split() for row in self.order]
+        self.sizes = np.array([max(0, len(w) - window + 1) for w in self.words], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+        self.hashed = [np.fromiter(map(digest, w), np.uint64, len(w)) if n else None for w, n in zip(self.words, self.sizes, strict=True)]
+        self.places = np.arange(self.starts[-1])
+
+    def anchors(self, length: int):
+        """Sorted distinct hashes of the short windows that stand for the open windows, and whether each occurs twice here.
+
+        A window stands for by the smallest hash of the windows of `length` words within it.
+        """
+        spread = self.window - length + 1
+        open_ = np.zeros(self.starts[-1], bool)
+        open_[self.places] = True
+        floors, found, none = [], [], np.zeros(spread - 1, np.uint64)
+        for hashed, start, size in zip(self.hashed, self.starts, self.sizes, strict=False):
+            own = open_[start : start + size]
+            if not own.any():
                 continue
-            hashed = np.fromiter(map(digest, words), np.uint64, len(words))
-            halves = window_hashes(hashed, self.half, one)
-            spread = window - self.half + 1
-            least = sliding(halves, spread)
-            floor.append(least)
-            ends = np.concatenate([np.zeros(spread - 1, np.uint64), least, np.zeros(spread - 1, np.uint64)])
-            anchor.append(halves[halves == sliding(ends, spread, np.maximum)])
-            full.append(window_hashes(hashed, window, one))
-            check.append(window_hashes(hashed, window, two) >> np.uint64(32))
-        join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-        self.sizes = np.array([len(x) for x in floor], np.int64)
-        self.floor, self.full = join(floor, np.uint64), join(full, np.uint64)
-        self.check = join(check, np.uint64).astype(np.uint32)
-        self.anchors, self.counts = np.unique(join(anchor, np.uint64), return_counts=True)
-
-    def candidates(self, repeated: np.ndarray) -> np.ndarray:
-        """Places of the full windows whose half-window is known to repeat."""
-        at = np.searchsorted(self.anchors, self.floor)
-        return np.flatnonzero(repeated[at]) if len(self.floor) else np.zeros(0, np.int64)
-
-    def distinct(self, places: np.ndarray):
-        """Keys and checks of the distinct windows at these places in order, their first places, and each place's number among them."""
-        if not len(places):
+            short = window_hashes(hashed, length, self.one)
+            least = sliding(short, spread)
+            floors.append(least[own])
+            cover = sliding(np.concatenate([none, np.where(own, least, np.uint64(0)), none]), spread, np.maximum)
+            found.append(short[short == cover])
+        self.floor = np.concatenate(floors) if floors else np.zeros(0, np.uint64)
+        keys, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+        return keys, counts > 1
+
+    def sift(self, length: int, repeated: np.ndarray) -> None:
+        """Keep the open windows whose short window repeats somewhere; repeated is in the order of anchors(length)."""
+        keys, _ = self.anchors(length)
+        if len(keys):
+            self.places = self.places[repeated[np.searchsorted(keys, self.floor)]]
+
+    def distinct(self):
+        """Keys and checks of the distinct open windows in order, their first places, and each open window's number among them."""
+        if not len(self.places):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        key, check = self.full[places], self.check[places]
+        cuts = np.searchsorted(self.places, self.starts)
+        key, check = np.empty(len(self.places), np.uint64), np.empty(len(self.places), np.uint32)
+        for k, hashed in enumerate(self.hashed):
+            own = slice(cuts[k], cuts[k + 1])
+            if own.start < own.stop:
+                at = self.places[own] - self.starts[k]
+                key[own] = window_hashes(hashed, self.window, self.one)[at]
+                check[own] = window_hashes(hashed, self.window, self.two)[at] >> np.uint64(32)
         order = np.lexsort((check, key))
-        key, check = key[order], check[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])])
-        number = np.empty(len(places), np.int64)
+        k, c = key[order], check[order]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
+        number = np.empty(len(k), np.int64)
         number[order] = np.cumsum(new) - 1
-        first = np.full(int(new.sum()), len(self.full), np.int64)
-        np.minimum.at(first, number, places)
-        return key[new], check[new], first, number
+        first = np.full(int(new.sum()), self.starts[-1], np.int64)
+        np.minimum.at(first, number, self.places)
+        return k[new], c[new], first, number
+
+
+def level_lengths(window: int, shortest: int) -> list[int]:
+    """Window lengths of the levels: doubled up to the window, from at least `shortest`."""
+    lengths = [window]
+    while lengths[0] % 2 == 0 and lengths[0] // 2 >= shortest:
+        lengths.insert(0, lengths[0] // 2)
+    return lengths
 
 
 def ranges(keys: np.ndarray, n: int):
@@ -158,6 +180,11 @@ def back_table(rows: list) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
 
 
+def alone(send):
+    """A function of a group and what came back to it, for the level to which nothing has come back yet."""
+    return lambda key, texts: send(key, texts, None)
+
+
 def repeated_windows(
     docs: DataFrame,
     id_col: str,
@@ -165,7 +192,8 @@ def repeated_windows(
     window: int,
     docs_per_group: int,
     keys_per_range: int,
-    keep: tuple[str, ...] = (),
+    keep: tuple[str, ...],
+    lengths: list[int],
 ):
     """The dealt documents and, for each group and level, a flag for each of its distinct hashes."""
     spark = docs.sparkSession
@@ -182,38 +210,53 @@ def repeated_windows(
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(groups)).cast("int").alias("grp"),
     ).repartition(width, "grp")
 
-    def halves(key, table):
-        level = Level(table["id"].combine_chunks(), table["__text"].combine_chunks(), window)
-        many = level.counts > 1
-        return sent_table(
-            [
-                (key[0].as_py(), i, s.stop - s.start, level.anchors[s].tobytes(), np.packbits(many[s]).tobytes(), b"")
-                for i, s in ranges(level.anchors, parts)
-            ]
-        )
-
-    def judge_halves(key, table):
-        rows = table.to_pylist()
-        keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-        many = [np.unpackbits(np.frombuffer(r["extra"], np.uint8), count=r["n"]).astype(bool) for r in rows]
-        every = np.concatenate(keys)
-        distinct, number, counts = np.unique(every, return_inverse=True, return_counts=True)
-        again = counts > 1
-        again[number[np.concatenate(many)]] = True
-        flags = np.split(again[number], np.cumsum([len(k) for k in keys])[:-1])
-        return back_table(
-            [
-                (r["grp"], 1, r["part"], r["n"], np.packbits(f).tobytes())
-                for r, f in zip(rows, flags, strict=True)
-            ]
-        )
-
-    def wholes(key, texts, back):
+    def sifted(texts, back, level: int) -> Group:
+        """A group with what the levels below have settled."""
+        group = Group(texts["id"].combine_chunks(), texts["__text"].combine_chunks(), window)
+        for k in range(level):
+            group.sift(lengths[k], packed_flags(back, k))
+        return group
+
+    def short_windows(level: int):
+        def send(key, texts, back=None):
+            if not texts.num_rows:
+                return sent_table([])
+            keys, many = sifted(texts, back, level).anchors(lengths[level])
+            return sent_table(
+                [
+                    (key[0].as_py(), i, s.stop - s.start, keys[s].tobytes(), np.packbits(many[s]).tobytes(), b"")
+                    for i, s in ranges(keys, parts)
+                ]
+            )
+
+        return send
+
+    def judge_short(level: int):
+        def judge(key, table):
+            rows = table.to_pylist()
+            keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+            many = [np.unpackbits(np.frombuffer(r["extra"], np.uint8), count=r["n"]).astype(bool) for r in rows]
+            distinct, number, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+            again = counts > 1
+            again[number[np.concatenate(many)]] = True
+            flags = np.split(again[number], np.cumsum([len(k) for k in keys])[:-1])
+            return back_table(
+                [
+                    (r["grp"], level, r["part"], r["n"], np.packbits(f).tobytes())
+                    for r, f in zip(rows, flags, strict=True)
+                ]
+            )
+
+        return judge
+
+    last = len(lengths) - 1
+
+    def wholes(key, texts, back=None):
         if not texts.num_rows:
             return sent_table([])
-        level = Level(texts["id"].combine_chunks(), texts["__text"].combine_chunks(), window)
-        keys, check, first, _ = level.distinct(level.candidates(packed_flags(back, 1)))
-        owner = level.ids[np.searchsorted(np.cumsum(level.sizes), first, side="right")] if len(first) else first
+        group = sifted(texts, back, last)
+        keys, check, first, _ = group.distinct()
+        owner = group.ids[np.searchsorted(group.starts, first, side="right") - 1]
         return sent_table(
             [
                 (key[0].as_py(), i, s.stop - s.start, keys[s].tobytes(), check[s].tobytes(), owner[s].tobytes())
@@ -234,16 +277,22 @@ def repeated_windows(
         flags = np.split(later, np.cumsum([r["n"] for r in rows])[:-1])
         return back_table(
             [
-                (r["grp"], 2, r["part"], r["n"], np.packbits(f).tobytes())
+                (r["grp"], last, r["part"], r["n"], np.packbits(f).tobytes())
                 for r, f in zip(rows, flags, strict=True)
             ]
         )
 
-    first = dealt.groupBy("grp").applyInArrow(halves, SENT)
-    back = first.groupBy("part").applyInArrow(judge_halves, BACK).repartition(width, "grp")
-    second = dealt.groupBy("grp").cogroup(back.groupBy("grp")).applyInArrow(wholes, SENT)
-    final = second.groupBy("part").applyInArrow(judge_wholes, BACK).repartition(width, "grp")
-    return dealt, back, final, width
+    back = None
+    for level in range(last + 1):
+        send, judge = (short_windows(level), judge_short(level)) if level < last else (wholes, judge_wholes)
+        by_group = dealt.groupBy("grp")
+        if back is None:
+            sent = by_group.applyInArrow(alone(send), SENT)
+        else:
+            sent = by_group.cogroup(back.groupBy("grp")).applyInArrow(send, SENT)
+        told = sent.groupBy("part").applyInArrow(judge, BACK).repartition(width, "grp")
+        back = told if back is None else back.union(told).repartition(width, "grp")
+    return dealt, back, width, sifted
 
 
 def substring_dedup(
@@ -251,6 +300,7 @@ def substring_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     window: int = 20,
+    shortest: int | None = None,
     docs_per_group: int = 1000,
     keys_per_range: int = 2_000_000,
     keep: tuple[str, ...] = (),
@@ -262,11 +312,13 @@ def substring_dedup(
     document with a smaller id, or earlier in the same one. Windows are judged on the input. kept_text has
     the kept words joined by one space. A null text has no words; documents shorter than a window keep all;
     rows that share an id are taken one after the other; null ids come last. Sequences are equal if 96 bits
-    of two independent hashes are. With verbatim, a text that loses nothing comes back as it was, null included.
+    of two independent hashes are. Levels double from a half of the window, or from `shortest`, up to the window:
+    longer repeats cover no further words. With verbatim, a text that loses nothing comes back as it was, null included.
     """
     if window < 2 or window % 2:
         raise ValueError("window must be even")
-    dealt, back, final, width = repeated_windows(docs, id_col, text_col, window, docs_per_group, keys_per_range, keep)
+    lengths = level_lengths(window, shortest or window // 2)
+    dealt, back, width, sifted = repeated_windows(docs, id_col, text_col, window, docs_per_group, keys_per_range, keep, lengths)
     held = dealt.select(*[F.col(f"__keep_{c}").alias(c) for c in keep]).schema.fields
     names = [f.name for f in held]
     arrow = to_arrow_schema(dealt.select(*[F.col(f"__keep_{c}").alias(c) for c in keep]).schema)
@@ -274,15 +326,14 @@ def substring_dedup(
     def keep_words(key, texts, flags):
         if not texts.num_rows:
             return pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), *[arrow.field(c) for c in names]]).empty_table()
-        level = Level(texts["id"].combine_chunks(), texts["__text"].combine_chunks(), window)
-        places = level.candidates(packed_flags(flags, 1))
-        keys, _, first, number = level.distinct(places)
-        gone = packed_flags(flags, 2)
-        bad = places[(places != first[number]) | gone[number]] if len(places) else places
-        marks = np.zeros(len(level.full), bool)
-        marks[bad] = True
+        group = sifted(texts, flags, len(lengths) - 1)
+        _, _, first, number = group.distinct()
+        gone = packed_flags(flags, len(lengths) - 1)
+        marks = np.zeros(group.starts[-1], bool)
+        if len(group.places):
+            marks[group.places[(group.places != first[number]) | gone[number]]] = True
         n_words, n_removed, kept, at = [], [], [], 0
-        for row, words, size in zip(level.order, level.words, level.sizes, strict=True):
+        for row, words, size in zip(group.order, group.words, group.sizes, strict=True):
             own = marks[at : at + size]
             at += size
             n_words.append(len(words))
@@ -299,17 +350,16 @@ def substring_dedup(
             kept.append(b" ".join([words[i] for i in np.flatnonzero(stay)]).decode("utf-8", "replace"))
         return pa.table(
             {
-                "id": texts["id"].combine_chunks().take(pa.array(level.order)),
+                "id": texts["id"].combine_chunks().take(pa.array(group.order)),
                 "n_words": pa.array(n_words, pa.int64()),
                 "n_removed": pa.array(n_removed, pa.int64()),
                 "kept_text": pa.array(kept, pa.string()),
-                **{c: texts[f"__keep_{c}"].combine_chunks().take(pa.array(level.order)) for c in names},
+                **{c: texts[f"__keep_{c}"].combine_chunks().take(pa.array(group.order)) for c in names},
             }
         )
 
-    flags = back.union(final).repartition(width, "grp")
     return (
         dealt.groupBy("grp")
-        .cogroup(flags.groupBy("grp"))
+        .cogroup(back.groupBy("grp"))
         .applyInArrow(keep_words, ", ".join(["id long, n_words long, n_removed long, kept_text string", *[f"`{f.name}` {f.dataType.simpleString()}" for f in held]]))
     )

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from brevier.llm.substring_dedup import Powers, sliding, substring_dedup, window_hashes
+from brevier.llm.substring_dedup import Powers, level_lengths, sliding, substring_dedup, window_hashes
 
 
 def brute(rows, window):
@@ -19,9 +19,9 @@ def brute(rows, window):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("window", "groups", "keys"), [(20, 7, 300), (4, 1000, 2_000_000)])
-def test_equals_brute_force(nasty, window, groups, keys):
-    got = substring_dedup(nasty, window=window, docs_per_group=groups, keys_per_range=keys)
+@pytest.mark.parametrize(("window", "shortest", "groups", "keys"), [(20, None, 7, 300), (20, 5, 9, 4000), (4, 4, 1000, 2_000_000), (2, None, 20, 500)])
+def test_equals_brute_force(nasty, window, shortest, groups, keys):
+    got = substring_dedup(nasty, window=window, shortest=shortest, docs_per_group=groups, keys_per_range=keys)
     assert sorted([tuple(r) for r in got.collect()], key=repr) == brute([(r.doc_id, r.text) for r in nasty.collect()], window)
 
 
@@ -38,6 +38,10 @@ def test_empty_and_odd(empty):
         substring_dedup(empty, window=3)
 
 
+def test_levels():
+    assert level_lengths(20, 10) == [10, 20] and level_lengths(20, 1) == [5, 10, 20] and level_lengths(6, 6) == [6]
+
+
 def test_window_hashes_depend_on_content_alone():
     words = np.array([5, 6, 7, 5, 6, 7, 8], np.uint64)
     found = window_hashes(words, 3, Powers(0x9E3779B97F4A7C15))
