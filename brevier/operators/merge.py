@@ -18,18 +18,18 @@ ARTICLE = (
 COLUMNS = [f.split()[0] for f in ARTICLE.split(", ")]
 
 
-def running_number(rows: DataFrame, order: str, name: str, per_bucket: int = 100_000) -> DataFrame:
+def running_number(rows: DataFrame, order: str | list[str], name: str, per_bucket: int = 100_000) -> DataFrame:
     """rows with name: 1, 2, ... in the given order, without one task that sees all rows.
 
     Rows are dealt by ranges of the order; ranges are counted, and their counts summed up in one small window.
     """
-    n = rows.count()
-    ranges = max(1, -(-n // per_bucket))
-    dealt = cut(rows.repartitionByRange(ranges, order).withColumn("__range", F.spark_partition_id()))
+    by = [order] if isinstance(order, str) else order
+    ranges = max(1, -(-rows.count() // per_bucket))
+    dealt = cut(rows.repartitionByRange(ranges, *by).withColumn("__range", F.spark_partition_id()))
     sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    own = Window.partitionBy("__range").orderBy(order)
+    own = Window.partitionBy("__range").orderBy(*by)
     return (
         dealt.join(base, "__range")
         .withColumn(name, F.col("__base") + F.row_number().over(own))

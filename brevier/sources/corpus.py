@@ -56,6 +56,11 @@ def output_document(
     )
 
 
+def write_articles(articles: DataFrame, path: str) -> None:
+    """Articles as JSON lines, a file a task: the form for corpora too large for one document."""
+    articles.select(*COLUMNS).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def write_document(document: DataFrame, path: str) -> None:
     """The document as one JSON text file in the folder path, nulls kept."""
     document.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brevier.functions.dates import published_date
 from brevier.functions.text import clean_html, either, percent_encode, strip
+from brevier.operators.merge import running_number
 from brevier.operators.stats import dimension
 from brevier.plans import fitness_pack as pack
 
@@ -91,12 +92,15 @@ def entries_of(landed: DataFrame, body: str = "body", tag: str = "item") -> Data
 
 
 def raw_items(entries: DataFrame, run_date: str, *order: str) -> DataFrame:
-    """Entries as raw items; those without a title or a link are dropped, and a missing date is the run date."""
+    """Entries as raw items, numbered in the given order or as they come.
+
+    Those without a title or a link are dropped, and a missing date is the run date.
+    """
     real = published_date(either("published", "pubDate"), "updated")
-    seq = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)) if order else F.monotonically_increasing_id()
     kept = entries.where((strip("title") != "") & (strip("link") != ""))
-    return kept.select(
-        seq.cast("long").alias("seq"), strip("title").alias("raw_title"), strip("link").alias("link"),
+    numbered = running_number(kept, list(order), "__seq") if order else kept.withColumn("__seq", F.monotonically_increasing_id())
+    return numbered.select(
+        F.col("__seq").cast("long").alias("seq"), strip("title").alias("raw_title"), strip("link").alias("link"),
         clean_html(either("summary", "description")).alias("summary"), F.coalesce(real, F.lit(run_date)).alias("date"),
         real.isNotNull().alias("date_is_real"), "source_type", "brand", "source",
     )

@@ -86,6 +86,8 @@ def test_corpus(spark, tmp_path):
     out = corpus.output_document(rows, spark.createDataFrame([(1,)], "total long"), "now", ["a"], [])
     corpus.write_document(out, str(tmp_path / "out"))
     assert json.loads(spark.read.text(str(tmp_path / "out")).first()[0])["articles"][0]["brand"] is None
+    corpus.write_articles(rows, str(tmp_path / "lines"))
+    assert spark.read.schema(corpus.ARTICLE).json(str(tmp_path / "lines")).first().title == "T"
     lock = str(tmp_path / "lock")
     assert corpus.take_lock(spark, lock, 0) and not corpus.take_lock(spark, lock, 0)
     assert corpus.take_lock(spark, lock, 1 << 60)
