@@ -43,11 +43,11 @@ def translated(rows: DataFrame, memo: DataFrame, text: str) -> DataFrame:
 def facets(rows: DataFrame, product: str = "product_category") -> DataFrame:
     """(ord, facet, cnt): all, then each product class; unknown classes count as other."""
     known = F.when(F.col(product).isin(PRODUCTS), F.col(product)).otherwise("other")
-    each = rows.groupBy(known.alias("facet")).agg(F.count("*").alias("cnt"))
-    every = each.agg(F.lit("all").alias("facet"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("cnt"))
+    counted = rows.select(known.alias("facet")).rollup("facet").agg(F.count("*").alias("cnt"))
+    named = counted.select(F.coalesce("facet", F.lit("all")).alias("facet"), "cnt")  # the total has no facet
     return (
         dimension(rows.sparkSession, ["all", *PRODUCTS], "facet")
-        .join(each.union(every), "facet", "left")
+        .join(named, "facet", "left")
         .select("ord", "facet", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
     )
 
