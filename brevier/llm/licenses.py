@@ -4,6 +4,10 @@ The Dice coefficient of two sets is at most 2 min / (a + b), so that a unit can
 templates whose number of bigrams lies within fixed bounds of its own; units within no template's bounds are
 pruned by their number of words, before bigrams are listed. The others' bigrams meet the templates' in a broadcast join, whose
 size is fixed by the template table, and only shared bigrams are counted.
+
+Passages are found wherever they stand in a text, over line ends and amid other words. A passage can only reach the
+threshold if the whole text shares threshold / (2 - threshold) of the template's bigrams, which few texts do; in
+those every run of words that starts and ends with a shared bigram, and is short enough, is scored.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ TEMPLATES = {
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -32,6 +37,7 @@ TEMPLATES = {
     "BSD-3-Clause": [
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
@@ -69,6 +75,39 @@ def n_bigrams(text: str) -> int:
     return len(words) - 1
 
 
+def passages(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(doc_id, license_id, dice): the best passage of each text for each licence, where it reaches the threshold.
+
+    A place counts in a passage unless the template's number of its bigram is already met since the passage's
+    start: unless `full`, the place of that many equal bigrams before, lies in it.
+    """
+    share = threshold / (2 - threshold)
+    met = (
+        docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), normal_words(F.col(text_col)).alias("words"))
+        .where(F.size("words") > 1)
+        .select("row", "doc_id", F.posexplode(bigrams_of(F.col("words"))).alias("at", "gram"))
+        .join(F.broadcast(known), "gram")
+        .groupBy("row", "doc_id", "license_id", "template", "m", "theirs", "gram")
+        .agg(F.sort_array(F.collect_set("at")).alias("places"))
+    )
+    likely = (
+        met.withColumn("marks", F.expr("transform(places, (x, i) -> struct(x as at, get(places, i - int(theirs)) as full))"))
+        .groupBy("row", "doc_id", "license_id", "template", "m")
+        .agg(F.sum(F.least(F.size("places"), F.col("theirs"))).alias("both"), F.sort_array(F.flatten(F.collect_list("marks"))).alias("marks"))
+        .where(F.col("both") >= F.col("m") * share - 1e-9)
+        .withColumn("longest", F.floor(F.col("m") / share + 1e-9).cast("int"))
+    )
+    best = F.expr(
+        """array_max(transform(marks, (s, i) -> aggregate(
+             filter(slice(marks, i + 1, longest), x -> x.at < s.at + longest and (x.full is null or x.full < s.at)),
+             named_struct('both', 0D, 'dice', 0D),
+             (a, x) -> named_struct('both', a.both + 1D,
+                                    'dice', greatest(a.dice, 2D * (a.both + 1D) / (x.at - s.at + 1 + m))),
+             a -> a.dice)))"""
+    )
+    return likely.select("doc_id", "license_id", best.alias("dice")).where(F.col("dice") >= threshold)
+
+
 def license_matches(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -78,7 +117,8 @@ def license_matches(
 ) -> DataFrame:
     """(doc_id, license_id, n_units, dice): licences found in a document, with the number of units and the best score.
 
-    A unit is a line, or the whole text where it has several lines. Null and empty texts match nothing. Rows
+    A unit is a line, or the whole text where it has several lines. A passage of the text, which can cross lines
+    or be a part of one, also counts for the score, and is the one unit where no line or whole text matches. Null and empty texts match nothing. Rows
     with one id are one document. A null id is a document of its own name.
     """
     spark: SparkSession = docs.sparkSession
@@ -112,9 +152,17 @@ def license_matches(
         .groupBy("doc_id", "unit", "license_id", "template", "n", "m")
         .agg(F.sum("both").alias("both"))
     )
-    return (
+    units = (
         shared.withColumn("dice", 2 * F.col("both") / (F.col("n") + F.col("m")))
         .where(F.col("dice") >= threshold)
+        .select("doc_id", "license_id", "unit", "dice")
+    )
+    inner = passages(docs, known, id_col, text_col, threshold).select("doc_id", "license_id", F.lit(None).cast("int").alias("unit"), "dice")
+    return (
+        units.unionByName(inner)
         .groupBy("doc_id", "license_id")
-        .agg(F.countDistinct("unit").alias("n_units"), F.round(F.max("dice"), 6).alias("dice"))
+        .agg(
+            F.greatest(F.countDistinct("unit"), F.lit(1).cast("long")).alias("n_units"),
+            F.round(F.max("dice"), 6).alias("dice"),
+        )
     )

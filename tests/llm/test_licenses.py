@@ -1,4 +1,4 @@
-from brevier.llm.licenses import license_matches, size_bounds
+from brevier.llm.licenses import TEMPLATES, license_matches, size_bounds
 
 
 def test_matches(spark, nasty, empty):
@@ -25,3 +25,27 @@ def test_bounds_lose_nothing():
         low, high = size_bounds(a, 0.8)
         for b in range(1, 120):
             assert (2 * min(a, b) / (a + b) >= 0.8 - 1e-12) == (low <= b <= high)
+
+
+def test_notices_inside_longer_texts(spark):
+    """Wrapped over lines, amid other words of a line, and whole licences in a document."""
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    prose = "\n".join(f"line {k} of a longer story about nothing at all {k}" for k in range(60))
+    rows = [
+        (1, f"{prose}\n{wrap(TEMPLATES['GPL-3.0'][1], 9)}\n{prose}"),
+        (2, f"{prose}\n{wrap(TEMPLATES['BSD-3-Clause'][1], 7)}\n{prose}"),
+        (3, f"{prose}\n{wrap(TEMPLATES['MIT'][2], 11)}\n{prose}"),
+        (4, f"{prose}\nCopyright 2020 Name. All rights reserved.\n{prose}"),
+        (5, wrap(TEMPLATES["MIT"][3], 12)), (6, wrap(TEMPLATES["BSD-3-Clause"][2], 12)), (7, prose),
+        (8, "All rights. " * 40 + "are reserved"),
+        (9, f"{prose}\nThis program is free software. Redistribution is one thing; all rights of the program are another.\n{prose}"),
+    ]
+    got = {(r.doc_id, r.license_id): (r.n_units, r.dice) for r in license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {(1, "GPL-3.0"), (2, "BSD-3-Clause"), (3, "MIT"), (4, "Proprietary"), (5, "MIT"), (6, "BSD-3-Clause")}
+    assert all(n == 1 and dice == 1 for n, dice in got.values())
+
+
+def test_passages_count_repeats_as_often_as_the_template(spark):
+    docs = spark.createDataFrame([(1, "go a b a b a b c d end"), (2, "x a b c d y"), (3, "a b q c d")], "doc_id long, text string")
+    got = {r.doc_id: r.dice for r in license_matches(docs, templates={"t": ["a b a b c d"]}, threshold=0.6).collect()}
+    assert got == {1: 1.0, 2: 0.75}
