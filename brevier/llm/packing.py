@@ -2,12 +2,11 @@
 
 Token counts are cut to the sequence length, so that a histogram of at most `capacity` classes says all there
 is to know about how pieces fit, whatever the size of the corpus. The configuration LP (a variable for each
-way to fill a sequence, a covering row for each length) is solved by multiplicative weights: the price of a
-length starts at the length and falls exponentially with the part of its pieces that is covered; a knapsack
-dynamic program prices out the best configuration, which is used until it has covered a fixed fraction of its
-scarcest length. A part of the solution is rounded down and the rest is packed by best-fit decreasing over
-classes of equal sequences; of several parts, none among them, that with the fewest sequences counts. The plan has a bounded number of rows and is broadcast; each piece finds its place from its
-length and its rank among the pieces of that length. Ranks are counted in salted buckets.
+way to fill a sequence, a covering row for each length) is solved by multiplicative weights, with a knapsack
+dynamic program to price out configurations and a dual bound that tells how good the solution is. Its tight
+configurations are rounded to whole sequences, what is left is solved again, and only what no further round
+places goes to best-fit decreasing. The plan has a bounded number of rows and is broadcast; each piece finds its
+place from its length and its rank among the pieces of that length. Ranks are counted in salted buckets.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ import re
 import zlib
 from array import array
 from collections import defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -150,51 +150,71 @@ def token_pieces(
     )
 
 
-def best_configuration(lengths: np.ndarray, prices: np.ndarray, limits: np.ndarray, capacity: int, width: int = 256) -> dict[int, int]:
-    """Knapsack dynamic program: the filling of greatest price, from the lengths of best price for their room."""
-    order = np.argsort(-prices / lengths, kind="stable")[:width]
+def best_configuration(lengths: np.ndarray, prices: np.ndarray, limits: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
+    """Knapsack dynamic program: the greatest price that fills one sequence, and the filling {place: times}."""
     value = np.zeros(capacity + 1)
     steps = []
-    for i in order:
-        left, size = int(min(limits[i], capacity // lengths[i])), 1
+    for i, length in enumerate(lengths.tolist()):
+        left, size = min(int(limits[i]), capacity // length), 1
         while left > 0:
             take = min(size, left)
-            room = int(lengths[i]) * take
-            better = value[:-room] + prices[i] * take if room <= capacity else value[:0]
-            used = np.zeros(capacity + 1, bool)
-            if len(better):
-                used[room:] = better > value[room:]
-                value[room:] = np.maximum(value[room:], better)
-            steps.append((i, take, room, used))
+            room = length * take
+            better = value[:-room] + prices[i] * take
+            steps.append((i, take, room, better > value[room:]))
+            value[room:] = np.maximum(value[room:], better)
             left, size = left - take, size * 2
-    at, chosen = int(np.argmax(value)), defaultdict(int)
+    at, chosen = capacity, defaultdict(int)
     for i, take, room, used in reversed(steps):
-        if used[at]:
-            chosen[int(i)] += take
+        if at >= room and used[at - room]:
+            chosen[i] += take
             at -= room
-    return chosen
+    return float(value[capacity]), dict(chosen)
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, fraction: float = 0.5, rounds: int = 400):
-    """Approximate solution of the configuration LP: (configuration, uses) with no length used up more than whole."""
-    prices, left = lengths.astype(float).copy(), counts.astype(float).copy()
-    found: dict[tuple, float] = defaultdict(float)
-    for _ in range(rounds):
-        open_ = np.flatnonzero(left >= 1)
-        if not len(open_):
-            break
-        chosen = best_configuration(lengths[open_], prices[open_], np.floor(left[open_]), capacity)
-        if not chosen:
-            break
-        places = open_[list(chosen)]
-        uses = np.array(list(chosen.values()), float)
-        most = (left[places] / uses).min()
-        step = max(1.0, fraction * (counts[places] / uses).min())
-        step = most if step > most else step
-        left[places] -= step * uses
-        prices[places] *= np.exp(-step * uses / counts[places])
-        found[tuple(sorted((int(p), int(u)) for p, u in zip(places, uses, strict=True)))] += step
-    return found
+class Fraction(NamedTuple):
+    """A fractional solution that covers each piece once, its number of sequences, and dual prices of the lengths.
+
+    No sequence holds pieces of a price of more than 1, so that the price of all pieces is a lower bound.
+    """
+
+    uses: dict[tuple[tuple[int, int], ...], float]
+    sequences: float
+    dual: np.ndarray
+    bound: float
+
+
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rate: float = 0.01, step: float = 1.0, block: int = 32) -> Fraction:
+    """The configuration LP by multiplicative weights.
+
+    The weight of a length starts at the length itself, a little more for longer ones as these are harder to
+    place, and falls by exp(-rate) as its pieces are covered. A round prices out one configuration for each
+    block of `block` open lengths, drawn anew each time, and uses it, in fractions too, until it has covered
+    `step` of its scarcest length or one is covered in full. It ends when all are covered. Dual prices are the best of
+    tokens, pieces of over half a sequence, and the weights, at rounds 1, 2, 4, ..., over the price of their best
+    configuration of all lengths.
+    """
+    random = np.random.default_rng(1)
+    base = lengths * (1 + 0.02 * lengths / capacity)
+    left, uses = counts.astype(float), defaultdict(float)
+    duals, round_ = [lengths / capacity, (2 * lengths > capacity).astype(float)], 0
+    while len(open_ := np.flatnonzero(left)):
+        weights, round_ = base * np.exp(-rate * (1 - left / counts)), round_ + 1
+        if round_ & (round_ - 1) == 0:
+            duals.append(weights / best_configuration(lengths, weights, counts, capacity)[0])
+        for own in np.array_split(random.permutation(open_), math.ceil(len(open_) / block)):
+            _, chosen = best_configuration(lengths[own], weights[own], np.maximum(1, left[own]), capacity)
+            places, times = own[list(chosen)], np.array(list(chosen.values()), float)
+            used = min((left[places] / times).min(), step * (counts[places] / times).min())
+            left[places] -= used * times
+            left[places[left[places] < 1e-6]] = 0
+            uses[tuple(sorted(zip(places.tolist(), times.astype(int).tolist(), strict=True)))] += used
+    dual = max(duals, key=lambda y: y @ counts)
+    return Fraction(dict(uses), sum(uses.values()), dual, float(dual @ counts))
+
+
+#: (rate, step) tried in turn until the solution is within TOLERANCE of its lower bound.
+SCHEDULE = ((0.01, 1.0), (1.0, 0.2), (8.0, 0.05))
+TOLERANCE = 0.01
 
 
 def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -229,35 +249,68 @@ def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple
     return done + [x for group in by_room.values() for x in group]
 
 
-#: Parts of the fractional solution that are rounded down; the rest goes to best-fit decreasing, and the best part counts.
-ROUNDINGS = (1.0, 0.75, 0.5, 0.25, 0.0)
+class Packing(NamedTuple):
+    """Where pieces go: arrays (length, first rank, times a sequence, first sequence, offset); how many sequences in
+    all and from configurations of the LP; and the lower bound that the LP's dual proves."""
 
+    rows: list[np.ndarray]
+    sequences: int
+    from_configurations: int
+    bound: int
 
-def rounded(fractional: dict[tuple, float], lengths: np.ndarray, counts: np.ndarray, capacity: int, part: float):
-    """Classes of equal sequences from a part of the fractional solution, rounded down, and best-fit of what is left."""
-    left, classes = counts.copy(), []
-    for config, uses in fractional.items():
-        m = int(part * uses + 1e-9)
-        if m:
+
+def rounded(fraction: Fraction, lengths: np.ndarray, left: np.ndarray, capacity: int, slack: float) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Classes of equal sequences: the configurations whose dual price is 1, or within slack of it, the most used first,
+    each as often as its uses rounded up and the pieces left allow. Takes those pieces from `left`."""
+    classes = []
+    for config, uses in sorted(fraction.uses.items(), key=lambda c: (-c[1], c[0])):
+        m = min([math.ceil(uses - 1e-9), *(int(left[i]) // k for i, k in config)])
+        if m and sum(fraction.dual[i] * k for i, k in config) >= 1 - slack - 1e-9:
             classes.append((m, [(int(lengths[i]), k) for i, k in config]))
             for i, k in config:
                 left[i] -= m * k
-    return classes + best_fit(lengths, left, capacity)
+    return classes
+
 
+def packed_classes(lengths: np.ndarray, counts: np.ndarray, capacity: int, least_gain: float = 0.2):
+    """Classes of equal sequences from configurations, others by best-fit decreasing, and the lower bound.
 
-def packing_plan(histogram: dict[int, int], capacity: int = 4096, fraction: float = 0.5, rounds: int = 400):
-    """Where pieces go: arrays (length, first rank, times a sequence, first sequence, offset), and the number of sequences."""
+    The LP is solved, rounded, and solved again for what is left, as long as that places least_gain of it. Of these
+    depths that with the fewest sequences counts, and the deepest of those.
+    """
+    for rate, step in SCHEDULE:
+        fraction = solve(lengths, counts, capacity, rate, step)
+        if fraction.sequences <= (1 + TOLERANCE) * fraction.bound:
+            break
+    gap = fraction.sequences / fraction.bound - 1
+    slack = 0 if gap <= TOLERANCE else gap
+    bound, left, classes, best = fraction.bound, counts.copy(), [], None
+    while True:
+        own = np.flatnonzero(left)
+        open_, before = left[own], (lengths * left).sum()
+        classes = classes + rounded(fraction, lengths[own], open_, capacity, slack)
+        left[own] = open_
+        rest = best_fit(lengths, left, capacity)
+        n = sum(m for m, _ in classes + rest)
+        if best is None or n <= best[0]:
+            best = n, classes, rest
+        after = (lengths * left).sum()
+        if after > (1 - least_gain) * before or not after:
+            return best[1], best[2], math.ceil(bound - 1e-6)
+        own = np.flatnonzero(left)
+        fraction = solve(lengths[own], left[own], capacity, rate, step)
+
+
+def packing_plan(histogram: dict[int, int], capacity: int = 4096) -> Packing:
+    """The packing of pieces of these lengths, {length: number}."""
     full = histogram.get(capacity, 0)
     items = sorted((k, n) for k, n in histogram.items() if k < capacity and n)
     lengths, counts = (np.array([x[i] for x in items], np.int64) for i in (0, 1))
-    classes: list[tuple[int, list[tuple[int, int]]]] = []
-    if len(items):
-        fractional = solve(lengths, counts, capacity, fraction, rounds)
-        classes = min((rounded(fractional, lengths, counts, capacity, part) for part in ROUNDINGS), key=lambda c: sum(m for m, _ in c))
-    if full:
-        classes.append((full, [(capacity, 1)]))
+    configurations, rest, bound = packed_classes(lengths, counts, capacity) if items else ([], [], 0)
+    if full:  # the configuration of one whole piece
+        configurations = [*configurations, (full, [(capacity, 1)])]
     rank, sequence, rows = defaultdict(int), 0, []
-    for m, content in classes:
+    for m, content in configurations + rest:
         offset = 0
         for length, times in content:
             rows.append((length, rank[length], times, sequence, offset))
@@ -265,16 +318,14 @@ def packing_plan(histogram: dict[int, int], capacity: int = 4096, fraction: floa
             offset += length * times
         sequence += m
     rows.sort()
-    return [np.array([r[i] for r in rows], np.int64) for i in range(5)], sequence
+    arrays = [np.array([r[i] for r in rows], np.int64) for i in range(5)]
+    return Packing(arrays, sequence, sum(m for m, _ in configurations), bound + full)
 
 
-def pack(
-    pieces: DataFrame, capacity: int = 4096, fraction: float = 0.5, rounds: int = 400, rows_per_bucket: int = 50_000
-) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, rows_per_bucket: int = 50_000) -> DataFrame:
     """pieces (doc_id, piece, length, ...; lengths from 1 to capacity) with sequence_id and offset, gapless from 0."""
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan, _ = packing_plan(counts, capacity, fraction, rounds)
-    shared = pieces.sparkSession.sparkContext.broadcast(plan)
+    shared = pieces.sparkSession.sparkContext.broadcast(packing_plan(counts, capacity).rows)
     buckets = max(16, math.ceil(sum(counts.values()) / rows_per_bucket))
     salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     earlier = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,13 +1,14 @@
 import math
 import random
 import zlib
+from itertools import product
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from brevier.llm.packing import pack, pack_documents, packing_plan, sequences, token_pieces
+from brevier.llm.packing import best_configuration, pack, pack_documents, packing_plan, sequences, solve, token_pieces
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -43,9 +44,10 @@ def test_tokens_and_packing_round_trip(spark, nasty, empty):
 def test_plan_places_all_and_is_tight(seed):
     rng = random.Random(seed)
     histogram = {rng.randint(1, 1000): rng.randint(1, 40) for _ in range(60)}
-    plan, n = packing_plan(histogram, 1000)
+    plan = packing_plan(histogram, 1000)
+    n = plan.sequences
     placed = {}
-    for length, first, times, sequence, offset in zip(*plan, strict=True):
+    for length, first, times, sequence, offset in zip(*plan.rows, strict=True):
         placed.setdefault(length, []).append((first, times, sequence, offset))
     room = {}
     for length, count in histogram.items():
@@ -70,4 +72,47 @@ def test_plan_places_all_and_is_tight(seed):
             bins[min(fits)[1]] -= size
         else:
             bins.append(1000 - size)
-    assert bound <= n <= 1.01 * len(bins) + 1
+    assert bound <= plan.bound <= n <= 1.01 * len(bins) + 1
+    assert plan.from_configurations >= 0.5 * n  # few lengths with hardly a full sequence among them
+
+
+def test_linear_program_carries_the_plan():
+    rng = np.random.default_rng(7)
+    lengths, counts = np.unique(np.minimum(rng.lognormal(6.3, 1, 9000).astype(int) + 1, 4095), return_counts=True)
+    plan = packing_plan(dict(zip(lengths.tolist(), counts.tolist(), strict=True)))
+    assert plan.from_configurations >= 0.8 * plan.sequences and plan.sequences <= plan.bound + 1
+
+
+def test_solution_covers_all_within_its_bound():
+    rng = np.random.default_rng(3)
+    lengths = np.unique(rng.integers(1, 1000, 150))
+    counts = rng.integers(1, 60, len(lengths))
+    found = solve(lengths, counts, 1000)
+    covered = np.zeros(len(lengths))
+    for config, uses in found.uses.items():
+        assert uses > 0 and sum(int(lengths[i]) * k for i, k in config) <= 1000
+        for i, k in config:
+            covered[i] += uses * k
+    assert np.allclose(covered, counts)
+    assert found.bound <= found.sequences <= 1.03 * found.bound
+
+
+def test_dual_bounds():
+    assert packing_plan({600: 5, 700: 3}, 1000).bound == 8  # pieces of over half a sequence
+    assert packing_plan({500: 7}, 1000)[1:] == (4, 3, 4)  # three full pairs and one alone
+    # Three pieces of 334 don't fit: by tokens 34 sequences are enough, by the weights' best configuration 50 are needed.
+    assert packing_plan({334: 100}, 1000).bound == packing_plan({334: 100}, 1000).sequences == 50
+    assert packing_plan({1000: 4}, 1000)[1:] == (4, 4, 4)
+    assert packing_plan({}, 1000)[1:] == (0, 0, 0)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_knapsack_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    lengths, limits, prices = np.array([3, 5, 7, 11]), rng.integers(1, 4, 4), rng.random(4)
+    best = max(
+        sum(prices * k) for k in product(*(range(n + 1) for n in limits)) if sum(lengths * k) <= 30
+    )
+    value, chosen = best_configuration(lengths, prices, limits, 30)
+    assert value == pytest.approx(best) == pytest.approx(sum(prices[i] * k for i, k in chosen.items()))
+    assert sum(lengths[i] * k for i, k in chosen.items()) <= 30 and all(k <= limits[i] for i, k in chosen.items())
