@@ -1,17 +1,22 @@
 """Toxicity by weak supervision.
 
-Voters: words of a lexicon, typographic patterns, and word beginnings that a bounded sample of labelled rows
-shows to be much more frequent in toxic texts. A generative label model treats each vote, and the label where
-a row has one, as a noisy witness of a hidden class; expectation maximisation estimates the class balance and
-each voter's rates under either class, and the correlations among voters of one class, by which votes that
-say the same thing are discounted. A linear classifier is trained on the posterior labels and scores every
-text. What is learnt is bounded by max_labelled rows and max_patterns patterns, not by the corpus.
+Voters: words of a lexicon, word beginnings, and typographic patterns; each says that a text is toxic, loudly if
+it hits often, or abstains. One more voter speaks where no word or beginning hits, or a single one. Beginnings
+are those much more frequent in the toxic texts among two thirds of a bounded sample of labelled rows.
+
+A generative label model takes the votes of a bounded sample of texts, whose labels it does not see, as noisy
+witnesses of a hidden class. Expectation maximisation estimates the class balance, each voter's rates under
+either class, and the correlations among voters of one class, by which votes that say the same thing are
+discounted. The other third of the labelled rows anchors balance and rates: it counts in the maximisation with
+its labels. A linear classifier is trained on the posterior labels and scores every text. What is learnt is
+bounded by max_labelled and max_texts rows and max_patterns patterns, not by the corpus.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -19,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brevier.llm.common import cut
+
 # Seed lexicon.
 LEXICON = (
     "idiot idiots stupid moron morons loser losers trash scum pathetic worthless disgusting clown clowns dumb "
@@ -73,9 +80,16 @@ class Voters:
         return out, len(words)
 
 
-def votes_of(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Two votes of each voter: it hits at all; it hits at least once in a hundred words."""
-    return np.hstack([counts > 0, counts * 100 >= np.maximum(sizes, 1)[:, None]]).astype(float) * np.tile(counts.any(1)[:, None], 2 * counts.shape[1])
+def votes_of(counts: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """A vote of each voter: 0 abstains, 1 hits once, 2 hits more often.
+
+    The last voter counts the hits of all words and beginnings: 1 says none, 2 says a single one. A beginning
+    abstains if its hit is the single one, which the last voter judges.
+    """
+    votes = np.minimum(counts, 2).astype(np.int8)
+    total = counts[:, groups < 2].sum(1)
+    votes[np.ix_(total == 1, groups == 1)] = 0
+    return np.hstack([votes, np.where(total > 1, 0, total + 1)[:, None]]).astype(np.int8)
 
 
 def features_of(counts: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> np.ndarray:
@@ -86,31 +100,61 @@ def features_of(counts: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> np
     return np.hstack([every > 0, np.log1p(every), density, np.log1p(sizes)[:, None] / 10])
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25, gold_accuracy: float = 0.97) -> tuple[np.ndarray, dict]:
-    """Posterior of the hidden class for each row, and the estimates. gold: 1, 0 or NaN."""
-    known = ~np.isnan(gold)
-    prior = float(np.clip(gold[known].mean() if known.any() else 0.1, 0.01, 0.5))
-    post = np.where(known, np.where(gold == 1, gold_accuracy, 1 - gold_accuracy), prior)
+#: What voters count as having seen beforehand, (texts, share of them hit): toxic and clean texts, by group of voters.
+PRIORS = {0: ((10, 0.1), (100, 0.005)), 1: ((10, 0.02), (10, 0.02)), 2: ((10, 0.02), (10, 0.02))}
+#: The last voter likewise, for its votes that no word or beginning hits and that a single one does.
+FEW = ((10, (0.2, 0.1)), (10, (0.8, 0.1)))
+#: The class balance likewise.
+BALANCE = (10, 0.1)
+
+
+def label_model(votes: np.ndarray, gold_votes: np.ndarray, gold: np.ndarray, groups: np.ndarray, gold_weight: float = 3.0, rounds: int = 50) -> tuple[np.ndarray, dict]:
+    """Posterior probability of the toxic class for each row of votes, and the estimates.
+
+    gold_votes and gold (0 or 1) are the votes and labels of other rows, which count with their labels, each as
+    gold_weight texts: they keep the hidden class from drifting to another meaning. A posterior
+    is the balance times the rates of the votes, abstentions included, each with its voter's weight.
+    A weight is 1 / (1 + the sum of the voter's correlations with others): voters that hit the same clean texts are no
+    independent witnesses.
+    """
     n = votes.shape[1]
-    weight = np.ones(n)
-    for _ in range(rounds):
-        mass = np.array([post.sum(), (1 - post).sum()])
-        rate = np.stack([(post @ votes + 0.5) / (mass[0] + 5), ((1 - post) @ votes + 0.05) / (mass[1] + 5)])
-        rate = np.clip(rate, 1e-4, 1 - 1e-4)
-        correlation = np.zeros((n, n))
-        for side, p in enumerate((post, 1 - post)):
-            centred = (votes - rate[side]) * np.sqrt(p)[:, None]
-            spread = np.sqrt((centred**2).sum(0)) + 1e-9
-            correlation = np.maximum(correlation, (centred.T @ centred) / np.outer(spread, spread))
-        np.fill_diagonal(correlation, 0)
-        weight = 1 / (1 + np.clip(correlation, 0, 1).sum(1))
-        yes, no = np.log(rate[0] / rate[1]), np.log((1 - rate[0]) / (1 - rate[1]))
-        score = np.log(prior / (1 - prior)) + (votes * (weight * yes)).sum(1) + ((1 - votes) * (weight * no)).sum(1)
-        trust = np.log(gold_accuracy / (1 - gold_accuracy))
-        score = score + np.where(known, np.where(gold == 1, trust, -trust), 0)
-        post = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        prior = float(np.clip(post.mean(), 0.005, 0.6))
-    return post, {"prior": prior, "rates": rate, "correlation": correlation, "weight": weight}
+    cast = [(votes == k).astype(float) for k in (1, 2, 0)]  # 0 abstains
+    gold_side = gold_weight * np.stack([gold == 1, gold == 0])
+    gold_hits = [gold_side @ (gold_votes == k) for k in (1, 2)]  # (class, voter)
+    prior_mass = np.array([[PRIORS[g][c][0] for g in groups] + [FEW[c][0]] for c in (0, 1)], float)
+    # A voter's votes 1 and 2 are taken to be as likely beforehand, but for the last one's.
+    prior_rates = [np.array([[PRIORS[g][c][1] / 2 for g in groups] + [FEW[c][1][j]] for c in (0, 1)], float) for j in (0, 1)]
+    post, weight = np.zeros(len(votes)), np.ones(n)
+    mass, hits = np.zeros(2), [np.zeros((2, n))] * 2
+    for k in range(rounds + 1):
+        total = mass + gold_side.sum(1)
+        balance = float((total[0] + BALANCE[0] * BALANCE[1]) / (total.sum() + BALANCE[0]))
+        rates = [(hits[j] + gold_hits[j] + prior_mass * prior_rates[j]) / (total[:, None] + prior_mass) for j in (0, 1)]
+        odds = [np.log(np.maximum(r[0], 1e-9) / np.maximum(r[1], 1e-9)) for r in [*rates, 1 - rates[0] - rates[1]]]
+        if k == rounds or not len(votes):
+            break
+        score = np.log(balance / (1 - balance)) + sum(c @ (weight * o) for c, o in zip(cast, odds, strict=True))
+        before, post = post, 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+        side = np.stack([post, 1 - post])
+        mass, hits = side.sum(1), [side @ c for c in cast[:2]]
+        weight = 1 / (1 + correlations(votes > 0, 1 - post).sum(1))
+        if np.abs(post - before).max() < 1e-4:
+            break
+    return post, {"balance": balance, "rates": rates, "weight": weight}
+
+
+#: Weaker correlations are not told from chance in a sample; a voter needs so many hits for its correlations to count.
+LEAST_CORRELATION, LEAST_HITS = 0.2, 1.0
+
+
+def correlations(hits: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """How far each two voters hit together in texts of these probabilities to be clean, from 0 to 1."""
+    share = clean @ hits / max(clean.sum(), 1e-9)
+    centred = (hits - share) * np.sqrt(clean)[:, None]
+    spread = np.sqrt((centred**2).sum(0) + LEAST_HITS)
+    found = (centred.T @ centred) / np.outer(spread, spread)
+    np.fill_diagonal(found, 0)
+    return np.where(found > LEAST_CORRELATION, found, 0)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -128,22 +172,34 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return w
 
 
+def drawn(rows: DataFrame, most: int, salt: str) -> DataFrame:
+    """About `most` rows, drawn by a hash of their id."""
+    scale = 1 << 30
+    return rows.where(F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(scale)) < min(scale, scale * most // max(1, rows.count())))
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_id: str, label_col: str, max_labelled: int
 ) -> DataFrame:
-    """About max_labelled rows (text, y) of the labelled rows that `learn`, on column id, allows, drawn by a hash of the id."""
+    """(text, y, mine) of about max_labelled of the labelled rows that `learn`, on column id, allows; two thirds to mine."""
     usable = labels.select(F.col(label_id).alias("id"), F.col(label_col).alias("y")).where(F.col("y").isNotNull() & learn)
-    n = usable.count()
-    scale = 1 << 30
-    drawn = usable.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(scale)) < min(scale, scale * max_labelled // max(1, n)))
-    one = drawn.groupBy("id").agg(F.max("y").alias("y"))
+    mine = F.pmod(F.xxhash64(F.lit("mine"), "id"), F.lit(3)) > 0
+    one = drawn(usable, max_labelled, "sample").groupBy("id").agg(F.max("y").alias("y")).withColumn("mine", mine)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # The sample has a bounded number of rows of two numbers each.
-    return texts.join(F.broadcast(one), "id").select("text", "y")
+    # The sample has a bounded number of rows of three small values each.
+    return texts.join(F.broadcast(one), "id").select("text", "y", "mine")
+
 
+def mine_patterns(sample: DataFrame, max_patterns: int, min_precision: float, significance: float) -> list[str]:
+    """Word beginnings most typical of the toxic texts of the sample, by the likelihood ratio of their 2 x 2 table.
 
-def mine_patterns(sample: DataFrame, n_toxic: int, max_patterns: int, min_precision: float) -> list[str]:
-    """Word beginnings most typical of the toxic texts of the sample."""
+    Significance is the least ratio (G squared). Chance gives one of some 300,000 beginnings 25; those that three toxic
+    texts and hardly a clean one have are far fewer.
+    """
+    sizes = {r["y"]: r["n"] for r in sample.groupBy(F.when(F.col("y") == 1, 1).otherwise(0).alias("y")).agg(F.count("*").alias("n")).collect()}
+    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+    if not toxic or not clean:
+        return []
 
     def count(batches):
         seen = {0: Counter(), 1: Counter()}
@@ -157,22 +213,27 @@ def mine_patterns(sample: DataFrame, n_toxic: int, max_patterns: int, min_precis
             ["start", "y", "n"],
         )
 
-    at_least = max(3, n_toxic // 100)
+    bad, good = F.col("bad"), F.col("good")
+    base = toxic / (toxic + clean)
+    cell = lambda n, of, share: F.when(n > 0, n * F.log(n / (of * share))).otherwise(0.0)
+    hit, missed = bad + good, toxic + clean - bad - good
+    ratio = 2 * (cell(bad, hit, base) + cell(good, hit, 1 - base) + cell(toxic - bad, missed, base) + cell(clean - good, missed, 1 - base))
     counted = (
         sample.mapInArrow(count, "start string, y int, n long")
         .groupBy("start")
         .agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good"))
-        .where((F.col("bad") >= at_least) & (F.col("bad") >= min_precision * (F.col("bad") + F.col("good") + 1)))
-        .orderBy(F.desc(F.col("bad") * F.col("bad") / (F.col("bad") + F.col("good") + 1)), F.desc(F.length("start")), "start")
+        .where((bad > 2) & (bad >= min_precision * (hit + 1)))
+        .withColumn("ratio", ratio)
+        .where(F.col("ratio") >= significance)
+        .orderBy(F.desc(bad * bad / (hit + 1)), F.desc(F.length("start")), "start")
         .limit(10 * max_patterns)
         .collect()
     )
-    chosen: list[tuple[str, int, int]] = []
-    for r in counted:
-        alike = [c for c in chosen if (c[0].startswith(r["start"]) or r["start"].startswith(c[0])) and (c[1], c[2]) == (r["bad"], r["good"])]
-        if not alike and len(chosen) < max_patterns:
-            chosen.append((r["start"], r["bad"], r["good"]))
-    return sorted(c[0] for c in chosen)
+    chosen: list[str] = []
+    for r in counted:  # one voter for each family of beginnings, none that only repeats the lexicon
+        if len(chosen) < max_patterns and not any(x.startswith(r["start"]) or r["start"].startswith(x) for x in [*LEXICON, *chosen]):
+            chosen.append(r["start"])
+    return sorted(chosen)
 
 
 def train(
@@ -183,14 +244,21 @@ def train(
     text_col: str = "text",
     label_id: str = "doc_id",
     label_col: str = "toxic",
-    max_labelled: int = 8000,
+    max_labelled: int = 12_000,
+    max_texts: int = 8_000,
     max_patterns: int = 80,
     min_precision: float = 0.3,
+    significance: float = 18.0,
+    model: Callable = label_model,
 ) -> dict:
-    """A model from about max_labelled labelled rows. learn is a condition on a column `id`."""
-    sample = labelled_sample(docs, labels, learn, id_col, text_col, label_id, label_col, max_labelled)
-    balance = sample.agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("bad")).first()
-    voters = Voters(mine_patterns(sample, balance["bad"], max_patterns, min_precision))
+    """A model from about max_labelled labelled rows and max_texts texts. learn is a condition on a column `id`.
+
+    Rows that `learn` does not allow give neither labels nor texts. Without labels the lexicon alone votes.
+    """
+    sample = cut(labelled_sample(docs, labels, learn, id_col, text_col, label_id, label_col, max_labelled))
+    mined = sample.where("mine")
+    voters = Voters(mine_patterns(mined, max_patterns, min_precision, significance))
+    groups = np.array([0] * len(LEXICON) + [1] * len(voters.patterns) + [2] * len(TYPOGRAPHY))
 
     def count(batches):
         for batch in batches:
@@ -200,16 +268,17 @@ def train(
                 ["counts", "size", "y"],
             )
 
-    rows: pd.DataFrame = sample.mapInArrow(count, "counts array<float>, size long, y double").toPandas()
-    width = len(voters.names)
-    groups = np.array([0] * len(LEXICON) + [1] * len(voters.patterns) + [2] * len(TYPOGRAPHY))
-    if not len(rows):
-        weights = np.append(np.zeros(3 * (width + 2) + 1), -3.0)  # without labels every text is taken to be clean
-        return {"patterns": voters.patterns, "groups": groups, "weights": weights, "model": None}
-    counts, sizes = np.stack(rows["counts"].to_numpy()).astype(float), rows["size"].to_numpy(float)
-    post, model = label_model(votes_of(counts, sizes), rows["y"].to_numpy(float))
+    def counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found: pd.DataFrame = rows.mapInArrow(count, "counts array<float>, size long, y double").toPandas()
+        listed = np.stack(found["counts"].to_numpy()) if len(found) else np.zeros((0, len(groups)))
+        return listed.astype(float), found["size"].to_numpy(float), found["y"].to_numpy(float)
+
+    texts = drawn(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(learn), max_texts, "texts")
+    counts, sizes, _ = counted(texts.select("text", F.lit(None).cast("double").alias("y")))
+    gold_counts, _, gold = counted(sample.where("not mine").select("text", "y"))
+    post, estimates = model(votes_of(counts, groups), votes_of(gold_counts, groups), gold, groups)
     weights = logistic(features_of(counts, sizes, groups), post)
-    return {"patterns": voters.patterns, "groups": groups, "weights": weights, "model": model}
+    return {"patterns": voters.patterns, "groups": groups, "weights": weights, "model": estimates}
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

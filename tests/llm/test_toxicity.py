@@ -3,18 +3,75 @@ import random
 import numpy as np
 
 from brevier.llm.common import held_out
-from brevier.llm.toxicity import label_model, score, train
+from brevier.llm.toxicity import BALANCE, FEW, LEAST_CORRELATION, LEAST_HITS, PRIORS, label_model, score, train
 
 
-def test_label_model_finds_the_hidden_class():
+def made(rng, n, accuracies):
+    """Hidden classes and votes (0, 1, 2; the last voter speaks where none hits) of independent voters."""
+    y = rng.random(n) < 0.2
+    hits = np.stack([np.where(y, rng.random(n) < a, rng.random(n) < b) for a, b in accuracies], 1)
+    votes = hits * np.where(rng.random(hits.shape) < 0.5, 1, 2)
+    total = votes.sum(1)
+    return y, np.hstack([votes, np.where(total > 1, 0, total + 1)[:, None]]).astype(np.int8)
+
+
+def brute_force(votes, gold_votes, gold, groups, gold_weight, rounds):
+    """The same estimates, one text and one vote at a time."""
+    n = votes.shape[1]
+    prior = lambda j, c, k: (PRIORS[groups[j]][c][0], PRIORS[groups[j]][c][1] / 2) if j < n - 1 else (FEW[c][0], FEW[c][1][k - 1])
+    post, weight = [0.0] * len(votes), [1.0] * n
+    known = [(v, y, gold_weight) for v, y in zip(gold_votes, gold, strict=True)]
+    for k in range(rounds):
+        rows = known + ([(v, 1, p) for v, p in zip(votes, post, strict=True)] + [(v, 0, 1 - p) for v, p in zip(votes, post, strict=True)] if k else [])
+        mass = {c: sum(w for _, y, w in rows if y == c) for c in (0, 1)}
+        balance = (mass[1] + BALANCE[0] * BALANCE[1]) / (mass[0] + mass[1] + BALANCE[0])
+        odds, rates = {}, {}
+        for j in range(n):
+            for kind in (1, 2):
+                rate = {}
+                for c, y in ((0, 1), (1, 0)):
+                    m, share = prior(j, c, kind)
+                    rate[y] = (sum(w for v, z, w in rows if z == y and v[j] == kind) + m * share) / (mass[y] + m)
+                odds[j, kind] = np.log(max(rate[1], 1e-9) / max(rate[0], 1e-9))
+                rates[j, kind] = rate
+            none = [max(1 - rates[j, 1][y] - rates[j, 2][y], 1e-9) for y in (0, 1)]
+            odds[j, 0] = np.log(none[1] / none[0])
+        post = [1 / (1 + np.exp(-(np.log(balance / (1 - balance)) + sum(weight[j] * odds[j, v[j]] for j in range(n))))) for v in votes]
+        clean = [1 - p for p in post]
+        mean = [sum(q for q, v in zip(clean, votes, strict=True) if v[j]) / sum(clean) for j in range(n)]
+        both = lambda i, j: sum(q * ((v[i] > 0) - mean[i]) * ((v[j] > 0) - mean[j]) for q, v in zip(clean, votes, strict=True))
+        spread = [np.sqrt(both(j, j) + LEAST_HITS) for j in range(n)]
+        found = [[both(i, j) / spread[i] / spread[j] if i != j else 0 for j in range(n)] for i in range(n)]
+        weight = [1 / (1 + sum(x for x in own if x > LEAST_CORRELATION)) for own in found]
+    return post, balance, weight
+
+
+def test_label_model_against_brute_force():
+    rng = np.random.default_rng(3)
+    y, votes = made(rng, 120, [(0.7, 0.05), (0.5, 0.02), (0.6, 0.3)])
+    votes = np.hstack([votes[:, 2:3], votes])  # two voters that always agree, in many clean texts too
+    gold_y, gold_votes = made(rng, 15, [(0.7, 0.05), (0.5, 0.02), (0.6, 0.3)])
+    gold_votes = np.hstack([gold_votes[:, 2:3], gold_votes])
+    groups = np.array([1, 0, 0, 1])
+    post, estimates = label_model(votes, gold_votes, gold_y.astype(float), groups, rounds=6)
+    wanted, balance, weight = brute_force(votes, gold_votes, gold_y.astype(float), groups, 3.0, 6)
+    assert np.allclose(post, wanted, atol=1e-3) and np.allclose(estimates["weight"], weight, atol=1e-2)
+    assert abs(estimates["balance"] - balance) < 1e-2
+    assert estimates["weight"][0] < 0.9  # voters that say the same thing are discounted
+
+
+def test_label_model_finds_the_hidden_class_better_than_counting_votes():
     rng = np.random.default_rng(0)
-    y = rng.random(3000) < 0.2
-    votes = np.stack([np.where(y, rng.random(3000) < 0.8, rng.random(3000) < 0.05) for _ in range(6)], 1).astype(float)
-    votes = np.hstack([votes, votes[:, :1]])  # a voter that only repeats another
-    gold = np.where(rng.random(3000) < 0.1, y, np.nan)
-    post, model = label_model(votes, gold)
-    assert ((post > 0.5) == y).mean() > 0.98
-    assert model["weight"][0] < model["weight"][1] and model["correlation"][0, 6] > 0.99
+    voters = [(0.6, 0.01)] * 4 + [(0.4, 0.3)] * 6  # four good voters and six bad ones
+    y, votes = made(rng, 4000, voters)
+    gold_y, gold_votes = made(rng, 60, voters)
+    post, _ = label_model(votes, gold_votes, gold_y.astype(float), np.ones(10, int))
+    wrong = ((post > 0.5) != y).mean()
+    majority = min(((votes[:, :-1] > 0).sum(1) >= k).__ne__(y).mean() for k in range(1, 8))
+    assert wrong < 0.06 and wrong < 0.6 * majority
+    never = np.full(len(gold_y), 0.0)
+    blind, _ = label_model(votes[:0], gold_votes, never, np.ones(10, int))
+    assert len(blind) == 0
 
 
 def test_held_out_accuracy_and_edge_cases(spark, nasty, empty):
@@ -35,7 +92,17 @@ def test_held_out_accuracy_and_edge_cases(spark, nasty, empty):
     assert any("grumble".startswith(p[:7]) for p in model["patterns"])
     found = score(docs, model).where(held_out("id", 4, 2)).collect()
     assert len(found) > 50 and all((r.score >= 0.3) == (r.id % 5 == 0) for r in found)
+
+    def counted(votes, gold_votes, gold, groups):  # in place of the label model: a text with more than two votes is toxic
+        return ((votes[:, :-1] > 0).sum(1) > 2).astype(float), {}
+
+    other = score(docs, train(docs, marks, ~held_out("id", 4, 2), model=counted)).where(held_out("id", 4, 2)).collect()
+    assert any((r.score >= 0.3) != (r.id % 5 == 0) for r in other)
     got = score(nasty, model).collect()
     assert len(got) == nasty.count() and all(0 <= r.score <= 1 for r in got)
     assert score(empty, model).count() == 0
-    assert all(r.score < 0.3 for r in score(docs, train(docs, marks.limit(0), ~held_out("id", 4, 2))).collect())
+    # Without labels the lexicon alone votes.
+    alone = {r.id: r.score for r in score(docs, train(docs, marks.limit(0), ~held_out("id", 4, 2))).collect()}
+    text = dict(rows)
+    assert all((alone[k] >= 0.3) == ("idiot" in text[k] or "moron" in text[k]) for k in alone)
+    assert train(empty, marks, ~held_out("id", 4, 2))["patterns"] == []
