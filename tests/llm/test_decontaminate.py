@@ -1,4 +1,7 @@
 import random
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from brevier.llm.decontaminate import contaminated_pairs, decontaminate, tile_pair, tiles
 
@@ -65,7 +68,49 @@ def test_pairs_by_both_ways(spark, nasty, empty):
     assert sorted((r.doc_id, r.item_id, r.n_tiles, r.matched_tokens) for r in one.collect()) == [(1, 7, 1, 20), (2, 7, 2, 20)]
     two = contaminated_pairs(docs, items, max_broadcast_tokens=0)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
-    assert {r.doc_id for r in decontaminate(docs, items).collect()} == {3, 4, 5, 6}
+    for limit in (0, 2_000_000):
+        assert {r.doc_id for r in decontaminate(docs, items, max_broadcast_tokens=limit).collect()} == {3, 4, 5, 6}
     assert contaminated_pairs(nasty, items).count() == 0 and contaminated_pairs(empty, items).count() == 0
     assert contaminated_pairs(docs, items.limit(0)).count() == 0
     assert decontaminate(nasty, items).count() == nasty.count()
+
+
+def test_both_ways_agree_on_null_ids_repeats_and_short_items(spark, nasty):
+    words = ITEM.split()
+    rows = [(1, ITEM), (1, ITEM), (None, "so " + ITEM), (None, None), (2, "x tau upsilon y"), (2, "nothing here"), (3, "the " * 3000), (4, " ".join(words[:11]))]
+    docs = spark.createDataFrame([(k, t, "z", 1) for k, t in rows], "doc_id long, text string, key string, item_id int")
+    docs = docs.unionByName(nasty.select("doc_id", "text", "key", F.col("fp").alias("item_id")))
+    items = spark.createDataFrame(
+        [(7, ITEM), (None, ITEM), (8, "Tau, upsilon!"), (9, "the the the the the the"), (9, "the the the the the the"), (10, "?!"), (11, None)], "item_id long, text string"
+    )
+    found = [sorted(map(tuple, contaminated_pairs(docs, items, max_broadcast_tokens=n).collect()), key=repr) for n in (0, 2_000_000)]
+    assert found[0] == found[1]
+    pairs = Counter((r[0], r[1]) for r in found[0])
+    assert pairs[1, 7] == 2 and pairs[None, 7] == pairs[None, None] == 1 and pairs[2, 8] == pairs[1, 8] / 2 == 1
+    assert pairs[3, 9] == pairs[8, 9] == 2 and pairs[4, 7] == 0
+    kept = [Counter(map(tuple, decontaminate(docs, items, max_broadcast_tokens=n).collect())) for n in (0, 2_000_000)]
+    assert kept[0] == kept[1] and kept[0][2, "nothing here", "z", 1] == 1 and not any(r[1] and ITEM in r[1] for r in kept[0])
+    assert sum(kept[0].values()) == docs.count() - len(rows) + 3 - 1  # of nasty one row has "the" 500 times
+
+
+def test_pairs_equal_brute_force(spark):
+    rng = random.Random(11)
+    item_rows = [(k, " ".join(f"w{rng.randrange(6)}" for _ in range(rng.randrange(1, 25)))) for k in range(25)]
+    doc_rows = []
+    for k in range(60):
+        words = [f"w{rng.randrange(7)}" for _ in range(rng.randrange(40))]
+        own = item_rows[rng.randrange(25)][1].split()
+        at = rng.randrange(len(own))
+        doc_rows.append((k, " ".join(words + own[at:] + words[:3] + own[:at])))
+    wanted = []
+    for d, text in doc_rows:
+        for i, item in item_rows:
+            own = item.split()
+            cut = slow_tiles(own, text.split(), min(5, len(own)))
+            matched = sum(n for _, _, n in cut)
+            if matched >= 0.6 * len(own):
+                wanted.append((d, i, len(cut), matched))
+    docs, items = spark.createDataFrame(doc_rows, "doc_id long, text string"), spark.createDataFrame(item_rows, "item_id long, text string")
+    for limit in (0, 2_000_000):
+        got = contaminated_pairs(docs, items, max_broadcast_tokens=limit).collect()
+        assert sorted((r.doc_id, r.item_id, r.n_tiles, r.matched_tokens) for r in got) == sorted(wanted)
