@@ -83,7 +83,7 @@ def passages(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, thre
     """
     share = threshold / (2 - threshold)
     met = (
-        docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), normal_words(F.col(text_col)).alias("words"))
+        docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), normal_words(F.col(text_col)).alias("words"))
         .where(F.size("words") > 1)
         .select("row", "doc_id", F.posexplode(bigrams_of(F.col("words"))).alias("at", "gram"))
         .join(F.broadcast(known), "gram")
@@ -118,46 +118,44 @@ def license_matches(
     """(doc_id, license_id, n_units, dice): licences found in a document, with the number of units and the best score.
 
     A unit is a line, or the whole text where it has several lines. A passage of the text, which can cross lines
-    or be a part of one, also counts for the score, and is the one unit where no line or whole text matches. Null and empty texts match nothing. Rows
-    with one id are one document. A null id is a document of its own name.
+    or be a part of one, also counts for the score, and is the one unit where no line or whole text matches. Null and
+    empty texts match nothing. Rows are judged one by one; those with one id, null too, are one document in the result,
+    whose units are those of all its rows, exact repeats of a row included.
     """
     spark: SparkSession = docs.sparkSession
-    rows = template_rows(TEMPLATES if templates is None else templates)
-    sizes = sorted({n for r in rows for a, b in [size_bounds(n_bigrams(r[2]), threshold)] for n in range(a, b + 1)})
+    listed = template_rows(TEMPLATES if templates is None else templates)
+    sizes = sorted({n for r in listed for a, b in [size_bounds(n_bigrams(r[2]), threshold)] for n in range(a, b + 1)})
     known = (
-        spark.createDataFrame(rows, "license_id string, template int, body string")
+        spark.createDataFrame(listed, "license_id string, template int, body string")
         .withColumn("words", normal_words(F.col("body")))
         .where(F.size("words") > 1)
         .select("license_id", "template", (F.size("words") - 1).alias("m"), F.explode(bigrams_of(F.col("words"))).alias("gram"))
         .groupBy("license_id", "template", "m", "gram")
         .agg(F.count("*").alias("theirs"))
     )
-    lines = docs.select(
-        F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("unit", "body")
-    )
-    whole = docs.where(F.col(text_col).contains("\n")).select(
-        F.col(id_col).alias("doc_id"), F.lit(-1).alias("unit"), F.col(text_col).alias("body")
-    )
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    lines = rows.select("row", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("unit", "body"))
+    whole = rows.where(F.col("text").contains("\n")).select("row", "doc_id", F.lit(-1).alias("unit"), F.col("text").alias("body"))
     share = threshold / (2 - threshold)
     shared = (
         lines.unionByName(whole)
         .withColumn("words", normal_words(F.col("body")))
         .withColumn("n", F.size("words") - 1)
         .where(F.col("n").isin([x for x in sizes if x > 0]))
-        .select("doc_id", "unit", "n", F.explode(bigrams_of(F.col("words"))).alias("gram"))
+        .select("row", "doc_id", "unit", "n", F.explode(bigrams_of(F.col("words"))).alias("gram"))
         .join(F.broadcast(known), "gram")
         .where((F.col("n") >= F.ceil(F.col("m") * share - 1e-9)) & (F.col("n") <= F.floor(F.col("m") / share + 1e-9)))
-        .groupBy("doc_id", "unit", "license_id", "template", "n", "m", "gram")
+        .groupBy("row", "doc_id", "unit", "license_id", "template", "n", "m", "gram")
         .agg(F.least(F.count("*"), F.max("theirs")).alias("both"))
-        .groupBy("doc_id", "unit", "license_id", "template", "n", "m")
+        .groupBy("row", "doc_id", "unit", "license_id", "template", "n", "m")
         .agg(F.sum("both").alias("both"))
     )
     units = (
         shared.withColumn("dice", 2 * F.col("both") / (F.col("n") + F.col("m")))
         .where(F.col("dice") >= threshold)
-        .select("doc_id", "license_id", "unit", "dice")
+        .select("doc_id", "license_id", F.struct("row", "unit").alias("unit"), "dice")
     )
-    inner = passages(docs, known, id_col, text_col, threshold).select("doc_id", "license_id", F.lit(None).cast("int").alias("unit"), "dice")
+    inner = passages(docs, known, id_col, text_col, threshold).select("doc_id", "license_id", F.lit(None).cast("struct<row: bigint, unit: int>").alias("unit"), "dice")
     return (
         units.unionByName(inner)
         .groupBy("doc_id", "license_id")

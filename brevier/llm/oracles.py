@@ -32,25 +32,23 @@ GROUP BY page_id, host, path
 """
 
 OP5 = rf"""
-WITH docs AS (SELECT doc_id, source AS host, coalesce(text, '') AS text, {WORDS.format("text")} AS ws,
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS text, {WORDS.format("text")} AS ws,
                      list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
-windows AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) AS g,
+windows AS (SELECT r, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) AS g,
                    unnest(range(1, len(ws) - 6)) AS i FROM docs WHERE len(ws) >= 8),
-twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
-gaps AS (SELECT doc_id, least(8, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 8)) AS d FROM twice),
-repeats AS (SELECT doc_id, sum(d) AS n_repeat FROM gaps GROUP BY 1),
-lines AS (SELECT doc_id, host, unnest(lines) AS body FROM docs),
-normal AS (SELECT doc_id, host, trim(regexp_replace(regexp_replace(lower(body), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM windows) WHERE n > 1),
+gaps AS (SELECT r, least(8, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i), 8)) AS d FROM twice),
+repeats AS (SELECT r, sum(d) AS n_repeat FROM gaps GROUP BY 1),
+lines AS (SELECT r, doc_id, host, unnest(lines) AS body FROM docs),
+normal AS (SELECT r, doc_id, host, trim(regexp_replace(regexp_replace(lower(body), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
                   len({WORDS.format("body")}) AS n FROM lines),
-hosts AS (SELECT host, count(*) AS n_host FROM docs GROUP BY 1),
-frequent AS (SELECT f.host, f.line FROM (SELECT host, line, count(DISTINCT doc_id) AS n_docs FROM normal GROUP BY 1, 2) f
-             JOIN hosts ON hosts.host = f.host WHERE n_docs > 20 AND n_docs > 0.001 * n_host),
-removed AS (SELECT doc_id, sum(n) AS n_removed FROM normal JOIN frequent USING (host, line) GROUP BY 1),
+frequent AS (SELECT host, line FROM normal GROUP BY 1, 2 HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) > 20),
+removed AS (SELECT r, sum(n) AS n_removed FROM normal JOIN frequent ON frequent.line = normal.line AND frequent.host IS NOT DISTINCT FROM normal.host GROUP BY 1),
 stats AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
                  length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
                  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words,
                  coalesce(n_removed, 0)::BIGINT AS n_removed_words
-          FROM docs LEFT JOIN repeats USING (doc_id) LEFT JOIN removed USING (doc_id)),
+          FROM docs LEFT JOIN repeats USING (r) LEFT JOIN removed USING (r)),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM stats)
 SELECT *, NOT base_failed AND n_removed_words <= 0.5 * n_words AS kept FROM judged
 """
@@ -75,16 +73,17 @@ def license_sql(threshold: float = 0.8) -> str:
 WITH known AS (SELECT license_id, template, {words.format("body")} AS ws FROM (VALUES {values}) t(license_id, template, body)),
 theirs AS (SELECT license_id, template, len(ws) - 1 AS m, g, count(*) AS c FROM (
              SELECT license_id, template, ws, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g FROM known) GROUP BY ALL),
-lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-units AS (SELECT doc_id, unnest(ls) AS body, unnest(range(len(ls)))::BIGINT AS unit FROM lines
-          UNION ALL SELECT doc_id, text, -1 FROM documents WHERE contains(text, chr(10))),
-split AS (SELECT doc_id, unit, {words.format("body")} AS ws FROM units),
+docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+lines AS (SELECT r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM docs),
+units AS (SELECT r, doc_id, unnest(ls) AS body, unnest(range(len(ls)))::BIGINT AS unit FROM lines
+          UNION ALL SELECT r, doc_id, text, -1 FROM docs WHERE contains(text, chr(10))),
+split AS (SELECT r, doc_id, unit, {words.format("body")} AS ws FROM units),
 sized AS (SELECT * FROM split WHERE len(ws) - 1 BETWEEN 1 AND 200),
-ours AS (SELECT doc_id, unit, n, g, count(*) AS c FROM (
-           SELECT doc_id, unit, len(ws) - 1 AS n, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g FROM sized) GROUP BY ALL),
-dice AS (SELECT doc_id, unit, license_id, template, 2 * sum(least(ours.c, theirs.c))::DOUBLE / (n + m) AS dice
-         FROM ours JOIN theirs USING (g) GROUP BY doc_id, unit, license_id, template, n, m)
-SELECT doc_id, license_id, count(DISTINCT unit) AS n_units, round(max(dice), 6) AS dice FROM dice WHERE dice >= {threshold} GROUP BY 1, 2
+ours AS (SELECT r, doc_id, unit, n, g, count(*) AS c FROM (
+           SELECT r, doc_id, unit, len(ws) - 1 AS n, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g FROM sized) GROUP BY ALL),
+dice AS (SELECT r, doc_id, unit, license_id, template, 2 * sum(least(ours.c, theirs.c))::DOUBLE / (n + m) AS dice
+         FROM ours JOIN theirs USING (g) GROUP BY r, doc_id, unit, license_id, template, n, m)
+SELECT doc_id, license_id, count(DISTINCT (r, unit)) AS n_units, round(max(dice), 6) AS dice FROM dice WHERE dice >= {threshold} GROUP BY 1, 2
 """
 
 

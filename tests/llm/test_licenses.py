@@ -13,7 +13,9 @@ def test_matches(spark, nasty, empty):
     assert got[1, "Apache-2.0"] == 1 and got[2, "MIT"] == 1 and got[6, "CC-BY-4.0"] == 1 and got[7, "MIT"] == 1
     assert {d for d, _ in got} == {1, 2, 6, 7}
     assert license_matches(empty).count() == 0
-    license_matches(nasty).collect()
+    assert license_matches(nasty).count() == 0
+    halves = spark.createDataFrame([(1, "released under the"), (1, "the mit license"), (1, "released under mit license"), (None, "Released under the MIT License."), (None, "Released under the MIT License.")], "doc_id long, text string")
+    assert [tuple(r) for r in license_matches(halves).collect()] == [(None, "MIT", 2, 1.0)]  # rows of one id never merge
     own = license_matches(docs, templates={"x": ["talks about a license only"]}, threshold=0.7)
     assert [(r.doc_id, r.license_id) for r in own.collect()] == [(3, "x")]
     plan = license_matches(docs)._jdf.queryExecution().executedPlan().toString()
