@@ -1,10 +1,11 @@
 """Quality rules with cross-document line frequency, in DataFrame functions alone.
 
-Lines are normalised and hashed with their host; each document counts once for each of its lines. A line is
-boilerplate for a host if more of the host's documents hold it than the limit: min_documents, or max_share of
-the host's documents where that is more. Boilerplate is removed, and a document that loses more than
-max_removed of its words is depleted. Counts are pre-aggregated before the shuffle; only lines over the limit
-are joined back, and a frequent line's rows can be split over tasks.
+Lines are normalised and hashed with their host, 128 bits a line; each document (id) counts once for each of its
+lines. A line is boilerplate for a host if more than max_documents of the host's documents hold it, however many
+documents the host has. Boilerplate is removed, and a document that loses more than max_removed of its words is
+depleted. The documents are read once: statistics and line hashes are written to a table from which the rest
+follows. Counts are pre-aggregated before the shuffle; only lines of over max_documents rows are joined back, and
+those, hot by their nature, are dealt over SALTS keys each.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brevier.llm.common import WORD_BREAK_JAVA
+from brevier.llm.common import WORD_BREAK_JAVA, cut
 
 
 def words_of(text: Column) -> Column:
@@ -20,6 +21,10 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK_JAVA), lambda w: w != "")
 
 
+#: Keys over which the rows of one frequent line are dealt.
+SALTS = 16
+
+
 def lines_of(text: Column) -> Column:
     """The lines of a text that have a word."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -40,11 +45,11 @@ def base_statistics(docs: DataFrame, text_col: str = "text", window: int = 8) ->
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     split = docs.withColumn("__words", words_of(F.col(text_col))).withColumn("__lines", lines_of(F.col(text_col)))
-    hashed = split.withColumn(
+    hashed = split.withColumn("__each", F.transform("__words", lambda w: F.xxhash64(w))).withColumn(
         "__hashes",
         F.expr(
-            f"""if(size(__words) >= {window},
-                   transform(sequence(1, size(__words) - {window - 1}), i -> xxhash64(slice(__words, i, {window}))),
+            f"""if(size(__each) >= {window},
+                   transform(sequence(1, size(__each) - {window - 1}), i -> xxhash64(slice(__each, i, {window}))),
                    cast(array() as array<bigint>))"""
         ),
     )
@@ -76,29 +81,34 @@ def base_statistics(docs: DataFrame, text_col: str = "text", window: int = 8) ->
     )
 
 
-def frequent_lines(docs: DataFrame, text_col: str, host_col: str, min_documents: int, max_share: float) -> DataFrame:
-    """(line_key, n_documents) of the lines that too many documents of a host hold."""
-    hosted = docs.select(
-        F.xxhash64(F.lit("host"), F.col(host_col)).alias("host_key"),
-        F.array_distinct(line_keys(text_col, host_col)).alias("keys"),
-    )
-    per_line = (
-        hosted.select("host_key", F.explode("keys").alias("line_key"))
-        .groupBy("line_key")
-        .agg(F.count("*").alias("n_documents"), F.max("host_key").alias("host_key"))
-        .where(F.col("n_documents") > min_documents)
-    )
-    per_host = hosted.groupBy("host_key").agg(F.count("*").alias("n_host"))
-    return (
-        per_line.join(per_host, "host_key")
-        .where(F.col("n_documents") > max_share * F.col("n_host"))
-        .select("line_key", "n_documents")
+def line_keys(text: Column, host: Column) -> Column:
+    """(a, b, n) for each line with a word: 128 bits of host and normalised line, and its number of words."""
+    normal = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), normalised_line), lambda x: x != "")
+    return F.transform(
+        normal,
+        lambda x: F.struct(F.xxhash64(host, x).alias("a"), F.xxhash64(F.lit("line"), x, host).alias("b"), F.size(F.split(x, " ")).alias("n")),
     )
 
 
-def line_keys(text_col: str, host_col: str) -> Column:
-    """A hash of host and normalised line for each line."""
-    return F.transform(lines_of(F.col(text_col)), lambda x: F.xxhash64(F.col(host_col), normalised_line(x)))
+def removed_words(rows: DataFrame, max_documents: int) -> DataFrame:
+    """(row, removed): the words in lines that more than max_documents documents hold. rows: (row, id, lines)."""
+    line = ["a", "b"]
+    held = rows.select("row", "id", F.explode("lines").alias("line")).select("row", "id", "line.*")
+    # Rows are at least documents: few lines are left whose documents have to be told apart.
+    likely = held.groupBy(*line).agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > max_documents).select(*line)
+    salted = likely.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = cut(held.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, [*line, "salt"]).select("row", "id", *line, "n"))
+    frequent = (
+        found.groupBy(*line, "id").agg(F.lit(1).alias("one"))
+        .groupBy(*line).agg(F.count("*").alias("n_documents")).where(F.col("n_documents") > max_documents)
+        .select(*line, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    )
+    return (
+        found.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+        .join(frequent, [*line, "salt"])
+        .groupBy("row")
+        .agg(F.sum("n").alias("removed"))
+    )
 
 
 def quality_rules(
@@ -108,39 +118,29 @@ def quality_rules(
     host_col: str = "source",
     min_words: int = 20,
     max_repeated: int = 30,
-    min_documents: int = 20,
-    max_share: float = 0.001,
+    max_documents: int = 20,
     max_removed: float = 0.5,
 ) -> DataFrame:
     """One row for each row of docs: id, base statistics, n_removed_words, base_failed, kept.
 
     base_failed: fewer than min_words words, or more than max_repeated percent of them in repeated 8-word
     windows. kept: neither base_failed nor depleted. A null text has no words; a null host is a host like any
-    other; a null id stays null; repeated rows are judged alike, and each counts as a document.
+    other; a null id stays null. Rows are judged one by one, but rows with one id, and all those with a null id, count
+    as one document that holds a line. The limit does not loosen with the host: a line in 21 documents of a host with
+    a third of all rows goes as one in 21 documents of a small host does.
     """
-    row_key = F.xxhash64(F.col(id_col), F.col(text_col), F.col(host_col))
-    keyed = docs.select(
-        row_key.alias("__key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host")
-    )
-    base = base_statistics(keyed).drop("text", "host")
-    lines = (
-        keyed.select("__key", "host", F.explode(lines_of(F.col("text"))).alias("body"))
-        .select("__key", F.xxhash64("host", normalised_line(F.col("body"))).alias("line_key"), F.size(words_of(F.col("body"))).alias("n"))
-    )
-    removed = (
-        lines.join(frequent_lines(keyed, "text", "host", min_documents, max_share), "line_key")
-        .groupBy("__key")
-        .agg(F.sum("n").alias("__removed"))
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host")
     )
-    copies = keyed.groupBy("__key").agg(F.count("*").alias("__rows")).where("__rows > 1")
+    base = cut(base_statistics(rows.withColumn("lines", line_keys(F.col("text"), F.col("host")))).drop("text", "host"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words"))
-    own = (F.coalesce("__removed", F.lit(0)) / F.coalesce("__rows", F.lit(1))).cast("long")
+    gone = F.coalesce("removed", F.lit(0).cast("long"))
     return (
-        base.join(removed, "__key", "left")
-        .join(copies, "__key", "left")
+        base.drop("lines")
+        .join(removed_words(base.select("row", "id", "lines"), max_documents), "row", "left")
         .select(
             "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-            own.alias("n_removed_words"), failed.alias("base_failed"),
-            (~failed & (own <= max_removed * F.col("n_words"))).alias("kept"),
+            gone.alias("n_removed_words"), failed.alias("base_failed"),
+            (~failed & (gone <= max_removed * F.col("n_words"))).alias("kept"),
         )
     )
