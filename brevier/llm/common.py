@@ -21,6 +21,11 @@ def held_out(id_col: str, buckets: int, held: int) -> Column:
     return F.coalesce(bucket == held, F.lit(True))
 
 
+def kept_names(keep: tuple[str, ...], taken: tuple[str, ...]) -> list[str]:
+    """Names under which kept columns come back: a name that a result has is prefixed with kept_."""
+    return [f"kept_{c}" if c in taken else c for c in keep]
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brevier.llm.common import kept_names
+
 UNKNOWN = "und"
 #: Bytes scored at once, and rows taken from a batch at once: what bounds a task's memory.
 SLICE = 1_000_000
@@ -168,7 +170,7 @@ def identify(
 
     score is the winner's posterior under equal priors, bits its code length. A text that is null or has no
     letter, and any text if no language was learnt, is `und` with score 0. Of equal codes the language first
-    in alphabetical order wins.
+    in alphabetical order wins. A kept column that has the name of another result is kept_<name>.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     extra = [c for c in keep if c not in (id_col, text_col)]
@@ -176,7 +178,8 @@ def identify(
     kinds = [f.dataType.simpleString() for f in rows.schema.fields]
     place = {id_col: 0, text_col: 1} | {c: k + 2 for k, c in enumerate(extra)}
     kept = [place[c] for c in keep]
-    names = ["id", "lang_pred", "score", "bits", *keep]
+    told = kept_names(keep, ("id", "lang_pred", "score", "bits"))
+    names = ["id", "lang_pred", "score", "bits", *told]
 
     def run(batches):
         model = shared.value
@@ -197,5 +200,5 @@ def identify(
                     names,
                 )
 
-    told = "".join(f", `{c}` {kinds[k]}" for c, k in zip(keep, kept, strict=True))
-    return rows.mapInArrow(run, f"id {kinds[0]}, lang_pred string, score double, bits double{told}")
+    others = "".join(f", `{c}` {kinds[k]}" for c, k in zip(told, kept, strict=True))
+    return rows.mapInArrow(run, f"id {kinds[0]}, lang_pred string, score double, bits double{others}")

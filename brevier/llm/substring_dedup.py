@@ -6,10 +6,11 @@ it, so that equal full windows are stood for by equal ones and nothing that repe
 occur once settle the full windows that they stand for; only windows repeated at one length alone are extended
 to twice that length, until the wanted length is reached or no candidates survive.
 
-Documents are dealt once into groups of some thousand. Each group sends one packed list of its distinct
+Documents are dealt once, by row, into groups of some megabytes. Each group sends one packed list of its distinct
 hashes to each of a number of hash ranges, and gets one bit for each of them back, so that a passage that
 many documents share costs one entry a group however hot it is, and neither positions nor texts are
-shuffled again. All levels read the one exchange of the texts.
+shuffled again. All levels read the one exchange of the texts. Rows are told apart by their place in docs, which
+must be a table or another plan that gives the same rows in the same order when a lost task runs again.
 """
 
 from __future__ import annotations
@@ -23,9 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from brevier.llm.common import kept_names
+
 #: Odd multipliers of the two window hashes.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 NO_ID = np.iinfo(np.int64).max
+#: Bytes of text for each hash that a level sends at most, but for corpora made of copies.
+BYTES_PER_KEY = 20
 
 
 class Powers:
@@ -73,10 +78,10 @@ def sliding(x: np.ndarray, width: int, choose=np.minimum) -> np.ndarray:
 class Group:
     """One group of documents in order of id: its words, its windows, and the windows that may still repeat."""
 
-    def __init__(self, ids: pa.Array, texts: pa.Array, window: int):
+    def __init__(self, ids: pa.Array, rows: pa.Array, texts: pa.Array, window: int):
         ids = np.where(np.asarray(ids.is_null()), NO_ID, np.asarray(ids.fill_null(0)))
         self.window = window
-        self.order = np.argsort(ids, kind="stable")
+        self.order = np.lexsort((np.asarray(rows), ids))
         self.ids = ids[self.order]
         digest = xxhash.xxh64_intdigest
         self.one, self.two = (Powers(m) for m in MULTIPLIERS)
@@ -190,16 +195,16 @@ def repeated_windows(
     id_col: str,
     text_col: str,
     window: int,
-    docs_per_group: int,
+    bytes_per_group: int,
     keys_per_range: int,
     keep: tuple[str, ...],
     lengths: list[int],
 ):
     """The dealt documents and, for each group and level, a flag for each of its distinct hashes."""
     spark = docs.sparkSession
-    n_docs = docs.count()
-    groups = max(1, math.ceil(n_docs / docs_per_group))
-    parts = max(1, math.ceil(groups * docs_per_group * 100 / keys_per_range))
+    size = docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 50)).first()[0] or 0
+    groups = max(1, math.ceil(size / bytes_per_group))
+    parts = max(1, math.ceil(size / BYTES_PER_KEY / keys_per_range))
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     width = max(1, min(groups, max(shuffle, groups // 8)))
     others = [F.col(c).alias(f"__keep_{c}") for c in keep]
@@ -207,12 +212,13 @@ def repeated_windows(
         F.col(id_col).cast("long").alias("id"),
         F.col(text_col).alias("__text"),
         *others,
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(groups)).cast("int").alias("grp"),
-    ).repartition(width, "grp")
+        F.monotonically_increasing_id().alias("row"),
+    )
+    dealt = dealt.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")).repartition(width, "grp")
 
     def sifted(texts, back, level: int) -> Group:
         """A group with what the levels below have settled."""
-        group = Group(texts["id"].combine_chunks(), texts["__text"].combine_chunks(), window)
+        group = Group(*(texts[c].combine_chunks() for c in ("id", "row", "__text")), window)
         for k in range(level):
             group.sift(lengths[k], packed_flags(back, k))
         return group
@@ -270,7 +276,8 @@ def repeated_windows(
             np.concatenate([np.frombuffer(r[name], kind) for r in rows])
             for name, kind in (("keys", np.uint64), ("extra", np.uint32), ("ids", np.int64))
         )
-        order = np.lexsort((ids, check, keys))
+        groups_of = np.repeat([r["grp"] for r in rows], [r["n"] for r in rows])
+        order = np.lexsort((groups_of, ids, check, keys))
         k, c = keys[order], check[order]
         later = np.empty(len(keys), bool)
         later[order] = np.concatenate([[False], (k[1:] == k[:-1]) & (c[1:] == c[:-1])])
@@ -300,9 +307,9 @@ def substring_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     window: int = 20,
-    shortest: int | None = None,
-    docs_per_group: int = 1000,
-    keys_per_range: int = 2_000_000,
+    shortest: int = 5,
+    bytes_per_group: int = 2_000_000,
+    keys_per_range: int = 500_000,
     keep: tuple[str, ...] = (),
     verbatim: bool = False,
 ) -> DataFrame:
@@ -311,17 +318,18 @@ def substring_dedup(
     A word goes if a window of `window` words (even) covers it whose word sequence also starts earlier: in a
     document with a smaller id, or earlier in the same one. Windows are judged on the input. kept_text has
     the kept words joined by one space. A null text has no words; documents shorter than a window keep all;
-    rows that share an id are taken one after the other; null ids come last. Sequences are equal if 96 bits
-    of two independent hashes are. Levels double from a half of the window, or from `shortest`, up to the window:
-    longer repeats cover no further words. With verbatim, a text that loses nothing comes back as it was, null included.
+    rows that share an id are taken one after the other, by group and place; null ids come last, as one such id.
+    Sequences are equal if 96 bits of two independent hashes are. Levels double from the least half, quarter, ... of the
+    window that has `shortest` words up to the window: longer repeats cover no further words. With verbatim, a text that
+    loses nothing comes back as it was, null included. A kept column that has the name of another result is kept_<name>.
     """
     if window < 2 or window % 2:
         raise ValueError("window must be even")
-    lengths = level_lengths(window, shortest or window // 2)
-    dealt, back, width, sifted = repeated_windows(docs, id_col, text_col, window, docs_per_group, keys_per_range, keep, lengths)
-    held = dealt.select(*[F.col(f"__keep_{c}").alias(c) for c in keep]).schema.fields
-    names = [f.name for f in held]
-    arrow = to_arrow_schema(dealt.select(*[F.col(f"__keep_{c}").alias(c) for c in keep]).schema)
+    lengths = level_lengths(window, shortest)
+    dealt, back, width, sifted = repeated_windows(docs, id_col, text_col, window, bytes_per_group, keys_per_range, keep, lengths)
+    names = kept_names(keep, ("id", "n_words", "n_removed", "kept_text"))
+    kept_columns = dealt.select(*[F.col(f"__keep_{c}").alias(n) for c, n in zip(keep, names, strict=True)])
+    held, arrow = kept_columns.schema.fields, to_arrow_schema(kept_columns.schema)
 
     def keep_words(key, texts, flags):
         if not texts.num_rows:
@@ -354,7 +362,7 @@ def substring_dedup(
                 "n_words": pa.array(n_words, pa.int64()),
                 "n_removed": pa.array(n_removed, pa.int64()),
                 "kept_text": pa.array(kept, pa.string()),
-                **{c: texts[f"__keep_{c}"].combine_chunks().take(pa.array(group.order)) for c in names},
+                **{n: texts[f"__keep_{c}"].combine_chunks().take(pa.array(group.order)) for c, n in zip(keep, names, strict=True)},
             }
         )
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brevier.llm.substring_dedup import Powers, level_lengths, sliding, substring_dedup, window_hashes
 
@@ -19,15 +20,18 @@ def brute(rows, window):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("window", "shortest", "groups", "keys"), [(20, None, 7, 300), (20, 5, 9, 4000), (4, 4, 1000, 2_000_000), (2, None, 20, 500)])
+@pytest.mark.parametrize(("window", "shortest", "groups", "keys"), [(20, 10, 20_000, 300), (20, 5, 30_000, 4000), (4, 4, 2_000_000, 2_000_000), (2, 1, 60_000, 500)])
 def test_equals_brute_force(nasty, window, shortest, groups, keys):
-    got = substring_dedup(nasty, window=window, shortest=shortest, docs_per_group=groups, keys_per_range=keys)
+    got = substring_dedup(nasty, window=window, shortest=shortest, bytes_per_group=groups, keys_per_range=keys)
     assert sorted([tuple(r) for r in got.collect()], key=repr) == brute([(r.doc_id, r.text) for r in nasty.collect()], window)
 
 
 def test_verbatim_and_kept_columns(nasty):
     got = substring_dedup(nasty, keep=("source", "grp"), verbatim=True)
     assert got.columns == ["id", "n_words", "n_removed", "kept_text", "source", "grp"]
+    clash = substring_dedup(nasty.withColumn("n_words", F.lit("x")), keep=("id", "n_words", "key"))
+    assert clash.columns == ["id", "n_words", "n_removed", "kept_text", "kept_id", "kept_n_words", "key"]
+    assert {r.kept_n_words for r in clash.collect()} == {"x"}
     texts = {r.text for r in nasty.collect()}
     assert all(r.kept_text in texts for r in got.where("n_removed = 0").collect())
 
