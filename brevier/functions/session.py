@@ -1,4 +1,4 @@
-"""Where a session keeps what driver and executors share."""
+"""Where a session keeps what driver and executors share, and how rows are dealt to them."""
 
 from __future__ import annotations
 
@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset a local session gets a temporary folder; on a cluster, whose machines share none, it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='brevier-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -28,3 +34,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder, so that a lost executor costs no recomputation of its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan as it is, or dealt over all cores if it has fewer partitions than these: for costly work on few files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

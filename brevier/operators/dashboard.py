@@ -18,6 +18,19 @@ def in_category(rows: DataFrame, category: str = "all", with_finance: bool = Fal
     return rows if with_finance else rows.where(~F.col(column).eqNullSafe("finance"))
 
 
+def with_product(rows: DataFrame, product: str = "all", column: str = "product_category") -> DataFrame:
+    """Rows of one product class, on top of any other filter; unknown and missing classes are other, "all" keeps every row."""
+    if product == "all":
+        return rows
+    known = F.coalesce(F.when(F.col(column).isin(PRODUCTS), F.col(column)), F.lit("other"))
+    return rows.where(known == product)
+
+
+def lookup(rows: DataFrame, value, key: str = "id") -> DataFrame:
+    """The first row with this key, or none; keys are compared as text, as they come from links."""
+    return rows.where(F.col(key).cast("string") == F.lit(str(value))).limit(1)
+
+
 def favourites(rows: DataFrame, chosen: DataFrame, key: str = "id") -> DataFrame:
     return rows.join(chosen.select(key).distinct(), key, "left_semi")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brevier.functions.session import cut
 from brevier.functions.text import column
 from brevier.operators import rules as R
 
@@ -15,17 +16,17 @@ def dimension(spark: SparkSession, names: list[str], key: str) -> DataFrame:
     return spark.range(0, 1, 1, 1).select(F.inline(pairs))
 
 
-def counts(rows: DataFrame, key: str, skip_empty: bool = False) -> DataFrame:
-    """(key, cnt), without null and empty keys if asked."""
+def counts(rows: DataFrame, key: str, skip_empty: bool = False, weight: str | None = None) -> DataFrame:
+    """(key, cnt), without null and empty keys if asked. weight: a column that tells for how many rows a row stands."""
     kept = rows.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "") if skip_empty else rows
-    return kept.groupBy(key).agg(F.count("*").alias("cnt"))
+    return kept.groupBy(key).agg((F.sum(weight) if weight else F.count("*")).alias("cnt"))
 
 
-def zero_filled(rows: DataFrame, key: str, names: list[str], skip_empty: bool = True) -> DataFrame:
+def zero_filled(rows: DataFrame, key: str, names: list[str], skip_empty: bool = True, weight: str | None = None) -> DataFrame:
     """(ord, key, cnt): every name with its count, zero included, then keys that are no name (ord null)."""
     names_df = dimension(rows.sparkSession, names, key)
     return (
-        names_df.join(counts(rows, key, skip_empty), key, "full_outer")
+        names_df.join(counts(rows, key, skip_empty, weight), key, "full_outer")
         .select("ord", key, F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
     )
 
@@ -45,21 +46,24 @@ def as_map(found: DataFrame, key: str, name: str) -> DataFrame:
 def stats_document(articles: DataFrame, pack: R.RulePack, updated: str) -> DataFrame:
     """One row: total, maps by category, brand, source, source type and product, the timeline, and when it was made.
 
+    The articles are read once: rows alike in all keys are counted together, and the parts are sums of these counts.
     Sources are an open domain; a corpus with too many for one map is better served by counts().
     """
     product = F.coalesce(
         F.when(F.col("product_category") != "", F.col("product_category")), R.classify_product(pack, "title", "summary")
     )
-    rows = articles.select("category", "brand", "source", "source_type", "date", product.alias("product_category"))
+    keys = articles.select("category", "brand", "source", "source_type", "date", product.alias("product_category"))
+    rows = cut(keys.groupBy(*keys.columns).agg(F.count("*").alias("n")))
+    filled = lambda key, names: as_map(zero_filled(rows, key, names, weight="n"), key, f"by_{key}")
     parts = [
-        as_map(zero_filled(rows, "category", ["competitor", "tech", "market", "brand", "finance"]), "category", "by_category"),
-        as_map(zero_filled(rows, "brand", [b for b, _ in pack.brands]), "brand", "by_brand"),
-        as_map(counts(rows.fillna("Unknown", ["source"]), "source"), "source", "by_source"),
-        as_map(zero_filled(rows, "source_type", ["google_news", "official", "press_release"]), "source_type", "by_source_type"),
-        as_map(zero_filled(rows, "product_category", ["cardio", "strength", "wearable", "other"]), "product_category", "by_product_category"),
-        rows.groupBy("date").agg(F.count("*").alias("count")).agg(F.sort_array(F.collect_list(F.struct("date", "count"))).alias("timeline")),
+        filled("category", ["competitor", "tech", "market", "brand", "finance"]),
+        filled("brand", [b for b, _ in pack.brands]),
+        as_map(counts(rows.fillna("Unknown", ["source"]), "source", weight="n"), "source", "by_source"),
+        filled("source_type", ["google_news", "official", "press_release"]),
+        filled("product_category", ["cardio", "strength", "wearable", "other"]),
+        rows.groupBy("date").agg(F.sum("n").alias("count")).agg(F.sort_array(F.collect_list(F.struct("date", "count"))).alias("timeline")),
     ]
-    out = rows.agg(F.count("*").alias("total"))
+    out = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     for part in parts:
         out = out.join(part)  # one row each
     return out.withColumn("updated", F.lit(updated))
@@ -72,6 +76,21 @@ def fallback_statistics(articles: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def with_fallback(stored: Column | str, recomputed: Column | str) -> Column:
-    """A stored block where it has anything, else the recomputed one; for maps and arrays."""
-    return F.when(F.size(column(stored)) > 0, column(stored)).otherwise(column(recomputed))
+def with_fallback(stored: Column | str, recomputed: Column | str, kind: str = "list") -> Column:
+    """A stored value, else the recomputed one.
+
+    A list counts where it has an entry, a map or number where it is there, a text where it is not empty.
+    """
+    value = column(stored)
+    there = {"list": F.size(value) > 0, "text": value != ""}.get(kind, value.isNotNull())
+    return F.when(there, value).otherwise(column(recomputed))
+
+
+def with_stored(recomputed: DataFrame, stored: DataFrame) -> DataFrame:
+    """The statistics of a stored document, one row; each part that it lacks is the recomputed one."""
+    have = {f.name: f.dataType.typeName() for f in stored.schema.fields}
+    both = recomputed.select(*[F.col(c).alias(f"__{c}") for c in recomputed.columns]).join(stored)
+    kinds = {"array": "list", "string": "text"}
+    return both.select(
+        *[(with_fallback(c, f"__{c}", kinds.get(have[c], "value")) if c in have else F.col(f"__{c}")).alias(c) for c in recomputed.columns]
+    )

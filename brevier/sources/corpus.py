@@ -1,9 +1,15 @@
-"""The article corpus: JSON documents in and out, and the inventory table with atomic replacement."""
+"""The article corpus: JSON documents in and out, and the inventory table with atomic replacement.
+
+The inventory is a folder of versions. Each version is a Parquet folder of its own, and counts from the moment at
+which an empty file that names it stands in `_versions`: one call that the store does whole or not at all. A job
+that dies leaves the last version in force, and at worst a folder that no version names.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,10 +45,30 @@ def articles_of(documents: DataFrame, pack: RulePack, run_date: str) -> DataFram
     return fill_defaults(rows, pack, run_date)
 
 
+CLEANED = [
+    "removed_howto", "removed_offtopic", "removed_no_real_date", "removed_celebrity_noise", "removed_brand_ambiguous",
+    "date_corrected", "product_to_gnews", "removed_total",
+]
+
+
 def output_document(
-    articles: DataFrame, stats: DataFrame, generated_at: str, sources_ok: list[str], sources_failed: list[str]
+    articles: DataFrame,
+    stats: DataFrame,
+    generated_at: str,
+    sources_ok: list[str],
+    sources_failed: list[str],
+    official_results: dict[str, tuple[str, str]] | None = None,
+    cleaned: DataFrame | None = None,
+    most: int = 200_000,
 ) -> DataFrame:
-    """One row in the form of a corpus document. It holds all articles, as its one reader, a browser, needs them."""
+    """One row in the form of a corpus document. It holds all articles, as its one reader, a browser, needs them.
+
+    official_results: brand to (kind, url) of its source; cleaned: the row of merge.cleaning_report. More than `most`
+    articles are no document for a browser, and refused: write_articles takes any number.
+    """
+    n = articles.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"over {most} articles don't fit one document: use write_articles")
     listed = articles.agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct(F.struct(F.col("date"), (-F.col("id")).alias("n")).alias("k"), F.struct(*COLUMNS).alias("a"))), asc=False),
@@ -50,9 +76,16 @@ def output_document(
         ).alias("articles")
     )
     strings = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
-    return listed.join(stats.select(F.struct("*").alias("stats"))).select(
+    told = [x for brand, pair in (official_results or {}).items() for x in (F.lit(brand), strings(pair))]
+    results = F.create_map(*told) if told else F.lit(None)
+    if cleaned is None:
+        noise = listed.select(F.lit(None).cast("map<string, bigint>").alias("cleaned_noise"))
+    else:
+        noise = cleaned.select(F.create_map(*[x for c in CLEANED for x in (F.lit(c), F.col(c))]).alias("cleaned_noise"))
+    return listed.join(stats.select(F.struct("*").alias("stats"))).join(noise).select(
         F.lit(generated_at).alias("generated_at"), strings(sources_ok).alias("sources_ok"),
-        strings(sources_failed).alias("sources_failed"), "articles", "stats",
+        strings(sources_failed).alias("sources_failed"), results.cast("map<string, array<string>>").alias("official_results"),
+        "cleaned_noise", "articles", "stats",
     )
 
 
@@ -71,38 +104,80 @@ def file_system(spark: SparkSession, path: str):
     return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def replace_table(rows: DataFrame, path: str) -> None:
-    """Write rows beside the table and move them in its place, so that readers see the old rows or the new ones."""
+def versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, folder) of the table's versions in force, oldest first."""
+    target, store = file_system(spark, f"{path}/_versions")
+    names = [s.getPath().getName() for s in store.listStatus(target)] if store.exists(target) else []
+    return sorted((int(n.split("_", 1)[0]), n.split("_", 1)[1]) for n in names if "_" in n)
+
+
+def replace_table(rows: DataFrame, path: str, keep: int = 2) -> None:
+    """Write rows as a new version of the table. Readers see the old rows or the new ones.
+
+    The last `keep` versions stay, for readers that have begun with an older one.
+    """
     spark = rows.sparkSession
-    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    rows.write.parquet(fresh)
-    target, store = file_system(spark, path)
-    moved = store.exists(target) and store.rename(target, file_system(spark, old)[0])
-    if not store.rename(file_system(spark, fresh)[0], target):
-        raise OSError(f"{fresh} can't be moved to {path}")
-    if moved:
-        store.delete(file_system(spark, old)[0], True)
+    before = versions(spark, path)
+    folder = f"data-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{folder}")
+    commit_version(spark, path, before[-1][0] + 1 if before else 0, folder)
+    for number, old in before[: max(0, len(before) + 1 - keep)]:
+        for name in (f"{path}/_versions/{number:012d}_{old}", f"{path}/{old}"):
+            target, store = file_system(spark, name)
+            store.delete(target, True)
+
+
+def commit_version(spark: SparkSession, path: str, number: int, folder: str) -> None:
+    target, store = file_system(spark, f"{path}/_versions/{number:012d}_{folder}")
+    store.create(target, False).close()
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The inventory table; no rows before it is first written."""
-    target, store = file_system(spark, path)
-    return spark.read.schema(ARTICLE).parquet(path) if store.exists(target) else spark.createDataFrame([], ARTICLE)
+    """The inventory table; no rows before it is first written. A folder with data but no version in force is an error."""
+    found = versions(spark, path)
+    if found:
+        return spark.read.schema(ARTICLE).parquet(f"{path}/{found[-1][1]}")
+    target, store = file_system(spark, f"{path}/_versions")
+    if store.exists(target):
+        raise OSError(f"{path} has lost its versions")
+    return spark.createDataFrame([], ARTICLE)
+
 
+def take_lock(spark: SparkSession, path: str, now_ms: int, stale_ms: int = 7_200_000) -> str | None:
+    """The owner's token of a lock file that is created, or None if a fresh one is there.
 
-def take_lock(spark: SparkSession, path: str, now_ms: int, stale_ms: int = 7_200_000) -> bool:
-    """Create a lock file unless a fresh one is there; one older than stale_ms is taken over."""
+    A lock older than stale_ms is moved away first: of several jobs that find it, one can move it. The file is created
+    only where none is.
+    """
     target, store = file_system(spark, path)
     if store.exists(target):
         if now_ms - store.getFileStatus(target).getModificationTime() < stale_ms:
-            return False
-        store.delete(target, False)
-    return store.createNewFile(target)
-
-
-def release_lock(spark: SparkSession, path: str) -> None:
+            return None
+        old, _ = file_system(spark, f"{path}.stale-{uuid.uuid4().hex}")
+        if not store.rename(target, old):
+            return None
+        store.delete(old, False)
+    token = uuid.uuid4().hex
+    try:
+        out = store.create(target, False)
+    except Py4JJavaError:
+        if store.exists(target):  # another job was faster
+            return None
+        raise
+    out.writeUTF(token)
+    out.close()
+    return token
+
+
+def release_lock(spark: SparkSession, path: str, token: str) -> bool:
+    """Delete the lock if it is still this owner's."""
     target, store = file_system(spark, path)
-    store.delete(target, False)
+    if not store.exists(target):
+        return False
+    found = store.open(target)
+    own = found.readUTF() == token
+    found.close()
+    return own and store.delete(target, False)
 
 
 def append_run(spark: SparkSession, path: str, run_date: str, added: int, total: int, failed: list[str], most: int = 50) -> None:

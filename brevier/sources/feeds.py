@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brevier.functions.dates import published_date
@@ -112,6 +112,22 @@ def feed_status(catalog: DataFrame, landed: DataFrame) -> DataFrame:
     return catalog.join(have, catalog["url"] == F.col("__url"), "left").drop("__url").withColumn("ok", F.coalesce("ok", F.lit(False)))
 
 
+def source_lists(feeds: DataFrame, stories: DataFrame) -> DataFrame:
+    """One row: sources_ok and sources_failed, feeds in order of the catalogue and then brands in theirs.
+
+    feeds: (seq, url, ok); stories: (ord, brand, ok, url). Both are bounded by the catalogue.
+    """
+    official = F.concat(F.lit("official:"), "brand", F.when(F.col("ok"), F.concat(F.lit(":"), F.coalesce("url", F.lit("")))).otherwise(""))
+    both = feeds.select(F.lit(0).alias("part"), F.col("seq").cast("long").alias("at"), F.col("url").alias("name"), "ok").unionByName(
+        stories.select(F.lit(1).alias("part"), F.col("ord").cast("long").alias("at"), official.alias("name"), "ok")
+    )
+
+    def listed(chosen: Column) -> Column:
+        return F.transform(F.sort_array(F.collect_list(F.when(chosen, F.struct("part", "at", "name")))), lambda x: x["name"])
+
+    return both.agg(listed(F.col("ok")).alias("sources_ok"), listed(~F.col("ok")).alias("sources_failed"))
+
+
 def first_source(items: DataFrame, brands: DataFrame, brand: str = "brand", priority: str = "priority") -> DataFrame:
     """Items of each brand's first source that has any; brands without one appear once, with kind `none`."""
     best = items.groupBy(brand).agg(F.min(priority).alias("__best"))

@@ -6,7 +6,11 @@ import random
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from http import client
+from urllib import error, request
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Answers after which asking again is no use.
@@ -26,12 +30,38 @@ class Policy:
 SLOW, FAST = Policy(), Policy(tries=1, connect_s=5, read_s=8, backoff=False)
 
 
+HEADERS = {
+    "User-Agent": "brevier",
+    "Accept": "text/html,application/xhtml+xml,application/rss+xml,application/xml;q=0.9,*/*;q=0.8",
+}
+
+
+def opener(policy: Policy) -> request.OpenerDirector:
+    """Opens URLs: connect_s to connect, then read_s for each read."""
+
+    def patient(kind):
+        class Connection(kind):
+            def connect(self):
+                super().connect()
+                self.sock.settimeout(policy.read_s)
+
+        return Connection
+
+    class Plain(request.HTTPHandler):
+        def http_open(self, req):
+            return self.do_open(patient(client.HTTPConnection), req)
+
+    class Secure(request.HTTPSHandler):
+        def https_open(self, req):
+            return self.do_open(patient(client.HTTPSConnection), req)
+
+    return request.build_opener(Plain, Secure)
+
+
 def url_fetch(url: str, policy: Policy) -> tuple[int, str]:
     """Status and body of one request."""
-    from urllib import error, request
-
     try:
-        with request.urlopen(request.Request(url, headers={"User-Agent": "brevier"}), timeout=policy.read_s) as found:
+        with opener(policy).open(request.Request(url, headers=HEADERS), timeout=policy.connect_s) as found:
             return found.status, found.read().decode("utf-8", "replace")
     except error.HTTPError as e:
         return e.code, ""
@@ -60,6 +90,20 @@ def fetch(
     return None
 
 
+def fetched(urls: DataFrame, policy: Policy = SLOW, ask: Callable[[str, Policy], tuple[int, str]] = url_fetch) -> DataFrame:
+    """(url, ok, body) for each row (url) of a frame of any size, asked for by the tasks that hold the rows."""
+
+    def run(batches):
+        for batch in batches:
+            listed = batch.column(0).to_pylist()
+            bodies = [fetch(u, policy, ask) for u in listed]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([b is not None for b in bodies]), pa.array(bodies, pa.string())], ["url", "ok", "body"]
+            )
+
+    return urls.select("url").mapInArrow(run, "url string, ok boolean, body string")
+
+
 @dataclass
 class Urls(InputPartition):
     urls: list[str]
@@ -79,7 +123,7 @@ class FetchReader(DataSourceReader):
 
 
 class FetchSource(DataSource):
-    """spark.read.format("fetch").option("urls", "...\\n...").option("policy", "slow" or "fast").load()"""
+    """spark.read.format("fetch").option("urls", "...\\n...").option("policy", "slow" or "fast").load(), for short lists."""
 
     ask = staticmethod(url_fetch)
 

@@ -1,5 +1,7 @@
 import json
+from http import client
 
+import pytest
 from pyspark.sql import functions as F
 
 from brevier.operators import html as H
@@ -65,6 +67,9 @@ def test_fetch(spark):
             return "fake"
 
     spark.dataSource.register(Fake)
+    urls = spark.createDataFrame([("good1",), ("bad",)], "url string")
+    got = http.fetched(urls, http.FAST, lambda url, policy: (200, "body of " + url) if "good" in url else (404, "")).collect()
+    assert {(r.url, r.ok, r.body) for r in got} == {("good1", True, "body of good1"), ("bad", False, None)}
     rows = spark.read.format("fake").option("urls", "good1\nbad\ngood2").option("perTask", 1).load().collect()
     assert {(r.url, r.ok, r.body) for r in rows} == {("good1", True, "body of good1"), ("bad", False, None), ("good2", True, "body of good2")}
 
@@ -89,13 +94,84 @@ def test_corpus(spark, tmp_path):
     corpus.write_articles(rows, str(tmp_path / "lines"))
     assert spark.read.schema(corpus.ARTICLE).json(str(tmp_path / "lines")).first().title == "T"
     lock = str(tmp_path / "lock")
-    assert corpus.take_lock(spark, lock, 0) and not corpus.take_lock(spark, lock, 0)
-    assert corpus.take_lock(spark, lock, 1 << 60)
-    corpus.release_lock(spark, lock)
+    first = corpus.take_lock(spark, lock, 0)
+    assert first and not corpus.take_lock(spark, lock, 0)
+    second = corpus.take_lock(spark, lock, 1 << 60)
+    assert second and not corpus.release_lock(spark, lock, first)  # it is another's by now
+    assert corpus.release_lock(spark, lock, second) and not corpus.release_lock(spark, lock, second)
     corpus.append_run(spark, str(tmp_path / "log"), "d", 1, 2, ["f"] * 60)
     assert len(spark.read.parquet(str(tmp_path / "log")).first().failed) == 50
 
 
+def test_replacement_survives_a_crash(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "table")
+    row = lambda k: spark.createDataFrame([(k, *["x"] * 11)], corpus.ARTICLE)
+    ids = lambda: [r.id for r in corpus.read_table(spark, table).collect()]
+
+    def dies(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(corpus, "commit_version", dies)
+        with pytest.raises(RuntimeError):
+            corpus.replace_table(row(1), table)
+    assert ids() == []  # nothing was ever in force
+    corpus.replace_table(row(2), table)
+    opened = corpus.read_table(spark, table)
+    with monkeypatch.context() as m:
+        m.setattr(corpus, "commit_version", dies)
+        with pytest.raises(RuntimeError):
+            corpus.replace_table(row(3), table)
+    assert ids() == [2]
+    corpus.replace_table(row(4), table)
+    assert ids() == [4] and [r.id for r in opened.collect()] == [2]  # a reader of the version before goes on
+    corpus.replace_table(row(5), table)
+    assert ids() == [5] and len(corpus.versions(spark, table)) == 2
+    for f in (tmp_path / "table" / "_versions").iterdir():
+        f.unlink()
+    with pytest.raises(OSError, match="lost"):
+        corpus.read_table(spark, table)
+
+
+def test_output_document(spark):
+    rows = spark.createDataFrame([(1, *["x"] * 11)], corpus.ARTICLE)
+    stats = spark.createDataFrame([(1,)], "total long")
+    cleaned = spark.createDataFrame([tuple(range(8))], ", ".join(f"{c} long" for c in corpus.CLEANED))
+    doc = corpus.output_document(rows, stats, "now", ["a"], [], {"Peloton": ("feed", "u")}, cleaned).first()
+    assert doc.official_results == {"Peloton": ["feed", "u"]} and doc.cleaned_noise["removed_total"] == 7
+    assert corpus.output_document(rows, stats, "now", [], []).first().cleaned_noise is None
+    with pytest.raises(ValueError, match="write_articles"):
+        corpus.output_document(rows, stats, "now", [], [], most=0)
+
+
+def test_source_lists(spark):
+    found = spark.createDataFrame([(2, "u2", True), (1, "u1", True), (3, "u3", False)], "seq int, url string, ok boolean")
+    stories = spark.createDataFrame([(0, "A", False, None), (1, "B", True, "https://b")], "ord int, brand string, ok boolean, url string")
+    got = feeds.source_lists(found, stories).first()
+    assert got.sources_ok == ["u1", "u2", "official:B:https://b"] and got.sources_failed == ["u3", "official:A"]
+
+
+def test_connect_and_read_times(monkeypatch):
+    seen = []
+
+    class Socket:
+        def settimeout(self, seconds):
+            seen.append(seconds)
+
+        def close(self):
+            pass
+
+    def send(self, data):
+        self.connect()
+        seen.append(data)
+        raise OSError("enough")
+
+    monkeypatch.setattr(client.HTTPConnection, "connect", lambda self: seen.append(self.timeout) or setattr(self, "sock", Socket()))
+    monkeypatch.setattr(client.HTTPConnection, "send", send)
+    assert http.fetch("http://x.invalid/", http.FAST) is None
+    assert seen[:2] == [5, 8] and b"Accept: text/html" in seen[2]
+
+
 def test_html(spark):
     listing = """<nav><a href='/stories/no'>Launches a navigation text that is long</a></nav><p><b>hi
       <a href='/stories/abc?x=1'>Brand launches a brand new treadmill today</a><a href='mailto:a'>mail</a>
