@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brevier.functions.session import cut as cut
 from brevier.functions.session import new_folder as new_folder
 from brevier.functions.session import shared_dir as shared_dir
+from brevier.functions.session import spread as spread
 
 #: A word is a run of anything but ASCII white space.
 WORD_BREAK = r"[\x20\x09-\x0D]+"

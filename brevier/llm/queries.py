@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brevier.llm.common import held_out
+from brevier.llm.common import held_out, spread
 from brevier.llm.decontaminate import contaminated_pairs
 from brevier.llm.language_id import identify, train
 from brevier.llm.licenses import license_matches
@@ -29,7 +29,8 @@ TOXIC_FROM = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as it is read; one of fewer files than cores is dealt over these."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def tokenizer_path() -> str:
