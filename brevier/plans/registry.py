@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from brevier.functions import dates as D
 from brevier.functions import text as T
+from brevier.functions.session import cut, spread
 from brevier.operators import dashboard as B
 from brevier.operators import html as H
 from brevier.operators import prompts as P
 from brevier.operators import rules as R
 from brevier.operators import stats as S
 from brevier.operators.dedupe import greedy_distinct, not_in_inventory, outcomes
-from brevier.operators.merge import clean_actions, fill_defaults, running_number
-from brevier.operators.tokens import sign_token, verify_token
+from brevier.operators.merge import clean_actions, fill_defaults, running_number, run_pipeline
+from brevier.operators.tokens import parse_users, sign_token, verify_token
+from brevier.plans import goldens as G
 from brevier.plans.demo import DEMO
 from brevier.sources.feeds import first_source, queries_from
 from brevier.streaming import ratelimit, sse
@@ -53,7 +55,7 @@ def has(*parts: str, column: str = "text") -> str:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles: language and source as the title, the whole text as the summary."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(
         "doc_id", F.concat_ws(" ", "lang", "source").alias("title"), "source", F.col("text").alias("summary"), "lang"
     ).withColumn("brand", R.detect_brand(DEMO, R.body("title", "summary")))
@@ -429,21 +431,14 @@ def merge_outcomes(spark, sf_dir):
     return outcomes(rows, inventory(spark, sf_dir)).select("seq", "outcome")
 
 
-@query("SELECT doc_id, (5000 + row_number() OVER (ORDER BY doc_id))::BIGINT AS id FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, (5000 + row_number() OVER (ORDER BY doc_id))::BIGINT AS id FROM documents")
 def merge_stable_ids(spark, sf_dir):
     """Ids that go on from a greatest id in order of arrival."""
-    rows = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
+    rows = table(spark, sf_dir, "documents").select("doc_id")
     numbered = running_number(rows, "doc_id", "n", per_bucket=200)
     return numbered.select("doc_id", (F.lit(5000) + F.col("n")).cast("long").alias("id"))
 
 
-@query(f"SELECT count(*) AS added FROM ({KEYED}) WHERE false")
-def merge_idempotent(spark, sf_dir):
-    """Rows that a second merge of the same items adds: none."""
-    rows = keyed_events(spark, sf_dir)
-    return not_in_inventory(rows, rows).agg(F.count("*").alias("added"))
-
-
 @query(f"""{DOCS_SQL}, c AS (SELECT *, CASE source WHEN 'src1' THEN 'official' WHEN 'src2' THEN 'product' ELSE 'google_news' END AS st FROM classed)
 SELECT doc_id, CASE
   WHEN st = 'official' AND NOT (NOT {has_word("you", column="title")} AND {has_word("this", column="title")}) THEN 'removed_howto'
@@ -563,18 +558,29 @@ def rate_limit_fixed_window(spark, sf_dir):
     return ratelimit.limited(rows, "user_id", "ts_ms", "event_id", 86_400_000, 3).select("event_id", "limited")
 
 
-@query(f"""{DOCS_SQL}, s AS (SELECT 'category' AS part, category AS key, count(*) AS cnt FROM classed GROUP BY 2
-UNION ALL SELECT 'source', source, count(*) FROM classed GROUP BY 2 UNION ALL SELECT 'total', 'total', count(*) FROM classed
-UNION ALL SELECT 'timeline', '2024-01-02', count(*) FROM classed)
-SELECT part, key, cnt FROM s""")
+def part_sql(part: str, column: str, names: list[str], condition: str = "true") -> str:
+    """SQL for one zero-filled part of the statistics."""
+    counted = f"(SELECT {column} AS k, count(*) AS c FROM s WHERE {condition} GROUP BY 1)"
+    listed = "(VALUES " + ", ".join(f"('{n}')" for n in names) + ")"
+    return f"SELECT '{part}' AS part, coalesce(d.k, e.k) AS key, coalesce(c, 0)::BIGINT AS cnt FROM {listed} d(k) FULL OUTER JOIN {counted} e ON e.k = d.k"
+
+
+@query(f"""{DOCS_SQL}, s AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'google_news' ELSE 'press_release' END AS st FROM classed)
+{part_sql("category", "category", CATEGORIES)} UNION ALL {part_sql("brand", "brand", [b for b, _ in DEMO.brands], "brand <> ''")}
+UNION ALL {part_sql("source_type", "st", ["google_news", "official", "press_release"])}
+UNION ALL {part_sql("product_category", "product_category", B.PRODUCTS)}
+UNION ALL SELECT 'source', coalesce(source, 'Unknown'), count(*) FROM s GROUP BY 2 UNION ALL SELECT 'total', 'total', count(*) FROM s
+UNION ALL SELECT 'timeline', '2024-01-02', count(*) FROM s""")
 def stats_document(spark, sf_dir):
-    """The statistics document of the classified documents, as rows."""
-    rows = classified(spark, sf_dir).withColumns({"date": F.lit("2024-01-02"), "source_type": F.lit("google_news")})
-    doc = S.stats_document(rows, DEMO, RUN_DATE)
-    maps = [doc.select(F.lit(p).alias("part"), F.explode(f"by_{p}").alias("key", "cnt")).where("cnt > 0") for p in ("category", "source")]
-    total = doc.select(F.lit("total").alias("part"), F.lit("total").alias("key"), F.col("total").alias("cnt"))
-    days = doc.select(F.lit("timeline").alias("part"), F.inline("timeline")).toDF("part", "key", "cnt")
-    return maps[0].union(maps[1]).union(total).union(days)
+    """The statistics document of the classified documents, as rows, zeros included."""
+    kind = F.when(F.col("doc_id") % 2 == 0, "google_news").otherwise("press_release")
+    rows = classified(spark, sf_dir).withColumns({"date": F.lit("2024-01-02"), "source_type": kind})
+    doc = cut(S.stats_document(rows, DEMO, RUN_DATE))
+    names = ("category", "brand", "source", "source_type", "product_category")
+    out = doc.select(F.lit("total").alias("part"), F.lit("total").alias("key"), F.col("total").alias("cnt"))
+    for p in names:
+        out = out.union(doc.select(F.lit(p), F.explode(f"by_{p}")))
+    return out.union(doc.select(F.lit("timeline"), F.inline("timeline")))
 
 
 @query("""SELECT doc_id, replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM documents""")
@@ -596,3 +602,233 @@ def text_chunks(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(
         "n_nationkey", F.length(F.get(pieces, F.lit(0))).alias("size"), F.array_join(pieces, "").alias("text")
     )
+
+
+def case_rows(spark, sf_dir, names: list[str], cases: list[tuple]) -> DataFrame:
+    """Parts (p_partkey), each with one of the cases in turn."""
+    kinds = {bool: "boolean", str: "string"}
+    of = lambda k: next((kinds[type(c[k])] for c in cases if c[k] is not None), "string")
+    listed = F.array(*[F.struct(*[F.lit(v).cast(of(k)).alias(n) for k, (n, v) in enumerate(zip(names, c, strict=True))]) for c in cases])
+    parts = table(spark, sf_dir, "part").select("p_partkey")
+    return parts.select("p_partkey", F.get(listed, F.pmod("p_partkey", F.lit(len(cases))).cast("int")).alias("c")).select("p_partkey", "c.*")
+
+
+def case_sql(column: str, wanted: list) -> str:
+    """SQL for the outcome of the case that each part has."""
+    literal = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'"
+    kind = "BOOLEAN" if any(isinstance(v, bool) for v in wanted) else "VARCHAR"
+    values = ", ".join(f"({k}, {literal(v)}::{kind})" for k, v in enumerate(wanted))
+    return f"SELECT p_partkey, v AS {column} FROM part JOIN (VALUES {values}) c(k, v) ON k = p_partkey % {len(wanted)}"
+
+
+FITNESS = R.fitness_rules()
+
+
+@query(case_sql("brand", [c[1] for c in G.BRANDS]))
+def fitness_brand(spark, sf_dir):
+    """Brands of titles by the fitness pack."""
+    return case_rows(spark, sf_dir, ["title", "wanted"], G.BRANDS).select("p_partkey", R.detect_brand(FITNESS, "title").alias("brand"))
+
+
+@query(case_sql("category", [FITNESS.labels[c[2]] for c in G.CATEGORIES]))
+def fitness_category(spark, sf_dir):
+    """Labels of the categories of titles by the fitness pack."""
+    rows = case_rows(spark, sf_dir, ["title", "brand", "wanted"], G.CATEGORIES)
+    return rows.select("p_partkey", R.category_label(FITNESS, R.classify(FITNESS, "title", F.lit(""), "brand")).alias("category"))
+
+
+@query(case_sql("product", [c[1] for c in G.PRODUCTS]))
+def fitness_product(spark, sf_dir):
+    rows = case_rows(spark, sf_dir, ["title", "wanted"], G.PRODUCTS)
+    return rows.select("p_partkey", R.classify_product(FITNESS, "title", F.lit(None).cast("string")).alias("product"))
+
+
+@query(case_sql("reason", [c[4] for c in G.EXCLUSIONS]))
+def fitness_exclusion(spark, sf_dir):
+    """Reasons by the fitness pack, items of fixed sources relaxed."""
+    rows = case_rows(spark, sf_dir, ["title", "brand", "source", "relaxed", "wanted"], G.EXCLUSIONS)
+    kind = F.when(F.col("relaxed"), "press_release").otherwise("google_news")
+    relax = R.is_relaxed("source", kind)
+    return rows.select("p_partkey", R.exclusion_reason(FITNESS, "title", F.lit(""), "brand", "source", relax).alias("reason"))
+
+
+@query(case_sql("apparel", [c[1] for c in G.APPAREL]))
+def fitness_apparel(spark, sf_dir):
+    return case_rows(spark, sf_dir, ["title", "wanted"], G.APPAREL).select("p_partkey", R.is_apparel(FITNESS, "title").alias("apparel"))
+
+
+@query(case_sql("reason", [c[2] for c in G.OFFICIAL]))
+def fitness_official(spark, sf_dir):
+    """Why official items are left out: no news, or no date of their own."""
+    rows = case_rows(spark, sf_dir, ["title", "dated", "wanted"], G.OFFICIAL)
+    return rows.select("p_partkey", R.official_reason(FITNESS, F.lit("official"), "title", "dated").alias("reason"))
+
+
+@query(case_sql("is_article", [c[2] for c in G.PATHS]))
+def fitness_article_path(spark, sf_dir):
+    rows = case_rows(spark, sf_dir, ["listing", "path", "wanted"], G.PATHS)
+    return rows.select("p_partkey", R.is_article_path(FITNESS, "listing", "path").alias("is_article"))
+
+
+@query(case_sql("date", [c[1] for c in G.DATES]))
+def date_shapes(spark, sf_dir):
+    """Dates in all shapes, those out of range among them."""
+    return case_rows(spark, sf_dir, ["raw", "wanted"], G.DATES).select("p_partkey", D.normalise_date("raw", "2026-08-01").alias("date"))
+
+
+@query(case_sql("date", [c[1] for c in G.MAIL_DATES]))
+def mail_date_shapes(spark, sf_dir):
+    """Mail dates with zone names, offsets, no seconds, no zone, and broken ones."""
+    return case_rows(spark, sf_dir, ["raw", "wanted"], G.MAIL_DATES).select("p_partkey", D.mail_date("raw").alias("date"))
+
+
+@query(case_sql("text", [c[1] for c in G.TEXTS]))
+def html_fragments(spark, sf_dir):
+    """Markup, entities and scripts out of HTML fragments."""
+    return case_rows(spark, sf_dir, ["html", "wanted"], G.TEXTS).select("p_partkey", T.clean_html("html").alias("text"))
+
+
+@query("""SELECT p_partkey, 'https://www.x.com/stories/' || p_partkey || '?x=1' AS href, 'Brand launches product number ' || p_partkey || ' today' AS text FROM part""")
+def article_links(spark, sf_dir):
+    """A listing page a part: navigation, a headline, a second link to it, mail, a short title, other hosts and paths."""
+    key = F.col("p_partkey").cast("string")
+    link = lambda href, text: F.concat(F.lit("<a href='"), *href, F.lit("'>"), *text, F.lit("</a>"))
+    head = [F.lit("Brand launches product number "), key, F.lit(" today")]
+    page = F.concat(
+        F.lit("<nav>"), link([F.lit("/stories/nav")], head), F.lit("</nav><p>"),
+        link([F.lit("/stories/"), key, F.lit("?x=1")], head), link([F.lit("/stories/"), key, F.lit("/")], head),
+        link([F.lit("mailto:a@x.com")], head), link([F.lit("/stories/short")], [F.lit("Launches it")]),
+        link([F.lit("https://other.org/stories/a")], head), link([F.lit("/products/a")], head),
+        link([F.lit("/stories/advice")], [F.lit("How to launch a product as number "), key]),
+    )
+    pages = table(spark, sf_dir, "part").select(F.concat(F.lit("https://www.x.com/stories/?part="), key).alias("url"), page.alias("html"))
+    found = H.article_links(pages, FITNESS)
+    return found.select(F.regexp_extract("url", r"part=(\d+)", 1).cast("long").alias("p_partkey"), "href", "text")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 6 <> 5 THEN strftime(o_orderdate + INTERVAL 10 YEAR, '%Y-%m-%d') END AS date FROM orders""")
+def article_dates(spark, sf_dir):
+    """The date of an order, ten years on, as an article tells it: metadata, linked data in a list, time, later metadata, a class, or nowhere."""
+    when, stage = F.expr("o_orderdate + INTERVAL 10 YEAR"), F.pmod("o_orderkey", F.lit(6))
+    day = F.date_format(when, "yyyy-MM-dd")
+    page = (
+        F.when(stage == 0, F.concat(F.lit("<meta name='date' content='"), day, F.lit("T10:00:00Z'><time>1 Jan 2001</time>")))
+        .when(stage == 1, F.concat(F.lit("<meta name='date' content='soon'><script type='application/ld+json'>[{\"a\":{\"datePublished\":\""), day, F.lit("\"}}]</script>")))
+        .when(stage == 2, F.concat(F.lit("<p><time>"), F.date_format(when, "d MMM yyyy"), F.lit("</time>")))
+        .when(stage == 3, F.concat(F.lit("<meta property='og:updated_time' content='"), day, F.lit("'>")))
+        .when(stage == 4, F.concat(F.lit("<div class='post-date x'>"), F.date_format(when, "MMMM d, yyyy"), F.lit("</div>")))
+        .otherwise(F.lit("<p class='date'>yesterday</p>"))
+    )
+    pages = table(spark, sf_dir, "orders").select("o_orderkey", page.alias("html"))
+    return H.published_dates(pages, RUN_DATE).select("o_orderkey", F.col("real_date").alias("date"))
+
+
+def raw_events(spark, sf_dir) -> DataFrame:
+    """Events as landed items: some off the topic, some too old."""
+    key = F.col("event_id")
+    title = F.when(key % 11 == 0, "Weather story ").otherwise("Peloton treadmill story ")
+    return table(spark, sf_dir, "events").select(
+        key.alias("seq"), F.concat(title, key * 104729 % 1900, F.lit(" - Paper")).alias("raw_title"),
+        F.concat(F.lit("https://a.com/"), key * 7919 % 1500, F.lit("?x=1")).alias("link"), F.lit("").alias("summary"),
+        F.when(key % 13 == 0, "2019-01-01").otherwise("2024-01-10").alias("date"), F.lit(True).alias("date_is_real"),
+        F.lit("google_news").alias("source_type"), F.lit(None).cast("string").alias("brand"), F.lit(None).cast("string").alias("source"),
+    )
+
+
+def stored_orders(spark, sf_dir) -> DataFrame:
+    """Orders as an inventory; those of one key modulo 17 are how-to texts of an official source."""
+    key = F.col("o_orderkey")
+    howto = key % 17 == 0
+    return fill_defaults(
+        table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(
+            key.alias("id"), F.concat(F.when(howto, "How to use story ").otherwise("Peloton treadmill story "), key % 5000).alias("title"),
+            F.concat(F.lit("https://a.com/"), key % 4000).alias("url"), F.lit("2024-01-02").alias("date"), F.lit("Peloton").alias("brand"),
+            F.when(howto, "official").otherwise("google_news").alias("source_type"),
+        ),
+        FITNESS, RUN_DATE,
+    )
+
+
+RAW = """SELECT event_id AS seq, 'https://a.com/' || (event_id * 7919 % 1500) AS url_key,
+CASE WHEN event_id % 11 = 0 THEN 'weather' ELSE 'peloton treadmill' END || ' story ' || (event_id * 104729 % 1900) AS title_key,
+CASE WHEN event_id % 11 = 0 THEN 'no_relevance' WHEN event_id % 13 = 0 THEN 'too_old' END AS reason FROM events"""
+STORED = """SELECT 'https://a.com/' || (o_orderkey % 4000) AS url_key, 'peloton treadmill story ' || (o_orderkey % 5000) AS title_key
+FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 17 <> 0"""
+DAILY_SQL = f"""WITH judged AS (SELECT *, url_key IN (SELECT url_key FROM ({STORED})) OR title_key IN (SELECT title_key FROM ({STORED})) AS old FROM ({RAW})),
+g AS ({greedy_sql("SELECT seq, url_key, title_key FROM judged WHERE NOT old AND reason IS NULL")}),
+u AS (SELECT url_key, min(seq) AS first FROM g WHERE accepted GROUP BY 1), t AS (SELECT title_key, min(seq) AS first FROM g WHERE accepted GROUP BY 1),
+o AS (SELECT j.seq, CASE WHEN old THEN 'dup_existing' WHEN g.accepted THEN 'accepted' WHEN u.first < j.seq OR t.first < j.seq THEN 'dup_within' ELSE reason END AS outcome
+FROM judged j LEFT JOIN g ON g.seq = j.seq LEFT JOIN u ON u.url_key = j.url_key LEFT JOIN t ON t.title_key = j.title_key)"""
+
+
+@query(f"""{DAILY_SQL} SELECT outcome AS part, count(*) AS n FROM o GROUP BY 1
+UNION ALL SELECT 'articles', (SELECT count(*) FROM ({STORED})) + (SELECT count(*) FROM o WHERE outcome = 'accepted')
+UNION ALL SELECT 'greatest id', (SELECT max(o_orderkey) FROM orders WHERE o_orderstatus = 'P') + (SELECT count(*) FROM o WHERE outcome = 'accepted')
+UNION ALL SELECT 'removed_howto', count(*) FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 17 = 0""")
+def daily_job(spark, sf_dir):
+    """The daily job on an inventory and landed items: its report, and how many articles there are then."""
+    out = run_pipeline(stored_orders(spark, sf_dir), raw_events(spark, sf_dir), FITNESS, RUN_DATE)
+    articles = out["articles"].agg(F.count("*").alias("articles"), F.max("id").alias("greatest id"))
+    return (
+        out["report"].toDF("part", "n")
+        .unionByName(articles.unpivot([], ["articles", "greatest id"], "part", "n"))
+        .unionByName(out["cleaned"].select(F.lit("removed_howto").alias("part"), F.col("removed_howto").alias("n")))
+    )
+
+
+@query(f"{DOCS_SQL} SELECT doc_id FROM classed WHERE category <> 'finance' AND product_category = 'cardio'")
+def product_filter(spark, sf_dir):
+    """A product class on top of the filter by category."""
+    return B.with_product(B.in_category(classified(spark, sf_dir), "all"), "cardio").select("doc_id")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id = 7")
+def article_lookup(spark, sf_dir):
+    return B.lookup(table(spark, sf_dir, "documents"), "7", "doc_id").select("doc_id", "source")
+
+
+@query("SELECT 5 AS total, (SELECT count(DISTINCT source) FROM documents WHERE source <> '') AS n_sources, 'then' AS updated")
+def stats_fallback(spark, sf_dir):
+    """Statistics of a stored document: its own total and date of update, sources counted anew as it lacks them."""
+    docs = table(spark, sf_dir, "documents").where("source <> ''")
+    fresh = S.as_map(S.counts(docs, "source"), "source", "by_source").join(docs.agg(F.count("*").alias("total"))).withColumn("updated", F.lit("now"))
+    stored = spark.range(1).select(F.lit(5).cast("long").alias("total"), F.lit(None).cast("map<string, bigint>").alias("by_source"), F.lit("then").alias("updated"))
+    return S.with_stored(fresh, stored).select(F.col("total").cast("int").alias("total"), F.size("by_source").cast("long").alias("n_sources"), "updated")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 1 ELSE 2 END::INT AS n, coalesce(text, '') AS text FROM conversations""")
+def hybrid_replies(spark, sf_dir):
+    """Turns as replies of two objects, as an event stream whose last line is cut off or as an array, parsed alike."""
+    one = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("t")))
+    stream = F.concat(F.lit("data: "), one, F.lit("\r\n\r\ndata: [DONE]\ndata: "), one)
+    reply = F.when(F.col("turn") % 3 == 0, stream).otherwise(F.concat(F.lit("[ "), one, F.lit(",\n"), one, F.lit("]")))
+    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", sse.reply_objects(reply).alias("found"))
+    return found.select("conv_id", "turn", F.size("found").alias("n"), F.get_json_object(F.get("found", F.lit(0)), "$.t").alias("text"))
+
+
+@query("""SELECT c_custkey, '{"contents":[{"role":"user","parts":[{"text":"' || c_name || '"}]}],"generationConfig":{"temperature":0.7}'
+|| CASE WHEN c_custkey % 2 = 0 THEN ',"systemInstruction":{"parts":[{"text":"be brief"}]}' ELSE '' END || '}' AS body FROM customer""")
+def request_bodies(spark, sf_dir):
+    """Requests to a model, with an instruction or without."""
+    system = F.when(F.col("c_custkey") % 2 == 0, "be brief").otherwise("")
+    return table(spark, sf_dir, "customer").select("c_custkey", P.request_body("c_name", system).alias("body"))
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 1 END::INT AS n, n_name AS name, 'p:w' AS password FROM nation""")
+def user_lists(spark, sf_dir):
+    """Lists of names and passwords: spaces, colons in passwords, entries without one."""
+    other = F.when(F.col("n_nationkey") % 2 == 0, ",b:2").otherwise(",b:,nothing")
+    users = parse_users(F.concat(F.lit(" "), "n_name", F.lit(":p:w"), other))
+    first = F.get(users, F.lit(0))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.size(users).alias("n"), first["name"].alias("name"), first["password"].alias("password"))
+
+
+@query(f"""{DAILY_SQL} SELECT count(*) FILTER (outcome = 'accepted') AS added, 0::BIGINT AS added_again,
+count(*) FILTER (outcome IN ('accepted', 'dup_within')) + count(*) FILTER (outcome = 'dup_existing') AS known_then FROM o""")
+def merge_idempotent(spark, sf_dir):
+    """What the daily job adds, what it adds when it runs again on its own result, and how many items it knows by then."""
+    raw = raw_events(spark, sf_dir)
+    first = run_pipeline(stored_orders(spark, sf_dir), raw, FITNESS, RUN_DATE)
+    again = run_pipeline(first["articles"], raw, FITNESS, RUN_DATE)
+    known = again["report"].agg(F.coalesce(F.sum(F.when(F.col("outcome") == "dup_existing", F.col("n"))), F.lit(0)).alias("known_then"))
+    return first["added"].agg(F.count("*").alias("added")).join(again["added"].agg(F.count("*").alias("added_again"))).join(known)
