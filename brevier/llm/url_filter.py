@@ -18,9 +18,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brevier.llm.common import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_LEVELS = 64
-MAX_FALSE_POSITIVES = 2_000_000
 
 
 def url_host(url: Column) -> Column:
@@ -107,35 +107,25 @@ def build_cascade(listed: list[str], universe: DataFrame, n_universe: int, seed:
     """Levels that separate the listed keys from the rest of universe(key), which may repeat keys.
 
     Only keys that wrongly pass a level are kept for the next; the first level leaves about as many as are
-    listed, however large the universe is.
+    listed, however large the universe is. They stay on the executors: the driver sees bits alone. Each further level
+    halves one side, and as keys of the two sides differ, one side ends up empty.
     """
     if not listed:
         return []
-    spark = universe.sparkSession
-    members = keys_frame(spark, sorted(set(listed)))
+    members = keys_frame(universe.sparkSession, sorted(set(listed)))
     n = len(set(listed))
     error = min(0.5, n / (math.sqrt(2) * max(1, n_universe)))
     levels = [Bloom(seed, n, max(error, 1e-12)).fill(members)]
-    others = (
-        universe.where(~F.col("key").isin(sorted(set(listed))) & in_cascade(levels, F.col("key"))).distinct()
-    )
-    wrong = [r["key"] for r in others.limit(MAX_FALSE_POSITIVES + 1).collect()]
-    if len(wrong) > MAX_FALSE_POSITIVES:
-        raise ValueError("the rule list is too long for one cascade")
-    sides = [sorted(set(listed)), wrong]  # at even levels the first side is encoded, at odd ones the second
-    while True:
-        encode, against = sides[len(levels) % 2], sides[(len(levels) + 1) % 2]
-        if not encode:
-            return levels
-        if len(levels) >= MAX_LEVELS:
-            raise ValueError("the cascade does not end")
-        frame = keys_frame(spark, encode)
-        level = Bloom(seed + len(levels), len(encode), 0.5).fill(frame)
-        checked = keys_frame(spark, against)
-        sides[(len(levels) + 1) % 2] = [
-            r["key"] for r in checked.where(level.might_contain(F.col("key"), level_words(level))).collect()
-        ]
+    wrong = cut(universe.where(in_cascade(levels, F.col("key"))).distinct().join(members, "key", "left_anti"))
+    sides = [(members, n), (wrong, wrong.count())]  # at even levels the first side is encoded, at odd ones the second
+    while sides[len(levels) % 2][1]:
+        encode, size = sides[len(levels) % 2]
+        against, _ = sides[(len(levels) + 1) % 2]
+        level = Bloom(seed + len(levels), size, 0.5).fill(encode)
+        left = cut(against.where(level.might_contain(F.col("key"), level_words(level))))
+        sides[(len(levels) + 1) % 2] = (left, left.count())
         levels.append(level)
+    return levels
 
 
 def filter_urls(
@@ -147,8 +137,8 @@ def filter_urls(
 ) -> DataFrame:
     """(id, host, path, rule, verdict) for each row of pages.
 
-    rules: (allow or block, host/path). The longest rule that fits decides; a URL that none fits gets the
-    default and a null rule. A null URL, or one without ://, has an empty host and path and fits no rule.
+    rules: (allow or block, host/path). The longest rule that fits decides, of an allow and a block rule of one length
+    the allow rule; a URL that none fits gets the default and a null rule. A null URL, or one without ://, has an empty host and path and fits no rule.
     """
     parted = pages.select(
         F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path")

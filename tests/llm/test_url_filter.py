@@ -18,7 +18,7 @@ def slow(url, rules):
         h, p = key.split("/", 1)
         if (host == h or host.endswith("." + h)) and path.startswith("/" + p):
             fits.append((len(key), key, verdict))
-    best = max(fits, default=None)
+    best = max(fits, key=lambda f: (f[0], f[2] == "allow"), default=None)
     return host, path, best and best[1], best[2] if best else "allow"
 
 
@@ -35,6 +35,9 @@ def test_equals_brute_force(spark):
     got = sorted([tuple(r) for r in filter_urls(pages, URL_RULES).collect()], key=repr)
     assert got == sorted([(i, *slow(u, URL_RULES)) for i, u, _ in rows], key=repr)
     assert filter_urls(pages.limit(0), URL_RULES).count() == 0
+    even = [("block", "b.org/es/"), ("allow", "org/es/1/"), ("block", "x.org/a")]  # the first two are equally long
+    both = spark.createDataFrame([(1, "http://b.org/es/1/2"), (2, "http://b.org/es/2"), (3, "http://c.b.org/es/1/")], "page_id long, url string")
+    assert sorted(tuple(r) for r in filter_urls(both, even).collect()) == [(i, *slow(u, even)) for i, u in [(r.page_id, r.url) for r in both.collect()]]
     assert filter_urls(pages, []).where("verdict <> 'allow'").count() == 0
 
 
