@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -68,24 +70,63 @@ def reply_text(body: Column | str) -> Column:
     return F.coalesce(F.array_join(parts, ""), F.lit(""))
 
 
-def complete(prompt: Column | str, call: Callable[[str], str]) -> Column:
-    """The answers of a callable, a batch at a time; the callable retries and times out as it sees fit."""
+class Busy(Exception):
+    """What a callable raises for an answer with an HTTP status."""
+
+    def __init__(self, status: int):
+        super().__init__(status)
+        self.status = status
+
+
+def patient(
+    call: Callable[[str], str], tries: int = 3, first_s: float = 0.8, sleep: Callable[[float], None] = time.sleep
+) -> Callable[[str], str]:
+    """A callable asked again, after first_s, twice that, ..., while it is busy (429 or 5xx); other errors rise at once."""
+
+    def ask(value: str) -> str:
+        for k in range(tries):
+            try:
+                return call(value)
+            except Busy as e:
+                if k + 1 == tries or not (e.status == 429 or 500 <= e.status < 600):
+                    raise
+                sleep(first_s * 2**k)
+        raise ValueError("tries must be positive")
+
+    return ask
+
+
+def complete(prompt: Column | str, call: Callable[[str], str], workers: int = 1) -> Column:
+    """The answers of a callable, a batch at a time, of which up to `workers` prompts are asked at once.
+
+    patient(call) asks again where a service is busy; a callable times out as it sees fit.
+    """
 
     @F.pandas_udf("string")
     def ask(prompts: pd.Series) -> pd.Series:
-        return prompts.map(lambda p: None if p is None else call(p))
+        one = lambda p: None if p is None else call(p)
+        with ThreadPoolExecutor(workers) as pool:
+            return pd.Series(list(pool.map(one, prompts)), dtype=object)
 
     return ask(column(prompt))
 
 
-def translate(rows: DataFrame, text: str, call: Callable[[str], str] = lambda s: s) -> DataFrame:
-    """A memo (text, translated) of the distinct texts of a column; a call that fails leaves a text as it is."""
+def translate(
+    rows: DataFrame, text: str, call: Callable[[str], str] = lambda s: s, fallback: Callable[[str], str] | None = None, workers: int = 5
+) -> DataFrame:
+    """A memo (text, translated) of the distinct texts of a column, each asked for once.
+
+    Where a call fails or says nothing the fallback is asked, and where that fails, too, a text stays as it is.
+    """
 
     def safe(value: str) -> str:
-        try:
-            return call(value) or value
-        except Exception:  # a translation service may fail in any way, and the original will do
-            return value
+        for ask in (call, fallback):
+            try:
+                if ask is not None and (found := ask(value)):
+                    return found
+            except Exception:  # a translation service may fail in any way, and the original will do
+                continue
+        return value
 
     distinct = rows.select(F.col(text).alias("text")).where("text is not null").distinct()
-    return distinct.withColumn("translated", complete("text", safe))
+    return distinct.withColumn("translated", complete("text", safe, workers))

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from brevier.operators import dashboard as B
@@ -66,3 +67,49 @@ def test_prompts(spark):
     assert P.translate(r, "title", str.upper).where("translated = upper(text)").count() == 5
     request = r.select(P.request_body("title", F.lit("be brief")).alias("x")).first().x
     assert '"temperature":0.7' in request and "be brief" in request
+
+
+def test_busy_services(spark):
+    asked, naps = [], []
+
+    def call(value, answers=(429, 503, None)):
+        asked.append(value)
+        status = answers[min(len(asked) - 1, len(answers) - 1)]
+        if status:
+            raise P.Busy(status)
+        return value.upper()
+
+    assert P.patient(call, sleep=naps.append)("a") == "A" and naps == [0.8, 1.6]
+    asked.clear()
+    with pytest.raises(P.Busy):
+        P.patient(lambda v: call(v, (400,)), sleep=naps.append)("a")
+    assert len(asked) == 1
+
+    def first(value):
+        if value == "a":
+            raise OSError("down")
+        return "" if value == "b" else "one " + value
+
+    def second(value):
+        if value == "b":
+            raise OSError("down")
+        return "two " + value
+
+    rows = spark.createDataFrame([("a",), ("b",), ("c",), (None,), ("c",)], "t string")
+    got = {r.text: r.translated for r in P.translate(rows, "t", first, second).collect()}
+    assert got == {"a": "two a", "b": "b", "c": "one c"}
+
+
+def test_filters(spark):
+    rows = spark.createDataFrame([(1, "cardio"), (2, "odd"), (3, None), (4, "other")], "id long, product_category string")
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(B.with_product(rows, "other")) == [2, 3, 4] and ids(B.with_product(rows, "cardio")) == [1] and len(ids(B.with_product(rows))) == 4
+    assert ids(B.lookup(rows, "3")) == [3] and ids(B.lookup(rows, 9)) == []
+
+
+def test_stored_statistics(spark):
+    fresh = spark.createDataFrame([(3, {"a": 1}, ["x"], "now")], "total long, by_brand map<string, long>, timeline array<string>, updated string")
+    stored = spark.createDataFrame([(0, {}, [], "")], "total long, by_brand map<string, long>, timeline array<string>, updated string")
+    # A number or map counts if it is there, a list or text if it is not empty.
+    assert tuple(S.with_stored(fresh, stored).first()) == (0, {}, ["x"], "now")
+    assert tuple(S.with_stored(fresh, stored.select("updated")).first()) == (3, {"a": 1}, ["x"], "now")
