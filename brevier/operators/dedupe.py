@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brevier.functions.session import cut
+from brevier.functions.session import cut, new_folder
 
 
 def not_in_inventory(new: DataFrame, inventory: DataFrame, keys: tuple[str, str] = ("url_key", "title_key")) -> DataFrame:
@@ -32,23 +32,27 @@ def greedy_distinct(
     a, b = keys
     wanted = rows if eligible is None else rows.where(F.coalesce(F.col(eligible), F.lit(False)))
     open_ = cut(wanted.select(F.col(order).alias("seq"), F.col(a).alias("a"), F.col(b).alias("b")))
-    accepted = None
+    spark, folder, rounds = rows.sparkSession, new_folder(rows.sparkSession, "accepted"), 0
     while not open_.isEmpty():
         first_a = open_.where("a is not null").groupBy("a").agg(F.min("seq").alias("first_a"))
         first_b = open_.where("b is not null").groupBy("b").agg(F.min("seq").alias("first_b"))
-        taken = cut(
+        (
             open_.join(first_a, "a", "left")
             .join(first_b, "b", "left")
             .where((F.coalesce("first_a", "seq") == F.col("seq")) & (F.coalesce("first_b", "seq") == F.col("seq")))
             .select("seq", "a", "b")
+            .write.parquet(f"{folder}/round={rounds}")
         )
-        accepted = taken if accepted is None else accepted.union(taken)
+        taken = spark.read.schema(open_.schema).parquet(f"{folder}/round={rounds}")
+        rounds += 1
         rest = open_.join(taken.select("seq"), "seq", "left_anti")
         for key in ("a", "b"):
             gone = taken.select(F.col(key).alias("__gone")).where("__gone is not null").distinct()
             rest = rest.join(gone, rest[key] == F.col("__gone"), "left_anti")
         open_ = cut(rest)
-    chosen = rows.select(F.col(order).alias("seq")).limit(0) if accepted is None else accepted.select("seq")
+    # The rounds' rows lie in one folder: reading them is one scan, however many rounds there were.
+    chosen = spark.read.schema(open_.schema).parquet(f"{folder}/*") if rounds else open_
+    chosen = chosen.select("seq")
     return rows.select(F.col(order).alias("seq")).join(
         chosen.withColumn("accepted", F.lit(True)), "seq", "left"
     ).select(F.col("seq").alias(order), F.coalesce("accepted", F.lit(False)).alias("accepted"))

@@ -55,7 +55,11 @@ def fold(lines: DataFrame, stream: str = "stream_id", order: str = "ord", line:
 
 
 def running_text(deltas: DataFrame, stream: str = "stream_id", order: str = "ord", delta: str = "delta") -> DataFrame:
-    """deltas with full_text: everything that the stream has said up to each delta."""
+    """deltas with full_text: everything that the stream has said up to each delta.
+
+    The result itself grows with the square of a stream's length, and one task makes a stream's: for replies, which are
+    short. The whole text of long streams is fold()'s, which keeps one copy.
+    """
     so_far = Window.partitionBy(stream).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return deltas.withColumn("full_text", F.array_join(F.collect_list(F.coalesce(column(delta), F.lit(""))).over(so_far), ""))
 
