@@ -70,3 +70,27 @@ def test_held_out_accuracy_and_edge_cases(spark, nasty, empty):
     none = L.train(empty, F.lit(True))
     assert {r.lang_pred for r in L.identify(nasty, none).collect()} == {"und"}
     assert L.identify(empty, trees).count() == 0
+
+
+def test_training_counts_equal_brute_force_and_the_sample_is_bounded(spark):
+    rows = [(k, f"text {k} of language {k % 2}", "en" if k % 2 else "de") for k in range(30)] + [(None, "no id", "en"), (31, None, "en"), (32, "no language", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learn = ~held_out("doc_id", 3, 1)
+    allowed = {r.doc_id for r in docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).collect()}
+    assert None not in allowed and 31 not in allowed and 10 < len(allowed) < 30
+    trees = L.train(docs, learn, max_order=3)
+    counts = pd.concat([counts_of({lang: t.encode()}, 3) for k, t, lang in rows if k in allowed]).groupby(["lang", "order", "gram"], as_index=False).n.sum()
+    wanted = L.Trees(counts, 3)
+    # Texts are joined by the padding before each, which adds contexts across texts in training alone.
+    probe = [b"text 3 of language 1", b"text 8 of language 0"]
+    assert trees.langs == wanted.langs
+    assert trees.code_lengths(probe).argmin(1).tolist() == wanted.code_lengths(probe).argmin(1).tolist() == [1, 0]
+    few = L.sampled(docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000)), F.lit(True), "doc_id", "text", "lang", 5).count()
+    assert few < 30
+
+
+def test_kept_columns_of_clashing_names(nasty):
+    trees = L.Trees(counts_of({"aa": b"abra", "bb": b"xyz"}, 2), 2)
+    found = L.identify(nasty.withColumn("score", F.lit("x")), trees, keep=("id", "score", "lang"))
+    assert found.columns == ["id", "lang_pred", "score", "bits", "kept_id", "kept_score", "lang"]
+    assert found.count() == nasty.count() and {r.kept_score for r in found.collect()} == {"x"}

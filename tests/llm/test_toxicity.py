@@ -100,6 +100,9 @@ def test_held_out_accuracy_and_edge_cases(spark, nasty, empty):
     assert any((r.score >= 0.3) != (r.id % 5 == 0) for r in other)
     got = score(nasty, model).collect()
     assert len(got) == nasty.count() and all(0 <= r.score <= 1 for r in got)
+    odd = [(1, "You are an IDIOT!! " + "quiet words " * 30_000), (2, "moron"), (2, "moron"), (None, "moron"), (3, None), (4, "")]
+    by = sorted(((r.id, r.score) for r in score(spark.createDataFrame([(*r, 0.5) for r in odd], "doc_id long, text string, score double"), model).collect()), key=repr)
+    assert len(by) == 6 and by[1] == by[2] and by[1][1] == by[5][1] and by[3][1] == by[4][1]  # alike texts are scored alike, null as empty
     assert score(empty, model).count() == 0
     # Without labels the lexicon alone votes.
     alone = {r.id: r.score for r in score(docs, train(docs, marks.limit(0), ~held_out("id", 4, 2))).collect()}
