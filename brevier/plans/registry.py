@@ -534,11 +534,23 @@ def turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("ord"), F.col("text").alias("delta"))
 
 
-@query("""SELECT conv_id::VARCHAR AS stream_id, string_agg(coalesce(text, ''), '' ORDER BY turn) AS text FROM conversations GROUP BY 1""")
+@query("""SELECT conv_id::VARCHAR AS stream_id, CASE conv_id % 4 WHEN 1 THEN 'whole' WHEN 2 THEN NULL ELSE string_agg(coalesce(text, ''), '' ORDER BY turn) END AS text,
+CASE WHEN conv_id % 4 = 2 THEN 'boom' END AS error, conv_id % 4 IN (1, 3) AS is_done FROM conversations GROUP BY conv_id""")
 def sse_fold(spark, sf_dir):
-    """Each conversation's turns as an event stream, folded into one text."""
-    lines = turns(spark, sf_dir).withColumn("line", F.trim(sse.encode_delta("delta", F.lit("m"))))
-    return sse.fold(lines).select("stream_id", "text")
+    """Conversations as event streams, folded into one text: some just end, some end with a whole text, some with an
+    error, some with an empty text and words after it; junk and broken lines stand in between."""
+    said = turns(spark, sf_dir)
+    lines = said.select("stream_id", (3 * F.col("ord")).alias("ord"), F.trim(sse.encode_delta("delta", F.lit("m"))).alias("line"))
+    kind = F.pmod(F.col("stream_id").cast("long"), F.lit(4))
+    last = said.groupBy("stream_id").agg((3 * F.max("ord") + 1).alias("ord"))
+    end = (
+        F.when(kind == 1, F.trim(sse.encode_end(F.lit("whole"), F.lit("m"))))
+        .when(kind == 2, F.lit('data: {"error":"boom","model":"m"}'))
+        .when(kind == 3, F.trim(sse.encode_end(F.lit(""), F.lit("m"))))
+        .otherwise(F.lit("data: {broken"))
+    )
+    more = last.select("stream_id", F.col("ord") + 1, F.when(kind == 3, F.lit('data: {"delta":"late"}')).otherwise(F.lit(": a comment")))
+    return sse.fold(lines.union(last.select("stream_id", "ord", end)).union(more)).select("stream_id", "text", "error", "is_done")
 
 
 @query("""SELECT conv_id::VARCHAR AS stream_id, turn AS ord, string_agg(coalesce(text, ''), '') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS full_text
@@ -588,20 +600,22 @@ def escape_html(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.escape_html("text").alias("escaped"))
 
 
-@query("""SELECT c_custkey, '{"user":"' || c_name || '","exp":2000}' AS payload FROM customer""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '{"user":"' || c_name || '","exp":2000}' END AS payload FROM customer""")
 def token_round_trip(spark, sf_dir):
-    """Payloads as verified from the tokens that were signed for them."""
-    payload = F.to_json(F.struct(F.col("c_name").alias("user"), F.lit(2000).alias("exp")))
-    signed = table(spark, sf_dir, "customer").select("c_custkey", sign_token(payload, "secret").alias("token"))
+    """Payloads as verified from the tokens that were signed for them; none for expired, foreign and broken tokens."""
+    key = F.col("c_custkey")
+    payload = F.to_json(F.struct(F.col("c_name").alias("user"), F.when(key % 4 == 1, 500).otherwise(2000).alias("exp")))
+    token = F.when(key % 4 == 2, sign_token(payload, "other")).when(key % 4 == 3, F.col("c_name")).otherwise(sign_token(payload, "secret"))
+    signed = table(spark, sf_dir, "customer").select("c_custkey", token.alias("token"))
     return signed.select("c_custkey", verify_token("token", "secret", 1000).alias("payload"))
 
 
-@query("SELECT n_nationkey, greatest(2, ceil(length(n_name) / 120.0))::INT AS size, n_name AS text FROM nation")
+@query("""SELECT doc_id, ceil(n / size)::INT AS pieces, CASE WHEN n > 0 THEN least(n, size) END::INT AS first, coalesce(text, '') AS text
+FROM (SELECT doc_id, text, coalesce(length(text), 0) AS n, greatest(2, ceil(coalesce(length(text), 0) / 120.0)) AS size FROM documents)""")
 def text_chunks(spark, sf_dir):
-    pieces = sse.chunks("n_name")
-    return table(spark, sf_dir, "nation").select(
-        "n_nationkey", F.length(F.get(pieces, F.lit(0))).alias("size"), F.array_join(pieces, "").alias("text")
-    )
+    """Documents in pieces as they are sent, and put together again."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", sse.chunks("text").alias("c"))
+    return rows.select("doc_id", F.size("c").alias("pieces"), F.length(F.get("c", F.lit(0))).alias("first"), F.array_join("c", "").alias("text"))
 
 
 def case_rows(spark, sf_dir, names: list[str], cases: list[tuple]) -> DataFrame:
