@@ -21,11 +21,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brevier.llm.common import new_folder
+from brevier.llm.common import cut, new_folder
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, url string, digest string, record_type string, refers_to long, file string, offset long, length long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+#: Repeated payloads (digest and id, some 100 bytes each) that are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
 CONTROL = re.compile(r"[\x00-\x20\x7F]")
 
 
@@ -92,9 +94,16 @@ def write_archives(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")
     ).withColumn("digest", F.sha2("payload", 256))
     counted = F.octet_length("payload") >= min_revisit
-    first = rows.where(counted).groupBy("digest").agg(F.min("page_id").alias("first")).withColumnRenamed("digest", "key")
+    # Digests and ids alone are shuffled to find the payloads that occur twice; the payloads stay where they are read
+    # as long as those fit a broadcast.
+    first = (
+        rows.where(counted).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+        .select(F.col("digest").alias("key"), "first")
+    )
+    first = cut(first)
+    first = F.broadcast(first) if first.count() <= MOST_BROADCAST else first
     # Short payloads join nothing; a key of their own keeps them from meeting in one partition.
-    key = F.when(counted, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id"), F.lit(0)).cast("string")))
+    key = F.when(counted, F.col("digest")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     typed = rows.withColumn("key", key).join(first, "key", "left").select(
         "page_id", "url", "payload", "digest", F.when(revisit, F.col("first")).alias("refers_to")
