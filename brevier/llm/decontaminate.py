@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from brevier.llm.common import cut
 
 TOKEN = re.compile(r"\w+")
 BASE, MODULUS = 1_000_003, (1 << 61) - 1
-CACHE, SIEVE = 300_000, 1 << 20
+CACHE, VOCABULARY, SIEVE = 300_000, 100_000, 1 << 20
 KEY, KEY_SQL = pa.struct([("a", pa.int64()), ("b", pa.int64())]), "struct<a: bigint, b: bigint>"
 PAIRS = "doc_id long, item_id long, n_tiles int, matched_tokens int, item_tokens int, coverage double"
 
@@ -135,6 +136,8 @@ class Items:
         self.min_match, self.coverage = min_match, coverage
         hashes = TokenHashes()
         listed = [(k, h) for k, h in ((k, hashes.of(t)) for k, t in rows) if len(h)]
+        #: Tokens of a small benchmark: others need no hash of their own.
+        self.vocabulary = {w: h for w, h in hashes.items()} if len(hashes) <= VOCABULARY else None
         self.ids = [k for k, _ in listed]
         self.tokens = [h for _, h in listed]
         self.sizes = np.array([min(min_match, len(h)) for h in self.tokens], np.int64)
@@ -150,6 +153,13 @@ class Items:
             seen[distinct & np.uint64(SIEVE - 1)] = True
             self.tables.append((size, distinct, np.append(starts, len(order)), item[order], seen))
 
+    def hashed(self, text: str | None, hashes: TokenHashes) -> np.ndarray:
+        """Token hashes of a text; 0 for tokens that no item has, where the vocabulary is at hand."""
+        if self.vocabulary is None:
+            return hashes.of(text)
+        words = tokens(text)
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, len(words))
+
     def found(self, hashed: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, tiles, tokens in them) of each item that a text of these token hashes holds."""
         out = []
@@ -198,7 +208,7 @@ def by_scan(docs: DataFrame, items: Items) -> DataFrame:
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for k, n, matched in known.found(hashes.of(text.as_py())):
+                for k, n, matched in known.found(known.hashed(text.as_py(), hashes)):
                     size = len(known.tokens[k])
                     out.append((doc_id, known.ids[k], n, matched, size, matched / size))
             yield pairs_batch(out)
@@ -333,6 +343,6 @@ def decontaminate(
     def run(batches):
         known, hashes = shared.value, TokenHashes()
         for batch in batches:
-            yield batch.filter(pa.array([not known.found(hashes.of(t.as_py())) for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([not known.found(known.hashed(t.as_py(), hashes)) for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
