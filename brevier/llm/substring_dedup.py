@@ -9,7 +9,8 @@ to twice that length, until the wanted length is reached or no candidates surviv
 Documents are dealt once, by row, into groups of some megabytes. Each group sends one packed list of its distinct
 hashes to each of a number of hash ranges, and gets one bit for each of them back, so that a passage that
 many documents share costs one entry a group however hot it is, and neither positions nor texts are
-shuffled again. All levels read the one exchange of the texts. Rows are told apart by their place in docs, which
+shuffled again. All levels read the one exchange of the texts. The windows still open come back to each group as
+bits, so that no level is settled twice. Rows are told apart by their place in docs, which
 must be a table or another plan that gives the same rows in the same order when a lost task runs again.
 """
 
@@ -160,7 +161,7 @@ def ranges(keys: np.ndarray, n: int):
 
 def packed_flags(table: pa.Table, level: int) -> np.ndarray:
     """The flags that came back to a group at a level, in the order of its sorted keys."""
-    rows = [r for r in table.to_pylist() if r["level"] == level]
+    rows = [r for r in table.to_pylist() if r["level"] == level and r["part"] >= 0]
     rows.sort(key=lambda r: r["part"])
     return (
         np.concatenate([np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=r["n"]) for r in rows]).astype(bool)
@@ -169,6 +170,21 @@ def packed_flags(table: pa.Table, level: int) -> np.ndarray:
     )
 
 
+def state_row(grp: int, group: Group) -> tuple:
+    """The group's open windows as bits: a row that comes back as it is, so that no later stage settles them again."""
+    open_ = np.zeros(group.starts[-1], bool)
+    open_[group.places] = True
+    return grp, -grp - 1, len(open_), np.packbits(open_).tobytes(), b"", b""
+
+
+def judged(key, table: pa.Table, level: int, judge) -> pa.Table:
+    """What a judge says of a range, or a group's own state."""
+    rows = table.to_pylist()
+    if key[0].as_py() < 0:
+        return back_table([(r["grp"], level, -1, r["n"], r["keys"]) for r in rows])
+    return judge(rows)
+
+
 SENT = "grp int, part int, n int, keys binary, extra binary, ids binary"
 BACK = "grp int, level int, part int, n int, flags binary"
 
@@ -217,9 +233,13 @@ def repeated_windows(
     dealt = dealt.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")).repartition(width, "grp")
 
     def sifted(texts, back, level: int) -> Group:
-        """A group with what the levels below have settled."""
+        """A group with what the levels below have settled, from its last state on."""
         group = Group(*(texts[c].combine_chunks() for c in ("id", "row", "__text")), window)
-        for k in range(level):
+        states = {r["level"]: r for r in back.to_pylist() if r["part"] < 0} if level else {}
+        begin = max(states, default=0)
+        if states:
+            group.places = np.flatnonzero(np.unpackbits(np.frombuffer(states[begin]["flags"], np.uint8), count=states[begin]["n"]))
+        for k in range(begin, level):
             group.sift(lengths[k], packed_flags(back, k))
         return group
 
@@ -227,19 +247,20 @@ def repeated_windows(
         def send(key, texts, back=None):
             if not texts.num_rows:
                 return sent_table([])
-            keys, many = sifted(texts, back, level).anchors(lengths[level])
+            group = sifted(texts, back, level)
+            keys, many = group.anchors(lengths[level])
             return sent_table(
                 [
                     (key[0].as_py(), i, s.stop - s.start, keys[s].tobytes(), np.packbits(many[s]).tobytes(), b"")
                     for i, s in ranges(keys, parts)
                 ]
+                + [state_row(key[0].as_py(), group)] * (level > 0)
             )
 
         return send
 
     def judge_short(level: int):
-        def judge(key, table):
-            rows = table.to_pylist()
+        def judge(rows):
             keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
             many = [np.unpackbits(np.frombuffer(r["extra"], np.uint8), count=r["n"]).astype(bool) for r in rows]
             distinct, number, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
@@ -253,7 +274,7 @@ def repeated_windows(
                 ]
             )
 
-        return judge
+        return lambda key, table: judged(key, table, level, judge)
 
     last = len(lengths) - 1
 
@@ -268,10 +289,10 @@ def repeated_windows(
                 (key[0].as_py(), i, s.stop - s.start, keys[s].tobytes(), check[s].tobytes(), owner[s].tobytes())
                 for i, s in ranges(keys, parts)
             ]
+            + [state_row(key[0].as_py(), group)] * (last > 0)
         )
 
-    def judge_wholes(key, table):
-        rows = table.to_pylist()
+    def judge_wholes(rows):
         keys, check, ids = (
             np.concatenate([np.frombuffer(r[name], kind) for r in rows])
             for name, kind in (("keys", np.uint64), ("extra", np.uint32), ("ids", np.int64))
@@ -291,7 +312,7 @@ def repeated_windows(
 
     back = None
     for level in range(last + 1):
-        send, judge = (short_windows(level), judge_short(level)) if level < last else (wholes, judge_wholes)
+        send, judge = (short_windows(level), judge_short(level)) if level < last else (wholes, lambda key, table: judged(key, table, last, judge_wholes))
         by_group = dealt.groupBy("grp")
         if back is None:
             sent = by_group.applyInArrow(alone(send), SENT)
