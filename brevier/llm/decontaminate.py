@@ -103,14 +103,18 @@ def tile_pair(item: list, doc: list, min_match: int) -> tuple[int, int]:
 
 
 class TokenHashes(dict):
-    """64-bit hashes of tokens, kept for the next text."""
+    """64-bit hashes of tokens, kept for the next text; forgotten between texts once there are more than `limit`."""
+
+    def __init__(self, limit: float = CACHE):
+        super().__init__()
+        self.limit = limit
 
     def __missing__(self, word: str) -> int:
         self[word] = out = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return out
 
     def of(self, text: str | None) -> np.ndarray:
-        if len(self) > CACHE:
+        if len(self) > self.limit:
             self.clear()
         words = tokens(text)
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
@@ -134,10 +138,10 @@ class Items:
 
     def __init__(self, rows: list[tuple[int | None, str]], min_match: int, coverage: float):
         self.min_match, self.coverage = min_match, coverage
-        hashes = TokenHashes()
+        hashes = TokenHashes(limit=math.inf)  # the benchmark's whole vocabulary: its tokens are bounded by the caller
         listed = [(k, h) for k, h in ((k, hashes.of(t)) for k, t in rows) if len(h)]
         #: Tokens of a small benchmark: others need no hash of their own.
-        self.vocabulary = {w: h for w, h in hashes.items()} if len(hashes) <= VOCABULARY else None
+        self.vocabulary = dict(hashes) if len(hashes) <= VOCABULARY else None
         self.ids = [k for k, _ in listed]
         self.tokens = [h for _, h in listed]
         self.sizes = np.array([min(min_match, len(h)) for h in self.tokens], np.int64)

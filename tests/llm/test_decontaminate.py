@@ -3,7 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from brevier.llm.decontaminate import contaminated_pairs, decontaminate, tile_pair, tiles
+from brevier.llm.decontaminate import Items, TokenHashes, contaminated_pairs, decontaminate, tile_pair, tiles
 
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
 
@@ -114,3 +114,21 @@ def test_pairs_equal_brute_force(spark):
     for limit in (0, 2_000_000):
         got = contaminated_pairs(docs, items, max_broadcast_tokens=limit).collect()
         assert sorted((r.doc_id, r.item_id, r.n_tiles, r.matched_tokens) for r in got) == sorted(wanted)
+
+
+def test_vocabulary_is_whole_beyond_the_cache(spark):
+    """31,000 items of ten words that no other has: more than the cache of token hashes holds, fewer than are broadcast."""
+    rows = [(k, " ".join(f"v{k}x{j}" for j in range(10))) for k in range(31_000)]
+    known = Items(rows, 5, 0.6)
+    assert known.vocabulary is None
+    some = [*rows[:300], *rows[15_000:15_100], *rows[-300:]]
+    docs = spark.createDataFrame([(k, "before " + text + " after") for k, text in some], "doc_id long, text string")
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    for limit in (0, 2_000_000):
+        pairs = contaminated_pairs(docs, items, max_broadcast_tokens=limit).collect()
+        assert sorted((r.doc_id, r.item_id) for r in pairs) == [(k, k) for k, _ in some]
+
+
+def test_small_vocabularies_spare_hashes_of_other_tokens():
+    known = Items([(1, ITEM), (2, "the end of all of it")], 5, 0.6)
+    assert len(known.vocabulary) == 25 and known.hashed("the unseen end", TokenHashes()).tolist()[1] == 0
