@@ -86,6 +86,44 @@ dice AS (SELECT r, doc_id, unit, license_id, template, 2 * sum(least(ours.c, the
 SELECT doc_id, license_id, count(DISTINCT (r, unit)) AS n_units, round(max(dice), 6) AS dice FROM dice WHERE dice >= {threshold} GROUP BY 1, 2
 """
 
+#: The 256 entries of the CRC-32 table, and the CRC-32 of a text's UTF-8 bytes with it.
+CRC_TABLE = """list_transform(range(256), lambda i: list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]),
+                 lambda c, k: xor(c >> 1, 3988292384::UBIGINT * (c & 1))))"""
+CRC_BYTES = "list_transform(range(1, octet_length(encode({0})) + 1), lambda i: ('0x' || substr(hex(encode({0})), 2 * i - 1, 2))::UBIGINT)"
+CRC = "xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, " + CRC_BYTES + "), lambda c, b: xor(c >> 8, {1}[((xor(c, b) & 255) + 1)::BIGINT])))"
+
+
+def merkle_sql() -> str:
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR END"
+    leaf = lambda size: "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", size, "text")) + ")"
+    above = "sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 1) // 2"
+    step = "sha256(CASE WHEN w.pos % 2 = 0 THEN own || coalesce(s.digest, '') ELSE s.digest || own END), proof || coalesce(s.digest, '')"
+    return f"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT {CRC_TABLE} AS tab),
+leaves AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS branch, {leaf("n_chars")} AS leaf,
+            CASE WHEN {CRC.format("doc_id::VARCHAR", "tab")} % 7 = 0 THEN {leaf("(n_chars + 1)")} END AS changed FROM documents, crc),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY branch ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos FROM leaves),
+nodes(branch, lvl, pos, digest, n) AS (
+  SELECT branch, 0, pos, leaf, count(*) OVER (PARTITION BY branch) FROM placed
+  UNION ALL SELECT branch, lvl + 1, pos // 2, {above} FROM nodes WHERE n > 1 GROUP BY branch, lvl, pos // 2),
+tops(lvl, pos, digest, n) AS (
+  SELECT 0, row_number() OVER (ORDER BY branch) - 1, digest, count(*) OVER () FROM nodes WHERE n = 1
+  UNION ALL SELECT lvl + 1, pos // 2, {above} FROM tops WHERE n > 1 GROUP BY lvl, pos // 2),
+walk(r, branch, lvl, pos, own, proof) AS (
+  SELECT r, branch, 0, pos, coalesce(changed, leaf), '' FROM placed
+  UNION ALL SELECT w.r, w.branch, w.lvl + 1, w.pos // 2, {step}
+  FROM walk w JOIN nodes m ON m.branch = w.branch AND m.lvl = w.lvl AND m.pos = w.pos AND m.n > 1
+       LEFT JOIN nodes s ON s.branch = w.branch AND s.lvl = w.lvl AND s.pos = xor(w.pos, 1)),
+subroots AS (SELECT branch, digest AS subroot, row_number() OVER (ORDER BY branch) - 1 AS pos FROM nodes WHERE n = 1),
+climb(r, lvl, pos, own, proof) AS (
+  SELECT r, 0, b.pos, arg_max(own, lvl), arg_max(proof, lvl) FROM walk JOIN subroots b USING (branch) GROUP BY r, b.pos
+  UNION ALL SELECT w.r, w.lvl + 1, w.pos // 2, {step}
+  FROM climb w JOIN tops m ON m.lvl = w.lvl AND m.pos = w.pos AND m.n > 1 LEFT JOIN tops s ON s.lvl = w.lvl AND s.pos = xor(w.pos, 1)),
+ended AS (SELECT r, arg_max(own, lvl) AS folded_root, sha256(arg_max(proof, lvl)) AS proof_sha256 FROM climb GROUP BY r)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN subroots USING (branch) JOIN ended USING (r), (SELECT digest AS root FROM tops WHERE n = 1)
+"""
+
 
 ORACLE_SQL = {
     "op1_substring_dedup": OP1,
@@ -93,4 +131,5 @@ ORACLE_SQL = {
     "op5_quality_rules": OP5,
     "op7_warc": OP7,
     "op9_license_scan": license_sql(),
+    "op11_merkle_manifest": merkle_sql(),
 }

@@ -10,6 +10,7 @@ from brevier.llm.decontaminate import contaminated_pairs
 from brevier.llm.language_id import identify, train
 from brevier.llm.licenses import license_matches
 from brevier.llm.line_quality import quality_rules
+from brevier.llm.merkle import fold, leaf_digest, manifest
 from brevier.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from brevier.llm.packing import pack_documents
 from brevier.llm.simhash import near_duplicate_groups
@@ -26,6 +27,7 @@ URL_RULES = [
     ("block", "com/de/"),
 ]
 TOXIC_FROM = 0.3
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,6 +113,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and root of every document, and the root that its leaf leads to after some were tampered with."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = F.col("n_chars") + F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, 1).otherwise(0)
+    tampered = docs.withColumn("now", leaf_digest(*[more if c == "n_chars" else F.col(c) for c in LEAF_FIELDS]))
+    rows = fold(manifest(tampered, fields=LEAF_FIELDS, keep=("now",)), leaf="now")
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2("proof", 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_url_filter": op2_url_filter,
@@ -122,4 +141,5 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
