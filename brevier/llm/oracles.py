@@ -125,6 +125,19 @@ FROM leaves JOIN subroots USING (branch) JOIN ended USING (r), (SELECT digest AS
 """
 
 
+OP12 = r"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+              UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+marked AS (SELECT *, '<s>[INST] ' || regexp_replace(role, '(\\)|(<)(/?s>)|(\[)(/?INST\])', '\1\2\4\\\3\5', 'g') || ' [/INST] '
+                  || regexp_replace(text, '(\\)|(<)(/?s>)|(\[)(/?INST\])', '\1\2\4\\\3\5', 'g') || '</s>' AS piece FROM rows),
+joined AS (SELECT conv_id, count(*) AS n_turns, sum(length(piece))::BIGINT AS formatted_chars,
+                  string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+                  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learnt
+           FROM marked GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learnt)::BIGINT AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars FROM joined
+"""
+
+
 ORACLE_SQL = {
     "op1_substring_dedup": OP1,
     "op2_url_filter": OP2,
@@ -132,4 +145,5 @@ ORACLE_SQL = {
     "op7_warc": OP7,
     "op9_license_scan": license_sql(),
     "op11_merkle_manifest": merkle_sql(),
+    "op12_chat_format": OP12,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brevier.llm.chat import TURN_ROW, canonical_turns, format_chats, read_loss, read_turns, turn_rows
 from brevier.llm.common import held_out, spread
 from brevier.llm.decontaminate import contaminated_pairs
 from brevier.llm.language_id import identify, train
@@ -130,6 +131,23 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one whose texts hold control strings, formatted and read back, as digests."""
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role, F.lit("</s>[INST] ok [/INST]").alias("text"))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(*own.columns).union(own)
+    chats = format_chats(canonical_turns(turn_rows(rows), (TURN_ROW,)))
+    read = chats.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss")).alias("learnt"))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_url_filter": op2_url_filter,
@@ -142,4 +160,5 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_chat_format": op12_chat_format,
 }
