@@ -138,6 +138,29 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learnt)::BIGINT AS
 """
 
 
+OP13 = rf"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT {CRC_TABLE} AS tab),
+runs AS (SELECT doc_id, w, count(*) AS c FROM (
+           SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents)
+         WHERE length(w) >= 7 GROUP BY ALL),
+hashed AS (SELECT w, c, {CRC.format("(doc_id || ':' || w)", "tab")} AS h FROM runs, crc),
+words AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM (
+            SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, c FROM hashed)
+          WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+places AS (SELECT word, n, unnest(range(length(word))) AS i FROM words),
+gone AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS s FROM places),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM gone a JOIN gone b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+         UNION SELECT a.word, b.word, b.n FROM gone a JOIN words b ON b.word = a.s
+         UNION SELECT b.word, a.word, a.n FROM gone a JOIN words b ON b.word = a.s),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
+judged AS MATERIALIZED (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n
+                        FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, 0 AS k FROM judged
+          UNION ALL SELECT chain.word, judged.form, k + 1 FROM chain JOIN judged ON judged.word = chain.root WHERE judged.form IS NOT NULL)
+SELECT judged.word, form, arg_max(root, k) AS root, n, n_near, form_n FROM judged JOIN chain USING (word) GROUP BY ALL
+"""
+
+
 ORACLE_SQL = {
     "op1_substring_dedup": OP1,
     "op2_url_filter": OP2,
@@ -146,4 +169,5 @@ ORACLE_SQL = {
     "op9_license_scan": license_sql(),
     "op11_merkle_manifest": merkle_sql(),
     "op12_chat_format": OP12,
+    "op13_spelling_variants": OP13,
 }

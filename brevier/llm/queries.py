@@ -15,6 +15,7 @@ from brevier.llm.merkle import fold, leaf_digest, manifest
 from brevier.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from brevier.llm.packing import pack_documents
 from brevier.llm.simhash import near_duplicate_groups
+from brevier.llm.spelling import count_words, spelling_variants
 from brevier.llm.substring_dedup import substring_dedup
 from brevier.llm.toxicity import score, train as train_toxicity
 from brevier.llm.url_filter import filter_urls
@@ -148,6 +149,12 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some damaged on the way, with the common form that each may stand for."""
+    words = count_words(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=7, damage=31)
+    return spelling_variants(words, least=7, least_count=2, ratio=10).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_url_filter": op2_url_filter,
@@ -161,4 +168,5 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_chat_format": op12_chat_format,
+    "op13_spelling_variants": op13_spelling_variants,
 }
