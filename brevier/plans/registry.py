@@ -837,8 +837,9 @@ def user_lists(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", F.size(users).alias("n"), first["name"].alias("name"), first["password"].alias("password"))
 
 
-@query(f"""{DAILY_SQL} SELECT count(*) FILTER (outcome = 'accepted') AS added, 0::BIGINT AS added_again,
-count(*) FILTER (outcome IN ('accepted', 'dup_within')) + count(*) FILTER (outcome = 'dup_existing') AS known_then FROM o""")
+@query(f"""{DAILY_SQL}, known AS (SELECT url_key, title_key FROM ({STORED}) UNION ALL SELECT url_key, title_key FROM judged JOIN o USING (seq) WHERE outcome = 'accepted')
+SELECT (SELECT count(*) FROM o WHERE outcome = 'accepted') AS added, 0::BIGINT AS added_again, count(*) AS known_then
+FROM judged WHERE url_key IN (SELECT url_key FROM known) OR title_key IN (SELECT title_key FROM known)""")
 def merge_idempotent(spark, sf_dir):
     """What the daily job adds, what it adds when it runs again on its own result, and how many items it knows by then."""
     raw = raw_events(spark, sf_dir)

@@ -1,13 +1,17 @@
 """The article corpus: JSON documents in and out, and the inventory table with atomic replacement.
 
 The inventory is a folder of versions. Each version is a Parquet folder of its own, and counts from the moment at
-which an empty file that names it stands in `_versions`: one call that the store does whole or not at all. A job
-that dies leaves the last version in force, and at worst a folder that no version names.
+which its commit stands in `_versions`: a small file named by the version's number alone, which the store creates whole
+and only where none is (`create_once`). So of several jobs that start from one version, one can make the next. The others
+learn that they lost, and do their work again on what the winner left (`update_table`). A job that dies leaves the last
+version in force, and at worst a folder that no commit names.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -104,80 +108,177 @@ def file_system(spark: SparkSession, path: str):
     return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
-    """(number, folder) of the table's versions in force, oldest first."""
-    target, store = file_system(spark, f"{path}/_versions")
-    names = [s.getPath().getName() for s in store.listStatus(target)] if store.exists(target) else []
-    return sorted((int(n.split("_", 1)[0]), n.split("_", 1)[1]) for n in names if "_" in n)
+class Conflict(Exception):
+    """Another job has committed the version that this one wanted to."""
 
 
-def replace_table(rows: DataFrame, path: str, keep: int = 2) -> None:
-    """Write rows as a new version of the table. Readers see the old rows or the new ones.
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file with this text, whole or not at all; False if there is one already.
 
-    The last `keep` versions stay, for readers that have begun with an older one.
+    Local files are linked and those of HDFS renamed into place, which fails where a file is. Object stores show an object
+    when it is whole; theirs are created on the condition that none is there, which the store must support.
     """
+    target, store = file_system(spark, path)
+    scheme = store.getUri().getScheme()
+    if scheme not in ("file", "hdfs", "viewfs"):
+        try:
+            written(store.create(target, False), text)
+            return True
+        except Py4JJavaError:
+            if store.exists(target):
+                return False
+            raise
+    store.mkdirs(target.getParent())
+    whole, _ = file_system(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    written(store.create(whole, False), text)
+    try:
+        if scheme != "file":
+            return store.rename(whole, target)
+        jvm = spark.sparkContext._jvm
+        local = lambda p: jvm.java.nio.file.Path.of(p.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+        jvm.java.nio.file.Files.createLink(local(target), local(whole))
+        return True
+    except Py4JJavaError:
+        if store.exists(target):
+            return False
+        raise
+    finally:
+        store.delete(whole, False)
+
+
+def written(out, text: str) -> None:
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    target, store = file_system(spark, path)
+    found = store.open(target)
+    try:
+        return bytes(found.readAllBytes()).decode()
+    finally:
+        found.close()
+
+
+def numbers(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers that files of this folder are named by, least first."""
+    target, store = file_system(spark, folder)
+    names = [s.getPath().getName() for s in store.listStatus(target)] if store.exists(target) else []
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def commit_path(path: str, number: int) -> str:
+    return f"{path}/_versions/{number:012d}"
+
+
+def commit_of(spark: SparkSession, path: str, number: int) -> dict:
+    """What a commit says: folder, and the last batch of each stream that the version holds."""
+    return json.loads(read_small(spark, commit_path(path, number)))
+
+
+def versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, folder) of the table's versions whose rows are still there, oldest first."""
+    out = []
+    for number in numbers(spark, f"{path}/_versions"):
+        folder = commit_of(spark, path, number)["folder"]
+        target, store = file_system(spark, f"{path}/{folder}")
+        if store.exists(target):
+            out.append((number, folder))
+    return out
+
+
+def commit_version(spark: SparkSession, path: str, number: int, folder: str, batches: dict[str, int]) -> bool:
+    return create_once(spark, commit_path(path, number), json.dumps({"folder": folder, "batches": batches}))
+
+
+def write_version(rows: DataFrame, path: str, base: int | None, batches: dict[str, int], keep: int) -> int:
+    """Write rows as the version after base; Conflict if another job has made that one meanwhile."""
     spark = rows.sparkSession
-    before = versions(spark, path)
-    folder = f"data-{uuid.uuid4().hex}"
+    folder, number = f"data-{uuid.uuid4().hex}", 0 if base is None else base + 1
     rows.write.parquet(f"{path}/{folder}")
-    commit_version(spark, path, before[-1][0] + 1 if before else 0, folder)
-    for number, old in before[: max(0, len(before) + 1 - keep)]:
-        for name in (f"{path}/_versions/{number:012d}_{old}", f"{path}/{old}"):
-            target, store = file_system(spark, name)
+    if not commit_version(spark, path, number, folder, batches):
+        target, store = file_system(spark, f"{path}/{folder}")
+        store.delete(target, True)
+        raise Conflict(f"{path} has a version {number} already")
+    # Commits stay, so that no number is ever free again; the rows of old versions go.
+    for old in range(max(0, number - 2 * keep), number + 1 - keep):
+        target, store = file_system(spark, commit_path(path, old))
+        if store.exists(target):
+            target, store = file_system(spark, f"{path}/{commit_of(spark, path, old)['folder']}")
             store.delete(target, True)
+    return number
+
+
+def update_table(
+    spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], batch: tuple[str, int] | None = None, tries: int = 10, keep: int = 2
+) -> int | None:
+    """Replace the table's rows by change(rows) as one step, whatever other jobs do; the version's number.
+
+    change is asked again, with the winner's rows, if another job was faster; after so many tries Conflict rises. batch: name
+    of a stream and number of its batch, kept with the version: a batch that the table holds already changes nothing (None).
+    """
+    for left in reversed(range(tries)):
+        found = numbers(spark, f"{path}/_versions")
+        base = found[-1] if found else None
+        held = commit_of(spark, path, base)["batches"] if found else {}
+        if batch and held.get(batch[0], -1) >= batch[1]:
+            return None
+        try:
+            return write_version(change(read_version(spark, path, base)), path, base, held | dict([batch] if batch else []), keep)
+        except Conflict:
+            if not left:
+                raise
+    raise ValueError("tries must be positive")
+
+
+def replace_table(rows: DataFrame, path: str, keep: int = 2) -> int:
+    """Write rows as a new version of the table, whatever rows it had. Readers see the old rows or the new ones.
+
+    The rows of the last `keep` versions stay, for readers that have begun with an older one. Rows that were made from the
+    table's own belong in `update_table`, which loses nobody's.
+    """
+    return update_table(rows.sparkSession, path, lambda _: rows, keep=keep)
 
 
-def commit_version(spark: SparkSession, path: str, number: int, folder: str) -> None:
-    target, store = file_system(spark, f"{path}/_versions/{number:012d}_{folder}")
-    store.create(target, False).close()
+def read_version(spark: SparkSession, path: str, number: int | None) -> DataFrame:
+    if number is None:
+        return spark.createDataFrame([], ARTICLE)
+    return spark.read.schema(ARTICLE).parquet(f"{path}/{commit_of(spark, path, number)['folder']}")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """The inventory table; no rows before it is first written. A folder with data but no version in force is an error."""
-    found = versions(spark, path)
-    if found:
-        return spark.read.schema(ARTICLE).parquet(f"{path}/{found[-1][1]}")
+    found = numbers(spark, f"{path}/_versions")
     target, store = file_system(spark, f"{path}/_versions")
-    if store.exists(target):
+    if not found and store.exists(target):
         raise OSError(f"{path} has lost its versions")
-    return spark.createDataFrame([], ARTICLE)
+    return read_version(spark, path, found[-1] if found else None)
 
 
 def take_lock(spark: SparkSession, path: str, now_ms: int, stale_ms: int = 7_200_000) -> str | None:
-    """The owner's token of a lock file that is created, or None if a fresh one is there.
+    """The owner's token of a lease that is taken, or None if another's is in force.
 
-    A lock older than stale_ms is moved away first: of several jobs that find it, one can move it. The file is created
-    only where none is.
+    Leases are numbered, in the folder path. The last one is in force until it is released or stale_ms old; whoever finds it
+    over creates the next number, which one job alone can do. A lease that is in force is never moved or deleted, so that a
+    job that looked before it was taken can't push it out.
     """
-    target, store = file_system(spark, path)
-    if store.exists(target):
-        if now_ms - store.getFileStatus(target).getModificationTime() < stale_ms:
-            return None
-        old, _ = file_system(spark, f"{path}.stale-{uuid.uuid4().hex}")
-        if not store.rename(target, old):
-            return None
-        store.delete(old, False)
-    token = uuid.uuid4().hex
-    try:
-        out = store.create(target, False)
-    except Py4JJavaError:
-        if store.exists(target):  # another job was faster
+    found = numbers(spark, path)
+    last = found[-1] if found else -1
+    if found:
+        over, store = file_system(spark, f"{path}/{last:012d}.released")
+        taken = json.loads(read_small(spark, f"{path}/{last:012d}"))["taken_ms"]
+        if not store.exists(over) and now_ms - taken < stale_ms:
             return None
-        raise
-    out.writeUTF(token)
-    out.close()
-    return token
+    token = f"{last + 1}-{uuid.uuid4().hex}"
+    return token if create_once(spark, f"{path}/{last + 1:012d}", json.dumps({"token": token, "taken_ms": now_ms})) else None
 
 
 def release_lock(spark: SparkSession, path: str, token: str) -> bool:
-    """Delete the lock if it is still this owner's."""
-    target, store = file_system(spark, path)
-    if not store.exists(target):
+    """End this owner's lease; False if it isn't the last one, or has ended."""
+    found = numbers(spark, path)
+    if not found or json.loads(read_small(spark, f"{path}/{found[-1]:012d}"))["token"] != token:
         return False
-    found = store.open(target)
-    own = found.readUTF() == token
-    found.close()
-    return own and store.delete(target, False)
+    return create_once(spark, f"{path}/{found[-1]:012d}.released", token)
 
 
 def append_run(spark: SparkSession, path: str, run_date: str, added: int, total: int, failed: list[str], most: int = 50) -> None:

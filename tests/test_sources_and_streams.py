@@ -1,4 +1,5 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 from http import client
 
 import pytest
@@ -9,7 +10,7 @@ from brevier.operators import rules as R
 from brevier.operators.tokens import parse_users, sign_token, verify_token
 from brevier.sources import corpus, feeds, http
 from brevier.streaming import ratelimit, sse
-from brevier.streaming.daily import run_landed
+from brevier.streaming.daily import run_daily, run_landed
 
 PACK = R.fitness_rules()
 
@@ -133,6 +134,82 @@ def test_replacement_survives_a_crash(spark, tmp_path, monkeypatch):
         corpus.read_table(spark, table)
 
 
+def article(spark, *ids):
+    return spark.createDataFrame([(k, *["x"] * 11) for k in ids], corpus.ARTICLE)
+
+
+def test_two_writers_lose_no_row(spark, tmp_path):
+    """Two jobs start from one version; the slower one does its work again on what the faster one left."""
+    table, asked = str(tmp_path / "table"), []
+    corpus.replace_table(article(spark, 1), table)
+
+    def slow(rows):
+        asked.append(sorted(r.id for r in rows.collect()))
+        if len(asked) == 1:
+            corpus.update_table(spark, table, lambda own: own.union(article(spark, 2)))
+        return rows.union(article(spark, 3))
+
+    assert corpus.update_table(spark, table, slow) == 2
+    assert asked == [[1], [1, 2]] and sorted(r.id for r in corpus.read_table(spark, table).collect()) == [1, 2, 3]
+    assert [n for n, _ in corpus.versions(spark, table)] == [1, 2]
+    assert len([f for f in (tmp_path / "table").iterdir() if f.name.startswith("data-")]) == 2  # the loser's rows are gone
+
+    def never(rows):
+        corpus.update_table(spark, table, lambda own: own)
+        return rows
+
+    with pytest.raises(corpus.Conflict):
+        corpus.update_table(spark, table, never, tries=3)
+    with pytest.raises(corpus.Conflict):  # a job that slept over many versions can't make an old one again
+        corpus.write_version(article(spark, 9), table, 1, {}, 2)
+
+
+def test_many_writers_at_once(spark, tmp_path):
+    table = str(tmp_path / "table")
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda k: corpus.update_table(spark, table, lambda own: own.union(article(spark, k)), tries=50), range(6)))
+    assert sorted(r.id for r in corpus.read_table(spark, table).collect()) == [*range(6)]
+    assert corpus.numbers(spark, f"{table}/_versions") == [*range(6)]
+
+
+def test_a_batch_counts_once(spark, tmp_path):
+    table = str(tmp_path / "table")
+    add = lambda k: lambda own: own.union(article(spark, k))
+    assert corpus.update_table(spark, table, add(1), ("a", 0)) == 0
+    assert corpus.update_table(spark, table, add(1), ("a", 0)) is None
+    assert corpus.update_table(spark, table, add(2), ("b", 0)) == 1
+    assert corpus.update_table(spark, table, add(3)) == 2
+    assert corpus.update_table(spark, table, add(1), ("a", 0)) is None and corpus.update_table(spark, table, add(4), ("a", 1)) == 3
+    assert sorted(r.id for r in corpus.read_table(spark, table).collect()) == [1, 2, 3, 4]
+
+
+def test_stale_lock_falls_to_one(spark, tmp_path, monkeypatch):
+    """Of two jobs that both found the lock stale one gets it, in whatever order they go on."""
+    lock, hour = str(tmp_path / "lock"), 3_600_000
+    assert corpus.take_lock(spark, lock, 0)
+    own, tokens = corpus.create_once, []
+
+    def late(spark, path, text):
+        if not tokens:  # another job is faster between the look and the step
+            tokens.append(None)
+            monkeypatch.setattr(corpus, "create_once", own)
+            tokens[0] = corpus.take_lock(spark, lock, 3 * hour)
+        return own(spark, path, text)
+
+    monkeypatch.setattr(corpus, "create_once", late)
+    assert corpus.take_lock(spark, lock, 3 * hour) is None and tokens[0]
+    assert corpus.take_lock(spark, lock, 4 * hour) is None and corpus.release_lock(spark, lock, tokens[0])
+    with ThreadPoolExecutor(8) as pool:
+        got = [t for t in pool.map(lambda _: corpus.take_lock(spark, lock, 4 * hour), range(8)) if t]
+    assert len(got) == 1 and corpus.release_lock(spark, lock, got[0])
+
+
+def test_create_once(spark, tmp_path):
+    path = str(tmp_path / "deep" / "file")
+    assert corpus.create_once(spark, path, "é one") and not corpus.create_once(spark, path, "two")
+    assert corpus.read_small(spark, path) == "é one" and [f.name for f in (tmp_path / "deep").iterdir()] == ["file"]
+
+
 def test_output_document(spark):
     rows = spark.createDataFrame([(1, *["x"] * 11)], corpus.ARTICLE)
     stats = spark.createDataFrame([(1,)], "total long")
@@ -227,9 +304,17 @@ def test_daily_job(spark, tmp_path):
     landed, table = str(tmp_path / "landed"), str(tmp_path / "inventory")
     row = (1, "New gym opens - Paper", "https://b.com/2", None, "2026-07-20", True, "google_news", None, None)
     spark.createDataFrame([row], feeds.RAW).write.parquet(landed)
+    row2 = (1, "Another gym opens - Paper", "https://b.com/3", None, "2026-07-20", True, "google_news", None, None)
     for _ in range(2):
         run_landed(spark, landed, feeds.RAW, table, str(tmp_path / "progress"), PACK, lambda: "2026-08-01").awaitTermination(180)
     assert [(r.id, r.title) for r in corpus.read_table(spark, table).collect()] == [(1, "New gym opens")]
+    spark.createDataFrame([row2], feeds.RAW).write.mode("append").parquet(landed)
+    where = (spark, landed, feeds.RAW, table, str(tmp_path / "progress"), PACK, lambda: "2026-08-01")
+    lock = corpus.take_lock(spark, f"{table}/_lock", 1000)
+    assert not run_daily(*where, clock=lambda: 2) and corpus.read_table(spark, table).count() == 1
+    assert corpus.release_lock(spark, f"{table}/_lock", lock) and run_daily(*where, clock=lambda: 3)
+    assert sorted((r.id, r.title) for r in corpus.read_table(spark, table).collect()) == [(1, "New gym opens"), (2, "Another gym opens")]
+    assert run_daily(*where) and corpus.numbers(spark, f"{table}/_versions") == [0, 1]
 
 
 def test_tokens(spark):
