@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brevier.functions import dates as D
 from brevier.functions import text as T
-from brevier.functions.session import cut, spread
+from brevier.functions.session import cut, new_folder, spread
 from brevier.operators import dashboard as B
 from brevier.operators import html as H
 from brevier.operators import prompts as P
@@ -20,6 +20,7 @@ from brevier.plans import goldens as G
 from brevier.plans.demo import DEMO
 from brevier.sources.feeds import first_source, queries_from
 from brevier.streaming import ratelimit, sse
+from brevier.streaming.state import as_stream, latest, run_to_end, said
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -534,15 +535,17 @@ def turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("ord"), F.col("text").alias("delta"))
 
 
-@query("""SELECT conv_id::VARCHAR AS stream_id, CASE conv_id % 4 WHEN 1 THEN 'whole' WHEN 2 THEN NULL ELSE string_agg(coalesce(text, ''), '' ORDER BY turn) END AS text,
-CASE WHEN conv_id % 4 = 2 THEN 'boom' END AS error, conv_id % 4 IN (1, 3) AS is_done FROM conversations GROUP BY conv_id""")
-def sse_fold(spark, sf_dir):
-    """Conversations as event streams, folded into one text: some just end, some end with a whole text, some with an
-    error, some with an empty text and words after it; junk and broken lines stand in between."""
-    said = turns(spark, sf_dir)
-    lines = said.select("stream_id", (3 * F.col("ord")).alias("ord"), F.trim(sse.encode_delta("delta", F.lit("m"))).alias("line"))
+FOLDED = """SELECT conv_id::VARCHAR AS stream_id, CASE conv_id % 4 WHEN 1 THEN 'whole' WHEN 2 THEN NULL ELSE string_agg(coalesce(text, ''), '' ORDER BY turn) END AS text,
+CASE WHEN conv_id % 4 = 2 THEN 'boom' END AS error, conv_id % 4 IN (1, 3) AS is_done FROM conversations GROUP BY conv_id"""
+
+
+def event_lines(spark, sf_dir):
+    """Conversations as event streams: some just end, some end with a whole text, some with an error, some with an empty
+    text and words after it; junk and broken lines stand in between."""
+    spoken = turns(spark, sf_dir)
+    lines = spoken.select("stream_id", (3 * F.col("ord")).alias("ord"), F.trim(sse.encode_delta("delta", F.lit("m"))).alias("line"))
     kind = F.pmod(F.col("stream_id").cast("long"), F.lit(4))
-    last = said.groupBy("stream_id").agg((3 * F.max("ord") + 1).alias("ord"))
+    last = spoken.groupBy("stream_id").agg((3 * F.max("ord") + 1).alias("ord"))
     end = (
         F.when(kind == 1, F.trim(sse.encode_end(F.lit("whole"), F.lit("m"))))
         .when(kind == 2, F.lit('data: {"error":"boom","model":"m"}'))
@@ -550,7 +553,25 @@ def sse_fold(spark, sf_dir):
         .otherwise(F.lit("data: {broken"))
     )
     more = last.select("stream_id", F.col("ord") + 1, F.when(kind == 3, F.lit('data: {"delta":"late"}')).otherwise(F.lit(": a comment")))
-    return sse.fold(lines.union(last.select("stream_id", "ord", end)).union(more)).select("stream_id", "text", "error", "is_done")
+    return lines.union(last.select("stream_id", "ord", end)).union(more)
+
+
+@query(FOLDED)
+def sse_fold(spark, sf_dir):
+    """Event streams folded into one text each."""
+    return sse.fold(event_lines(spark, sf_dir)).select("stream_id", "text", "error", "is_done")
+
+
+@query(FOLDED)
+def sse_chunks(spark, sf_dir):
+    """The same streams as bytes in chunks of 997, cut inside lines and characters, that land in two batches, folded as they come."""
+    chunks = cut(sse.byte_chunks(event_lines(spark, sf_dir), 997))
+    folder = new_folder(spark, "chunks")
+    for part in (chunks.where("ord < 2"), chunks.where("ord >= 2")):
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = sse.fold_chunks(spark.readStream.schema(chunks.schema).parquet(f"{folder}/in"))
+        run_to_end(stream, f"{folder}/progress", f"{folder}/out")
+    return latest(said(spark, f"{folder}/out", stream.schema), "stream_id").select("stream_id", "text", "error", "is_done")
 
 
 @query("""SELECT conv_id::VARCHAR AS stream_id, turn AS ord, string_agg(coalesce(text, ''), '') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS full_text
@@ -559,15 +580,42 @@ def running_text(spark, sf_dir):
     return sse.running_text(turns(spark, sf_dir)).select("stream_id", "ord", "full_text")
 
 
-@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+LIMITED = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 f AS (SELECT event_id, user_id, k, ms AS start, 1 AS n FROM e WHERE k = 1
   UNION ALL SELECT e.event_id, e.user_id, e.k, CASE WHEN e.ms - f.start > 86400000 THEN e.ms ELSE f.start END,
   CASE WHEN e.ms - f.start > 86400000 THEN 1 ELSE f.n + 1 END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)
-SELECT event_id, n > 3 AS limited FROM f""")
+SELECT event_id, n > 3 AS limited FROM f"""
+
+
+def user_events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "event_id")
+
+
+@query(LIMITED)
 def rate_limit_fixed_window(spark, sf_dir):
     """Events beyond the third of their user in a window of a day that opens with an event."""
-    rows = table(spark, sf_dir, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "event_id")
-    return ratelimit.limited(rows, "user_id", "ts_ms", "event_id", 86_400_000, 3).select("event_id", "limited")
+    return ratelimit.limited(user_events(spark, sf_dir), "user_id", "ts_ms", "event_id", 86_400_000, 3).select("event_id", "limited")
+
+
+@query(LIMITED)
+def rate_limit_stream(spark, sf_dir):
+    """The same on a stream: the state of a bucket of users is bounded, and over windows are dropped by timers."""
+    folder = new_folder(spark, "limits")
+    stream = ratelimit.limited_in_buckets(as_stream(user_events(spark, sf_dir)), "user_id", "ts_ms", "event_id", 86_400_000, 3)
+    run_to_end(stream, f"{folder}/progress", f"{folder}/out", "append")
+    return said(spark, f"{folder}/out", stream.schema).select("event_id", "limited")
+
+
+@query("""SELECT user_id, time_bucket(INTERVAL 12 HOURS, ts, TIMESTAMP '1970-01-01') AS frame, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type
+FROM events GROUP BY 1, 2""")
+def latest_frames(spark, sf_dir):
+    """Each user's latest event in frames of twelve hours, drawn once a frame from a stream."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
+    folder = new_folder(spark, "frames")
+    stream = sse.latest_frames(as_stream(rows), "ts", "12 hours", ("user_id",), "event_id", "event_type", late="1 day")
+    run_to_end(stream, f"{folder}/progress", f"{folder}/out")
+    found = latest(said(spark, f"{folder}/out", stream.schema), "user_id", "frame")
+    return found.withColumn("frame", F.col("frame").cast("timestamp_ntz"))
 
 
 def part_sql(part: str, column: str, names: list[str], condition: str = "true") -> str:

@@ -8,9 +8,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brevier.functions.text import column, strip
+from brevier.streaming.state import use_rocksdb
 
 EVENT = "delta string, done boolean, text string, model string, error string"
 
@@ -159,6 +161,84 @@ def fold_stream(lines: DataFrame, stream: str = "stream_id", line: str = "line")
     )
 
 
+FOLDED = "text string, model string, error string, is_done boolean"
+
+
+def heard(state: tuple, line: str) -> tuple:
+    """State (text, model, error, is_done) after one more whole line; `fold` in steps."""
+    text, model, error, is_done = state
+    line = line.strip()
+    if is_done or error is not None or not line.startswith("data:"):
+        return state
+    try:
+        event = json.loads(line[5:])
+    except ValueError:
+        return state
+    if not isinstance(event, dict):
+        return state
+    told = {k: v if v is None or isinstance(v, str) else json.dumps(v) for k, v in event.items()}
+    text += told.get("delta") or ""
+    model = model if told.get("model") is None else told["model"]
+    if event.get("done") is True:
+        text, is_done = told.get("text") or text, True
+    return text, model, told.get("error") or None, is_done
+
+
+class ChunkFolder(StatefulProcessor):
+    """A stream's text so far, and the bytes of its line that isn't ended yet."""
+
+    def __init__(self, stream: str, order: str, data: str):
+        self.stream, self.order, self.data = stream, order, data
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("stream", f"rest binary, {FOLDED}")
+
+    def handleInputRows(self, key, rows, timerValues):
+        rest, *told = self.state.get() if self.state.exists() else (b"", "", None, None, False)
+        chunks = pd.concat(list(rows)).sort_values(self.order, kind="stable")[self.data]
+        *lines, rest = b"".join([rest or b"", *(bytes(c) for c in chunks if c is not None)]).split(b"\n")
+        for line in lines:
+            told = heard(tuple(told), line.decode("utf-8", "replace"))
+        self.state.update((rest, *told))
+        text, model, error, is_done = told
+        text = text if error is None else None
+        yield pd.DataFrame({self.stream: [key[0]], "text": [text], "model": [model], "error": [error], "is_done": [is_done]})
+
+    def close(self) -> None:
+        pass
+
+
+def fold_chunks(chunks: DataFrame, stream: str = "stream_id", order: str = "ord", data: str = "data") -> DataFrame:
+    """(stream, text, model, error, is_done) of a stream of byte chunks, for each stream that got some: what `fold` says so far.
+
+    Chunks are cut anywhere, inside lines and inside characters: bytes wait in the state until their line is ended. A line
+    that never ends says nothing. Chunks of one batch are taken in order, batches as they come. A stream's state is its text
+    and one line; both end as rows of the result, and are bounded by what a reply may be. Update mode.
+    """
+    use_rocksdb(chunks.sparkSession)
+    kind = chunks.schema[stream].dataType.simpleString()
+    return chunks.groupBy(stream).transformWithStateInPandas(ChunkFolder(stream, order, data), f"{stream} {kind}, {FOLDED}", "Update", "None")
+
+
+def byte_chunks(lines: DataFrame, size: int, stream: str = "stream_id", order: str = "ord", line: str = "line") -> DataFrame:
+    """(stream, ord, data) of each stream's lines, ended and joined, in chunks of so many bytes."""
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, line))), lambda x: x[line]), "\n")
+    data = lines.groupBy(stream).agg(F.encode(F.concat(whole, F.lit("\n")), "UTF-8").alias("__all"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("__all")), F.lit(size))
+    return data.select(stream, F.posexplode(F.transform(starts, lambda i: F.substr("__all", i, F.lit(size)))).alias("ord", "data"))
+
+
+def latest_frames(rows: DataFrame, at: str, width: str, keys: tuple[str, ...] = ("stream_id",), order: str = "ord", text: str = "text", late: str = "1 second") -> DataFrame:
+    """(keys, frame, order, text) of a stream of texts: within each frame of time the latest, so that a display is drawn once a frame.
+
+    Frames are windows of event time. One is told anew while texts for it come (update mode), and its state goes once it is
+    `late` behind the latest event; texts for it that come after that are dropped.
+    """
+    frames = rows.withWatermark(at, late).groupBy(*keys, F.window(at, width).alias("__frame"))
+    last = frames.agg(F.max(order).alias(order), F.max_by(text, order).alias(text))
+    return last.select(*keys, F.col("__frame.start").alias("frame"), order, text)
+
+
 def latest_frame(rows: DataFrame, tick: str, order: str = "ord", text: str = "text") -> DataFrame:
     """(tick, text): of all texts within a tick the latest, so that a display is drawn once a tick."""
     return rows.groupBy(tick).agg(F.max_by(text, order).alias(text))
