@@ -19,6 +19,7 @@ from brevier.operators.tokens import parse_users, sign_token, verify_token
 from brevier.plans import goldens as G
 from brevier.plans.demo import DEMO
 from brevier.sources.feeds import first_source, queries_from
+from brevier.sources.key_index import add_keys, build_index, not_in_index
 from brevier.streaming import ratelimit, sse
 from brevier.streaming.state import as_stream, latest, run_to_end, said
 
@@ -398,11 +399,23 @@ def inventory(spark, sf_dir):
 INVENTORY = "SELECT 'u' || (o_orderkey % 4000) AS url_key, 't' || (o_orderkey % 5000) AS title_key FROM orders WHERE o_orderstatus = 'P'"
 
 
-@query(f"""SELECT * FROM ({KEYED}) WHERE url_key NOT IN (SELECT url_key FROM ({INVENTORY})) AND title_key NOT IN (SELECT title_key FROM ({INVENTORY}))""")
+UNKNOWN = f"""SELECT * FROM ({KEYED}) WHERE url_key NOT IN (SELECT url_key FROM ({INVENTORY})) AND title_key NOT IN (SELECT title_key FROM ({INVENTORY}))"""
+
+
+@query(UNKNOWN)
 def anti_join_inventory(spark, sf_dir):
     return not_in_inventory(keyed_events(spark, sf_dir), inventory(spark, sf_dir))
 
 
+@query(UNKNOWN)
+def anti_join_index(spark, sf_dir):
+    """The same by an index of the inventory's keys, built of a part of them and added to."""
+    path, rows = new_folder(spark, "index"), inventory(spark, sf_dir)
+    build_index(rows.where("url_key < 'u2'"), path, buckets=16)
+    add_keys(rows.where("url_key >= 'u2'"), path)
+    return not_in_index(keyed_events(spark, sf_dir), path)
+
+
 def greedy_sql(rows: str) -> str:
     """SQL for (seq, accepted) of eligible rows (seq, url_key, title_key): 0 is open, 1 accepted, 2 blocked."""
     least = "seq = min(CASE WHEN state = 0 THEN seq END) OVER (PARTITION BY {})"
