@@ -14,6 +14,7 @@ from brevier.operators import prompts as P
 from brevier.operators import rules as R
 from brevier.operators import stats as S
 from brevier.operators.dedupe import greedy_distinct, not_in_inventory, outcomes
+from brevier.operators.matcher import Rules
 from brevier.operators.merge import clean_actions, fill_defaults, running_number, run_pipeline
 from brevier.operators.tokens import parse_users, sign_token, verify_token
 from brevier.plans import goldens as G
@@ -55,12 +56,24 @@ def has(*parts: str, column: str = "text") -> str:
     return "regexp_matches(" + column + f", '(?is)({'|'.join(parts)})')"
 
 
+DEMO_RULES = Rules(DEMO)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles: language and source as the title, the whole text as the summary."""
     docs = spread(table(spark, sf_dir, "documents"))
-    return docs.select(
-        "doc_id", F.concat_ws(" ", "lang", "source").alias("title"), "source", F.col("text").alias("summary"), "lang"
-    ).withColumn("brand", R.detect_brand(DEMO, R.body("title", "summary")))
+    return docs.select("doc_id", F.concat_ws(" ", "lang", "source").alias("title"), "source", F.col("text").alias("summary"), "lang")
+
+
+def by_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with brand, class and product by the pack's patterns, one after the other."""
+    rows = documents(spark, sf_dir).withColumn("brand", R.detect_brand(DEMO, R.body("title", "summary")))
+    return rows.withColumns(
+        {
+            "category": R.classify(DEMO, "title", "summary", "brand"),
+            "product_category": R.classify_product(DEMO, "title", "summary"),
+        }
+    )
 
 
 # The same in SQL: b is the text that the rules read.
@@ -99,13 +112,9 @@ judged AS (SELECT *, CASE
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir)
-    return rows.withColumns(
-        {
-            "category": R.classify(DEMO, "title", "summary", "brand"),
-            "product_category": R.classify_product(DEMO, "title", "summary"),
-        }
-    )
+    """Documents with brand, class and product, by one pass over each text."""
+    rows = documents(spark, sf_dir).withColumn("hits", DEMO_RULES.hits("title", "summary")).withColumn("brand", DEMO_RULES.brand("hits"))
+    return rows.withColumns({"category": DEMO_RULES.category("hits", "brand"), "product_category": DEMO_RULES.product("hits")})
 
 
 def dim_sql(names: list[str], column: str) -> str:
@@ -312,17 +321,17 @@ def and_not_rule(spark, sf_dir):
 
 @query(f"{DOCS_SQL} SELECT doc_id, brand FROM branded")
 def ordered_first_match(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", "brand")
+    return by_patterns(spark, sf_dir).select("doc_id", "brand")
 
 
 def reasons(spark, sf_dir):
-    rows = classified(spark, sf_dir)
-    return rows.withColumn("reason", R.exclusion_reason(DEMO, "title", "summary", "brand", "source"))
+    return classified(spark, sf_dir).withColumn("reason", DEMO_RULES.exclusion_reason("hits", "brand", "source"))
 
 
 @query(f"{DOCS_SQL} SELECT doc_id, reason FROM judged")
 def exclusion_reason(spark, sf_dir):
-    return reasons(spark, sf_dir).select("doc_id", "reason")
+    """By the pack's patterns; `exclusion_histogram` counts the reasons that one pass over the texts finds."""
+    return by_patterns(spark, sf_dir).select("doc_id", R.exclusion_reason(DEMO, "title", "summary", "brand", "source").alias("reason"))
 
 
 @query(f"{DOCS_SQL} SELECT coalesce(reason, 'kept') AS reason, count(*) AS cnt FROM judged GROUP BY 1")
@@ -854,7 +863,7 @@ def daily_job(spark, sf_dir):
 @query(f"{DOCS_SQL} SELECT doc_id FROM classed WHERE category <> 'finance' AND product_category = 'cardio'")
 def product_filter(spark, sf_dir):
     """A product class on top of the filter by category."""
-    return B.with_product(B.in_category(classified(spark, sf_dir), "all"), "cardio").select("doc_id")
+    return B.with_product(B.in_category(by_patterns(spark, sf_dir), "all"), "cardio").select("doc_id")
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id = 7")
