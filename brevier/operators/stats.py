@@ -43,17 +43,44 @@ def as_map(found: DataFrame, key: str, name: str) -> DataFrame:
     )
 
 
-def stats_document(articles: DataFrame, pack: R.RulePack, updated: str) -> DataFrame:
-    """One row: total, maps by category, brand, source, source type and product, the timeline, and when it was made.
+#: What articles are counted by.
+CELL_KEYS = ("category", "brand", "source", "source_type", "date", "product_category")
+CELLS = ", ".join(f"{k} string" for k in CELL_KEYS) + ", n long"
 
-    The articles are read once: rows alike in all keys are counted together, and the parts are sums of these counts.
-    Sources are an open domain; a corpus with too many for one map is better served by counts().
-    """
+
+def cells(articles: DataFrame, pack: R.RulePack) -> DataFrame:
+    """Articles alike in all keys counted together: (keys, n). All statistics are sums of these counts."""
     product = F.coalesce(
         F.when(F.col("product_category") != "", F.col("product_category")), R.classify_product(pack, "title", "summary")
     )
-    keys = articles.select("category", "brand", "source", "source_type", "date", product.alias("product_category"))
-    rows = cut(keys.groupBy(*keys.columns).agg(F.count("*").alias("n")))
+    rows = articles.select(*CELL_KEYS[:-1], product.alias("product_category"))
+    return rows.groupBy(*CELL_KEYS).agg(F.count("*").alias("n"))
+
+
+def changed_cells(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Signed counts that lead from the cells of some articles as they were to those of the same articles as they are.
+
+    before: cells of what was removed or will change; after: of what was added or has changed.
+    """
+    return added_up(before.withColumn("n", -F.col("n")).unionByName(after))
+
+
+def added_up(signed: DataFrame) -> DataFrame:
+    """Cells of signed counts; those that come to nothing are gone."""
+    return signed.groupBy(*CELL_KEYS).agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def stats_document(articles: DataFrame, pack: R.RulePack, updated: str) -> DataFrame:
+    """One row: total, maps by category, brand, source, source type and product, the timeline, and when it was made.
+
+    The articles are read once. Sources are an open domain; a corpus with too many for one map is better served by counts().
+    """
+    return stats_of_cells(cells(articles, pack), pack, updated)
+
+
+def stats_of_cells(rows: DataFrame, pack: R.RulePack, updated: str) -> DataFrame:
+    """The statistics document of counted articles."""
+    rows = cut(rows)
     filled = lambda key, names: as_map(zero_filled(rows, key, names, weight="n"), key, f"by_{key}")
     parts = [
         filled("category", ["competitor", "tech", "market", "brand", "finance"]),

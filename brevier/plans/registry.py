@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brevier.functions import dates as D
 from brevier.functions import text as T
 from brevier.functions.session import cut, new_folder, spread
+from brevier.operators import cube as C
 from brevier.operators import dashboard as B
 from brevier.operators import html as H
 from brevier.operators import prompts as P
@@ -19,6 +20,7 @@ from brevier.operators.merge import clean_actions, fill_defaults, running_number
 from brevier.operators.tokens import parse_users, sign_token, verify_token
 from brevier.plans import goldens as G
 from brevier.plans.demo import DEMO
+from brevier.sources import pages, stats_table, text_index
 from brevier.sources.feeds import first_source, queries_from
 from brevier.sources.key_index import add_keys, build_index, not_in_index
 from brevier.streaming import ratelimit, sse
@@ -917,3 +919,80 @@ def merge_idempotent(spark, sf_dir):
     again = run_pipeline(first["articles"], raw, FITNESS, RUN_DATE)
     known = again["report"].agg(F.coalesce(F.sum(F.when(F.col("outcome") == "dup_existing", F.col("n"))), F.lit(0)).alias("known_then"))
     return first["added"].agg(F.count("*").alias("added")).join(again["added"].agg(F.count("*").alias("added_again"))).join(known)
+
+
+@query(f"""{DOCS_SQL}, rows AS (SELECT *, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS fav FROM classed),
+states AS (SELECT * FROM {dim_sql(["all", *CATEGORIES], "category")}, (VALUES (false), (true)) w(with_finance), {dim_sql(["all", *B.PRODUCTS], "product").replace("AS d(", "AS p(").replace("ord", "ord2")}, (VALUES (false), (true)) f(favourites))
+SELECT s.category, with_finance, product, favourites, count(rows.doc_id) AS cnt FROM states s
+LEFT JOIN rows ON (s.category = rows.category OR (s.category = 'all' AND (with_finance OR rows.category <> 'finance')))
+  AND product IN ('all', rows.product_category) AND (NOT favourites OR fav) GROUP BY ALL""")
+def facet_cube(spark, sf_dir):
+    """The number of documents in every state of the filters, from the cube."""
+    rows = classified(spark, sf_dir).select("doc_id", "category", "product_category")
+    chosen = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("favourite")).distinct()
+    cube = cut(C.facet_cube(rows.join(chosen, "doc_id", "left"), "doc_id"))
+    flags = S.dimension(spark, ["", "y"], "f").select((F.col("f") == "y").alias("f"))
+    states = (
+        S.dimension(spark, ["all", *CATEGORIES], "category").select("category")
+        .join(flags.toDF("with_finance")).join(S.dimension(spark, ["all", *B.PRODUCTS], "product").select("product")).join(flags.toDF("favourites"))
+    )
+    return C.counted(cube, states)
+
+
+def parts_on(spark, sf_dir, day: int) -> DataFrame:
+    """Parts as articles on a day: a tenth of them come each day, some change on the fifth, some go two days after they came."""
+    key = F.col("p_partkey")
+    gone = (key % 7 == 0) & (F.lit(day) >= key % 10 + 2)
+    category = F.when((F.lit(day) >= 5) & (key % 5 == 0), "market").otherwise("competitor")
+    return table(spark, sf_dir, "part").where((key % 10 <= day) & ~gone).select(
+        key.alias("id"), category.alias("category"), F.col("p_brand").alias("brand"), F.col("p_type").alias("source"), F.lit("official").alias("source_type"),
+        F.concat(F.lit("2024-01-1"), key % 10).alias("date"), F.lit("other").alias("product_category"), F.lit("").alias("title"), F.lit("").alias("summary"),
+    )
+
+
+@query("""WITH s AS (SELECT *, CASE WHEN p_partkey % 5 = 0 THEN 'market' ELSE 'competitor' END AS category FROM part WHERE NOT (p_partkey % 7 = 0 AND 9 >= p_partkey % 10 + 2))
+SELECT 'category' AS part, category AS key, count(*) AS cnt FROM s GROUP BY 2 UNION ALL SELECT 'brand', p_brand, count(*) FROM s GROUP BY 2
+UNION ALL SELECT 'source', p_type, count(*) FROM s GROUP BY 2 UNION ALL SELECT 'date', '2024-01-1' || (p_partkey % 10), count(*) FROM s GROUP BY 2""")
+def stats_deltas(spark, sf_dir):
+    """Counts after ten days of added, changed and removed parts, of which each day's alone were counted."""
+    path, before = new_folder(spark, "cells"), parts_on(spark, sf_dir, -1)
+    for day in range(10):
+        now = parts_on(spark, sf_dir, day)
+        stats_table.add_changes(spark, path, before.exceptAll(now), now.exceptAll(before), FITNESS, ("parts", day))
+        before = now
+    kept = cut(stats_table.kept_cells(spark, path))
+    parts = [kept.groupBy(F.lit(k).alias("part"), F.col(k).alias("key")).agg(F.sum("n").alias("cnt")) for k in ("category", "brand", "source", "date")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+SEARCHES = ["License", "ei", "the", "e", "software is", "zzz", "ö", "1", ". D", "permission notice"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{q}' AS query, doc_id FROM documents WHERE contains(lower(concat_ws(' ', text, lang, source)), '{q.lower()}')" for q in SEARCHES))
+def article_search_index(spark, sf_dir):
+    """Documents that hold one of several texts, short ones among them, by the trigram index."""
+    docs, path, fields = table(spark, sf_dir, "documents"), new_folder(spark, "grams"), ["text", "lang", "source"]
+    text_index.build_text_index(docs, path, "doc_id", fields)
+    found = [text_index.search_index(docs, path, q, "doc_id", fields).select(F.lit(q).alias("query"), "doc_id") for q in SEARCHES]
+    out = found[0]
+    for each in found[1:]:
+        out = out.union(each)
+    return out
+
+
+@query("""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS place FROM orders)
+SELECT 'at' AS kind, place // 20 AS page, place, o_orderkey FROM r WHERE place // 20 IN (0, 7, 70)
+UNION ALL SELECT 'after', 8, NULL, o_orderkey FROM r WHERE place BETWEEN 160 AND 179""")
+def keyset_pages(spark, sf_dir):
+    """Pages of orders, the latest first: by number, and the one after the last row of another."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+    path = new_folder(spark, "pages")
+    pages.write_pages(rows, path, id_col="o_orderkey", per_file=1000)
+    at = lambda k: pages.page_at(spark, path, rows.schema, k, 20, id_col="o_orderkey")
+    out = at(0).select(F.lit(0).alias("page"), "place", "o_orderkey")
+    for k in (7, 70):
+        out = out.union(at(k).select(F.lit(k), "place", "o_orderkey"))
+    last = at(7).orderBy(F.desc("place")).first()
+    after = pages.page_after(spark, path, rows.schema, (last["date"], last["o_orderkey"]), 20, id_col="o_orderkey")
+    out = out.select(F.lit("at").alias("kind"), F.col("page").cast("long").alias("page"), F.col("place").cast("long").alias("place"), "o_orderkey")
+    return out.union(after.select(F.lit("after"), F.lit(8).cast("long"), F.lit(None).cast("long"), "o_orderkey"))

@@ -210,7 +210,13 @@ def write_version(rows: DataFrame, path: str, base: int | None, batches: dict[st
 
 
 def update_table(
-    spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], batch: tuple[str, int] | None = None, tries: int = 10, keep: int = 2
+    spark: SparkSession,
+    path: str,
+    change: Callable[[DataFrame], DataFrame],
+    batch: tuple[str, int] | None = None,
+    tries: int = 10,
+    keep: int = 2,
+    schema: str = ARTICLE,
 ) -> int | None:
     """Replace the table's rows by change(rows) as one step, whatever other jobs do; the version's number.
 
@@ -224,7 +230,7 @@ def update_table(
         if batch and held.get(batch[0], -1) >= batch[1]:
             return None
         try:
-            return write_version(change(read_version(spark, path, base)), path, base, held | dict([batch] if batch else []), keep)
+            return write_version(change(read_version(spark, path, base, schema)), path, base, held | dict([batch] if batch else []), keep)
         except Conflict:
             if not left:
                 raise
@@ -240,19 +246,19 @@ def replace_table(rows: DataFrame, path: str, keep: int = 2) -> int:
     return update_table(rows.sparkSession, path, lambda _: rows, keep=keep)
 
 
-def read_version(spark: SparkSession, path: str, number: int | None) -> DataFrame:
+def read_version(spark: SparkSession, path: str, number: int | None, schema: str = ARTICLE) -> DataFrame:
     if number is None:
-        return spark.createDataFrame([], ARTICLE)
-    return spark.read.schema(ARTICLE).parquet(f"{path}/{commit_of(spark, path, number)['folder']}")
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/{commit_of(spark, path, number)['folder']}")
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The inventory table; no rows before it is first written. A folder with data but no version in force is an error."""
+def read_table(spark: SparkSession, path: str, schema: str = ARTICLE) -> DataFrame:
+    """The inventory, or another table of versions; no rows before it is first written. A folder with data but no version in force is an error."""
     found = numbers(spark, f"{path}/_versions")
     target, store = file_system(spark, f"{path}/_versions")
     if not found and store.exists(target):
         raise OSError(f"{path} has lost its versions")
-    return read_version(spark, path, found[-1] if found else None)
+    return read_version(spark, path, found[-1] if found else None, schema)
 
 
 def take_lock(spark: SparkSession, path: str, now_ms: int, stale_ms: int = 7_200_000) -> str | None:
