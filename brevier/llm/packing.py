@@ -183,24 +183,25 @@ class Fraction(NamedTuple):
     bound: float
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rate: float = 0.01, step: float = 1.0, block: int = 32) -> Fraction:
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rate: float = 1.0, step: float = 1.0, block: int = 32) -> Fraction:
     """The configuration LP by multiplicative weights.
 
     The weight of a length starts at the length itself, a little more for longer ones as these are harder to
-    place, and falls by exp(-rate) as its pieces are covered. A round prices out one configuration for each
-    block of `block` open lengths, drawn anew each time, and uses it, in fractions too, until it has covered
-    `step` of its scarcest length or one is covered in full. It ends when all are covered. Dual prices are the best of
-    tokens, pieces of over half a sequence, and the weights, at rounds 1, 2, 4, ..., over the price of their best
-    configuration of all lengths.
+    place, and falls by exp(-rate) as its pieces are covered, so that lengths that lag behind the others are worth more.
+    A round prices out one configuration for each block of `block` open lengths, drawn anew each time, and uses it, in
+    fractions too, until it has covered `step` of its scarcest length or one is covered in full. It ends when all are
+    covered. Dual prices are the best of tokens, pieces of over half a sequence, and the weights, at rounds 1, 2, 4, ...
+    and on average over the rounds, over the price of their best configuration of all lengths.
     """
     random = np.random.default_rng(1)
     base = lengths * (1 + 0.02 * lengths / capacity)
     left, uses = counts.astype(float), defaultdict(float)
-    duals, round_ = [lengths / capacity, (2 * lengths > capacity).astype(float)], 0
+    duals, round_, total = [lengths / capacity, (2 * lengths > capacity).astype(float)], 0, np.zeros(len(lengths))
     while len(open_ := np.flatnonzero(left)):
         weights, round_ = base * np.exp(-rate * (1 - left / counts)), round_ + 1
+        total += weights
         if round_ & (round_ - 1) == 0:
-            duals.append(weights / best_configuration(lengths, weights, counts, capacity)[0])
+            duals += [w / best_configuration(lengths, w, counts, capacity)[0] for w in (weights, total)]
         for own in np.array_split(random.permutation(open_), math.ceil(len(open_) / block)):
             _, chosen = best_configuration(lengths[own], weights[own], np.maximum(1, left[own]), capacity)
             places, times = own[list(chosen)], np.array(list(chosen.values()), float)
@@ -212,8 +213,8 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rate: float =
     return Fraction(dict(uses), sum(uses.values()), dual, float(dual @ counts))
 
 
-#: (rate, step) tried in turn until the solution is within TOLERANCE of its lower bound.
-SCHEDULE = ((0.01, 1.0), (1.0, 0.2), (8.0, 0.05))
+#: (rate, step) tried in turn until the solution is within TOLERANCE of its lower bound; the best plan of those tried counts.
+SCHEDULE = ((1.0, 1.0), (0.3, 1.0), (1.0, 0.2), (8.0, 0.05))
 TOLERANCE = 0.01
 
 
@@ -272,19 +273,28 @@ def rounded(fraction: Fraction, lengths: np.ndarray, left: np.ndarray, capacity:
     return classes
 
 
-def packed_classes(lengths: np.ndarray, counts: np.ndarray, capacity: int, least_gain: float = 0.2):
-    """Classes of equal sequences from configurations, others by best-fit decreasing, and the lower bound.
-
-    The LP is solved, rounded, and solved again for what is left, as long as that places least_gain of it. Of these
-    depths that with the fewest sequences counts, and the deepest of those.
-    """
+def packed_classes(lengths: np.ndarray, counts: np.ndarray, capacity: int):
+    """Classes of equal sequences from configurations, others by best-fit decreasing, and the lower bound."""
+    best, bound = None, 0.0
     for rate, step in SCHEDULE:
         fraction = solve(lengths, counts, capacity, rate, step)
+        found = rounded_in_depth(fraction, lengths, counts, capacity, rate, step)
+        best = found if best is None or found[0] < best[0] else best
+        bound = max(bound, fraction.bound)
         if fraction.sequences <= (1 + TOLERANCE) * fraction.bound:
             break
+    return *best[1:], math.ceil(bound - 1e-6)
+
+
+def rounded_in_depth(fraction: Fraction, lengths: np.ndarray, counts: np.ndarray, capacity: int, rate: float, step: float, least_gain: float = 0.2):
+    """Number of sequences, classes from configurations, and others by best-fit decreasing.
+
+    The solution is rounded, and the LP solved again for what is left, as long as that places least_gain of it. Of these
+    depths that with the fewest sequences counts, and the deepest of those.
+    """
     gap = fraction.sequences / fraction.bound - 1
     slack = 0 if gap <= TOLERANCE else gap
-    bound, left, classes, best = fraction.bound, counts.copy(), [], None
+    left, classes, best = counts.copy(), [], None
     while True:
         own = np.flatnonzero(left)
         open_, before = left[own], (lengths * left).sum()
@@ -296,7 +306,7 @@ def packed_classes(lengths: np.ndarray, counts: np.ndarray, capacity: int, least
             best = n, classes, rest
         after = (lengths * left).sum()
         if after > (1 - least_gain) * before or not after:
-            return best[1], best[2], math.ceil(bound - 1e-6)
+            return best
         own = np.flatnonzero(left)
         fraction = solve(lengths[own], left[own], capacity, rate, step)
 

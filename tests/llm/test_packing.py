@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from brevier.llm import packing
 from brevier.llm.packing import best_configuration, pack, pack_documents, packing_plan, sequences, solve, token_pieces
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -83,6 +84,31 @@ def test_linear_program_carries_the_plan():
     assert plan.from_configurations >= 0.8 * plan.sequences and plan.sequences <= plan.bound + 1
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_weights_carry_the_plan_of_a_wide_histogram(seed, monkeypatch):
+    """Over 1,500 lengths around a third and over a half, where neither the tokens' bound nor best-fit is tight.
+
+    Without multiplicative weights (rate 0) or with no linear program at all the plan is clearly longer.
+    """
+    rng = np.random.default_rng(seed)
+    lengths, counts = np.unique(np.concatenate([rng.integers(1000, 1800, 9000), rng.integers(2049, 2900, 3000)]), return_counts=True)
+    histogram = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
+    fits = sum(m for m, _ in packing.best_fit(lengths, counts, 4096))
+    assert len(histogram) > 1500
+    with monkeypatch.context() as m:
+        m.setattr(packing, "SCHEDULE", ((1.0, 1.0),))
+        plan = packing_plan(histogram)
+    with monkeypatch.context() as m:
+        m.setattr(packing, "SCHEDULE", ((0.0, 1.0),))
+        plain = packing_plan(histogram)
+    with monkeypatch.context() as m:
+        m.setattr(packing, "solve", lambda lengths, counts, capacity, *_: packing.Fraction({}, counts.sum(), lengths / capacity, float(lengths @ counts / capacity)))
+        without = packing_plan(histogram)
+    assert plan.from_configurations >= 0.8 * plan.sequences
+    assert plan.sequences <= 0.985 * plain.sequences and plan.sequences <= 0.97 * fits and without.sequences == fits
+    assert plan.sequences <= 1.02 * plan.bound
+
+
 def test_solution_covers_all_within_its_bound():
     rng = np.random.default_rng(3)
     lengths = np.unique(rng.integers(1, 600, 150))
