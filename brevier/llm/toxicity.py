@@ -108,53 +108,92 @@ FEW = ((10, (0.2, 0.1)), (10, (0.8, 0.1)))
 BALANCE = (10, 0.1)
 
 
-def label_model(votes: np.ndarray, gold_votes: np.ndarray, gold: np.ndarray, groups: np.ndarray, gold_weight: float = 3.0, rounds: int = 50) -> tuple[np.ndarray, dict]:
+def one_hot(votes: np.ndarray) -> np.ndarray:
+    """(text, kind and voter): whether it votes 1, 2 or, as the third kind, abstains."""
+    return np.hstack([votes == kind for kind in (1, 2, 0)]).astype(float)
+
+
+def first_groups(votes: np.ndarray, subclasses: int) -> np.ndarray:
+    """Shares of a class's groups that a text starts with: by how many voters hit, so that the groups differ."""
+    many = np.minimum(np.maximum((votes[:, :-1] > 0).sum(1) - 1, 0), subclasses - 1)
+    out = np.full((len(votes), subclasses), 1.0)
+    out[np.arange(len(votes)), many] = 9.0
+    return out / out.sum(1, keepdims=True)
+
+
+def shares_of(score: np.ndarray) -> np.ndarray:
+    score = np.exp(score - score.max(1, keepdims=True))
+    return score / score.sum(1, keepdims=True)
+
+
+def label_model(
+    votes: np.ndarray, gold_votes: np.ndarray, gold: np.ndarray, groups: np.ndarray, gold_weight: float = 10.0, rounds: int = 100, subclasses: int = 2
+) -> tuple[np.ndarray, dict]:
     """Posterior probability of the toxic class for each row of votes, and the estimates.
 
     gold_votes and gold (0 or 1) are the votes and labels of other rows, which count with their labels, each as
-    gold_weight texts: they keep the hidden class from drifting to another meaning. A posterior
-    is the balance times the rates of the votes, abstentions included, each with its voter's weight.
-    A weight is 1 / (1 + the sum of the voter's correlations with others): voters that hit the same clean texts are no
-    independent witnesses.
+    gold_weight texts: they keep the hidden class from drifting to another meaning. The likelihood of a text is the
+    balance of its class times the share of its group there times the rates of its votes in that group, abstentions
+    included; class and group are hidden. Arrays of groups have those of the toxic class first.
     """
-    n = votes.shape[1]
-    cast = [(votes == k).astype(float) for k in (1, 2, 0)]  # 0 abstains
-    gold_side = gold_weight * np.stack([gold == 1, gold == 0])
-    gold_hits = [gold_side @ (gold_votes == k) for k in (1, 2)]  # (class, voter)
-    prior_mass = np.array([[PRIORS[g][c][0] for g in groups] + [FEW[c][0]] for c in (0, 1)], float)
+    n, classes = votes.shape[1], np.repeat([0, 1], subclasses)
+    mass = np.array([[PRIORS[g][c][0] for g in groups] + [FEW[c][0]] for c in (0, 1)], float)
     # A voter's votes 1 and 2 are taken to be as likely beforehand, but for the last one's.
-    prior_rates = [np.array([[PRIORS[g][c][1] / 2 for g in groups] + [FEW[c][1][j]] for c in (0, 1)], float) for j in (0, 1)]
-    post, weight = np.zeros(len(votes)), np.ones(n)
-    mass, hits = np.zeros(2), [np.zeros((2, n))] * 2
+    rates = [np.array([[PRIORS[g][c][1] / 2 for g in groups] + [FEW[c][1][j]] for c in (0, 1)], float) for j in (0, 1)]
+    prior = np.hstack([mass * rates[0], mass * rates[1], mass * (1 - rates[0] - rates[1])])[classes] / subclasses
+    hits, gold_hits = one_hot(votes), one_hot(gold_votes)
+    allowed = np.stack([gold == 1, gold == 0], 1)[:, classes]
+    held = gold_weight * allowed * np.tile(first_groups(gold_votes, subclasses), 2)
+    side, post = np.zeros((len(votes), 2 * subclasses)), np.zeros(len(votes))
     for k in range(rounds + 1):
-        total = mass + gold_side.sum(1)
-        balance = float((total[0] + BALANCE[0] * BALANCE[1]) / (total.sum() + BALANCE[0]))
-        rates = [(hits[j] + gold_hits[j] + prior_mass * prior_rates[j]) / (total[:, None] + prior_mass) for j in (0, 1)]
-        odds = [np.log(np.maximum(r[0], 1e-9) / np.maximum(r[1], 1e-9)) for r in [*rates, 1 - rates[0] - rates[1]]]
+        total = side.sum(0) + held.sum(0)
+        toxic = total[classes == 0].sum()
+        balance = float((toxic + BALANCE[0] * BALANCE[1]) / (total.sum() + BALANCE[0]))
+        share = np.concatenate([(total[classes == c] + 1) / (total[classes == c] + 1).sum() for c in (0, 1)])
+        count = side.T @ hits + held.T @ gold_hits + prior
+        rate = count / np.tile(count.reshape(2 * subclasses, 3, n).sum(1), 3)
+        estimates = {"balance": balance, "share": share, "rate": np.maximum(rate, 1e-9), "subclasses": subclasses}
         if k == rounds or not len(votes):
             break
-        score = np.log(balance / (1 - balance)) + sum(c @ (weight * o) for c, o in zip(cast, odds, strict=True))
-        before, post = post, 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        side = np.stack([post, 1 - post])
-        mass, hits = side.sum(1), [side @ c for c in cast[:2]]
-        weight = 1 / (1 + correlations(votes > 0, 1 - post).sum(1))
-        if np.abs(post - before).max() < 1e-4:
+        score = scores(hits, estimates)
+        if k == 0:
+            both = shares_of(score)
+            side = np.stack([both[:, classes == c].sum(1) for c in (0, 1)], 1)[:, classes] * np.tile(first_groups(votes, subclasses), 2)
+        else:
+            side = shares_of(score)
+        if len(gold):
+            held = gold_weight * shares_of(np.where(allowed, scores(gold_hits, estimates), -1e9))
+        before, post = post, side[:, classes == 0].sum(1)
+        if k and np.abs(post - before).max() < 1e-4:
             break
-    return post, {"balance": balance, "rates": rates, "weight": weight}
+    return post, estimates
+
+
+def scores(hits: np.ndarray, estimates: dict) -> np.ndarray:
+    """Logarithm of the likelihood of each text (one-hot votes) with each group of either class."""
+    balance = np.repeat([estimates["balance"], 1 - estimates["balance"]], estimates["subclasses"])
+    return hits @ np.log(estimates["rate"]).T + np.log(balance * estimates["share"])
 
 
-#: Weaker correlations are not told from chance in a sample; a voter needs so many hits for its correlations to count.
-LEAST_CORRELATION, LEAST_HITS = 0.2, 1.0
+def log_likelihood(votes: np.ndarray, estimates: dict) -> float:
+    """Mean logarithm of the likelihood of votes under the estimates."""
+    score = scores(one_hot(votes), estimates)
+    most = score.max(1)
+    return float((most + np.log(np.exp(score - most[:, None]).sum(1))).mean())
 
 
-def correlations(hits: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """How far each two voters hit together in texts of these probabilities to be clean, from 0 to 1."""
-    share = clean @ hits / max(clean.sum(), 1e-9)
-    centred = (hits - share) * np.sqrt(clean)[:, None]
-    spread = np.sqrt((centred**2).sum(0) + LEAST_HITS)
-    found = (centred.T @ centred) / np.outer(spread, spread)
-    np.fill_diagonal(found, 0)
-    return np.where(found > LEAST_CORRELATION, found, 0)
+def correlations(estimates: dict, toxic: bool = False) -> np.ndarray:
+    """Correlations of the voters' hits within a class, as its groups make them."""
+    k = estimates["subclasses"]
+    own = slice(0, k) if toxic else slice(k, 2 * k)
+    rate, share = estimates["rate"][own], estimates["share"][own]
+    n = rate.shape[1] // 3
+    hit = rate[:, :n] + rate[:, n : 2 * n]
+    mean = share @ hit
+    spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
+    found = ((hit - mean).T * share) @ (hit - mean) / np.outer(spread, spread)
+    np.fill_diagonal(found, 1)
+    return found
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -179,12 +218,14 @@ def drawn(rows: DataFrame, most: int, salt: str) -> DataFrame:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_id: str, label_col: str, max_labelled: int
+    docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_id: str, label_col: str, max_labelled: int, max_anchors: int
 ) -> DataFrame:
-    """(text, y, mine) of about max_labelled of the labelled rows that `learn`, on column id, allows; two thirds to mine."""
+    """(text, y, mine) of about max_labelled of the labelled rows that `learn`, on column id, allows; all but about
+    max_anchors of them, or a third if they are fewer than three times as many, to mine."""
     usable = labels.select(F.col(label_id).alias("id"), F.col(label_col).alias("y")).where(F.col("y").isNotNull() & learn)
-    mine = F.pmod(F.xxhash64(F.lit("mine"), "id"), F.lit(3)) > 0
-    one = drawn(usable, max_labelled, "sample").groupBy("id").agg(F.max("y").alias("y")).withColumn("mine", mine)
+    one = cut(drawn(usable, max_labelled, "sample").groupBy("id").agg(F.max("y").alias("y")))
+    third = max(3.0, one.count() / max_anchors)
+    one = one.withColumn("mine", F.pmod(F.xxhash64(F.lit("mine"), "id"), F.lit(1 << 20)) >= int((1 << 20) / third))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # The sample has a bounded number of rows of three small values each.
     return texts.join(F.broadcast(one), "id").select("text", "y", "mine")
@@ -245,6 +286,7 @@ def train(
     label_id: str = "doc_id",
     label_col: str = "toxic",
     max_labelled: int = 12_000,
+    max_anchors: int = 300,
     max_texts: int = 8_000,
     max_patterns: int = 80,
     min_precision: float = 0.3,
@@ -255,7 +297,7 @@ def train(
 
     Rows that `learn` does not allow give neither labels nor texts. Without labels the lexicon alone votes.
     """
-    sample = cut(labelled_sample(docs, labels, learn, id_col, text_col, label_id, label_col, max_labelled))
+    sample = cut(labelled_sample(docs, labels, learn, id_col, text_col, label_id, label_col, max_labelled, max_anchors))
     mined = sample.where("mine")
     voters = Voters(mine_patterns(mined, max_patterns, min_precision, significance))
     groups = np.array([0] * len(LEXICON) + [1] * len(voters.patterns) + [2] * len(TYPOGRAPHY))
@@ -299,7 +341,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                 counts = np.stack([c for c, _ in found]).astype(float)
                 x = features_of(counts, np.array([n for _, n in found], float), known["groups"])
                 p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p)], ["id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p.round(12))], ["id", "score"])  # sums differ by batch in the last digits
 
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
