@@ -94,11 +94,12 @@ def report(judged: DataFrame) -> DataFrame:
 def clean_actions(articles: DataFrame, pack: R.RulePack, run_date: str, refetched: DataFrame | None = None) -> DataFrame:
     """articles with action: keep, date_corrected, product_to_gnews or why the row goes, and values as corrected.
 
-    refetched: (url, real_date) of official rows whose date was the day of their listing.
+    refetched: (url, real_date) of official rows whose date was the day of their listing; of a URL fetched more than once
+    the latest date counts.
     """
     rows = articles
     if refetched is not None:
-        rows = rows.join(refetched.select("url", "real_date"), "url", "left")
+        rows = rows.join(refetched.groupBy("url").agg(F.max("real_date").alias("real_date")), "url", "left")
     else:
         rows = rows.withColumn("real_date", F.lit(None).cast("string"))
     kind = F.coalesce("source_type", F.lit("google_news"))

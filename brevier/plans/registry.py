@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +19,13 @@ from brevier.operators import rules as R
 from brevier.operators import stats as S
 from brevier.operators.dedupe import greedy_distinct, not_in_inventory, outcomes
 from brevier.operators.matcher import Rules
-from brevier.operators.merge import clean_actions, fill_defaults, running_number, run_pipeline
+from brevier.operators.merge import clean_actions, cleaning_report, fill_defaults, merge, running_number, run_pipeline
 from brevier.operators.tokens import parse_users, sign_token, verify_token
 from brevier.plans import goldens as G
 from brevier.plans.demo import DEMO
-from brevier.sources import pages, stats_table, text_index
-from brevier.sources.feeds import first_source, queries_from
+from brevier.plans import fitness_pack as values
+from brevier.sources import corpus, pages, stats_table, text_index
+from brevier.sources.feeds import entries_of, feed_status, first_source, queries_from, raw_items, source_lists
 from brevier.sources.key_index import add_keys, build_index, not_in_index
 from brevier.streaming import ratelimit, sse
 from brevier.streaming.state import as_stream, latest, run_to_end, said
@@ -996,3 +1000,178 @@ def keyset_pages(spark, sf_dir):
     after = pages.page_after(spark, path, rows.schema, (last["date"], last["o_orderkey"]), 20, id_col="o_orderkey")
     out = out.select(F.lit("at").alias("kind"), F.col("page").cast("long").alias("page"), F.col("place").cast("long").alias("place"), "o_orderkey")
     return out.union(after.select(F.lit("after"), F.lit(8).cast("long"), F.lit(None).cast("long"), "o_orderkey"))
+
+
+def any_sql(patterns: list[str], column: str = "t") -> str:
+    """SQL for: the column has any of these patterns. Words are ASCII ones there, so texts must keep other letters apart."""
+    return f"regexp_matches({column}, '(?i)(?:{'|'.join(patterns).replace(chr(39), chr(39) * 2)})')"
+
+
+def pack_sql(pack: R.RulePack) -> str:
+    """SQL for brand, category, product and reason of rows (key, t, source), from the lists of a pack."""
+    chain = lambda rules: "CASE " + " ".join(f"WHEN {any_sql(patterns)} THEN '{name}'" for name, patterns in rules)
+    named = lambda names: ", ".join(f"'{n}'" for n in names)
+    words = lambda each: any_sql([T.keyword_pattern(k) for k in each])
+    apparel = [p for p in pack.apparel if "(?" not in p]  # SQL looks neither back nor ahead; no title has such a word
+    unclear = " ".join(f"WHEN brand = '{name}' AND NOT {any_sql([context])} THEN 'brand_ambiguous_no_context'" for name, context in pack.brand_context.items())
+    spam = " OR ".join(f"contains(lower(source), '{s}')" for s in pack.spam_sources)
+    tech = " OR ".join(f"contains(lower(t), '{k}')" for k in pack.tech)
+    return f"""branded AS (SELECT *, {chain(pack.brands)} END AS brand, {chain([(n, [T.keyword_pattern(k) for k in ks]) for n, ks in pack.products])} ELSE 'other' END AS product FROM titles)
+SELECT key, t AS title, brand, product, CASE WHEN {words(pack.finance)} THEN 'finance' WHEN brand IN ({named(pack.own_brands)}) THEN 'brand'
+  WHEN brand IS NOT NULL THEN 'competitor' WHEN {tech} THEN 'tech' ELSE 'market' END AS category,
+CASE WHEN {spam} OR {any_sql(pack.spam)} THEN 'marketplace_spam'
+  WHEN brand IN ({named(pack.brand_context)}) AND {any_sql([re.escape(k) for k in pack.celebrity])} THEN 'celebrity_noise' {unclear}
+  WHEN {any_sql(pack.noise)} THEN 'cross_industry_noise' WHEN {any_sql(apparel)} AND NOT {words(pack.exempt)} THEN 'apparel_noise'
+  WHEN brand IS NULL AND {words(pack.off_topic)} THEN 'off_topic' WHEN brand IS NULL AND NOT {words(pack.relevant)} THEN 'no_relevance' END AS reason FROM branded"""
+
+
+NAMES = [*values.QUERY_BRANDS, *values.TRACKED_BRANDS, "SHUA fitness", "舒華體育", "喬山", "Sole F63", "Cybex eagle", "Nautilus, Inc", "arc trainer", "St. Louis True Fitness"]
+TERMS = [k for each in (values.FITNESS, values.FINANCE, values.TECH, values.WEARABLE, values.STRENGTH, values.CARDIO, values.MILITARY, values.BALL_SPORT,
+         values.ORGANIZING, values.SMART_RING, values.CROSS_INDUSTRY, values.APPAREL, values.EQUIPMENT, values.CELEBRITY, ["replacement part", "tonal shift", "for sale", "vintage"]) for k in each]
+#: What stands for a name, a term, another term and the part's own name.
+TITLES = ["{n} {t} {p}", "{p} {t} for {n}", "{t} , {u}", "{n} unveils {t} , {u}", "{p}", "The {t} {p} {u}", "{n}"]
+
+
+def list_sql(texts: list[str], place: str) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in texts) + f"][({place}) % {len(texts)} + 1]"
+
+
+TITLES_SQL = f"""WITH titles AS (SELECT p_partkey AS key, CASE WHEN p_partkey % 41 = 0 THEN ' eBay Motors' ELSE 'Paper' END AS source,
+  replace(replace(replace(replace({list_sql(TITLES, "p_partkey")}, '{{n}}', {list_sql(NAMES, "p_partkey * 5")}), '{{t}}', {list_sql(TERMS, "p_partkey * 3")}), '{{u}}', {list_sql(TERMS, "p_partkey * 11 + 7")}), '{{p}}', p_name) AS t FROM part),
+"""
+
+
+@query(TITLES_SQL + pack_sql(FITNESS))
+def fitness_titles(spark, sf_dir):
+    """Titles composed of every name and term of the fitness pack and the parts' own names: brand, category, product, reason."""
+    key = F.col("p_partkey")
+    at = lambda texts, place: F.get(F.array(*map(F.lit, texts)), F.pmod(place, F.lit(len(texts))).cast("int"))
+    title = at(TITLES, key)
+    for mark, text in (("{n}", at(NAMES, key * 5)), ("{t}", at(TERMS, key * 3)), ("{u}", at(TERMS, key * 11 + 7)), ("{p}", F.col("p_name"))):
+        title = F.replace(title, F.lit(mark), text)
+    source = F.when(key % 41 == 0, " eBay Motors").otherwise("Paper")
+    rules = Rules(FITNESS)
+    rows = spread(table(spark, sf_dir, "part")).select(key.alias("key"), title.alias("title"), source.alias("source"))
+    hit = rows.withColumn("hits", rules.hits("title", F.lit(None).cast("string"))).withColumn("brand", rules.brand("hits"))
+    return hit.select(
+        "key", "title", "brand", rules.product("hits").alias("product"), rules.category("hits", "brand").alias("category"),
+        rules.exclusion_reason("hits", "brand", "source").alias("reason"),
+    )
+
+
+FEED_DATE = "o_orderdate + INTERVAL 10 YEAR"
+
+
+@query(f"""SELECT o_orderkey % 1000 AS feed, count(*) AS n, string_agg('Order ' || o_orderkey || ' & more', '|' ORDER BY o_orderkey) AS titles,
+string_agg('https://feed.example/' || o_orderkey, '|' ORDER BY o_orderkey) AS links, string_agg(o_orderpriority || ' order', '|' ORDER BY o_orderkey) AS summaries,
+string_agg(CASE WHEN o_orderkey % 4 = 3 THEN '{RUN_DATE}' ELSE strftime({FEED_DATE}, '%Y-%m-%d') END, '|' ORDER BY o_orderkey) AS dates,
+count(*) FILTER (o_orderkey % 4 <> 3) AS dated FROM orders WHERE o_orderkey % 9 <> 0 GROUP BY 1""")
+def landed_feeds(spark, sf_dir):
+    """Orders as the entries of a thousand landed feeds, some without a title or date, read back as raw items by feed."""
+    key, when = F.col("o_orderkey"), F.expr(FEED_DATE)
+    date = F.when(key % 4 == 3, F.lit("")).otherwise(F.concat(F.lit("<pubDate>"), F.date_format(when, "dd MMM yyyy HH:mm:ss"), F.lit(" GMT</pubDate>")))
+    title = F.when(key % 9 == 0, F.lit("<title> </title>")).otherwise(F.concat(F.lit("<title>Order "), key, F.lit(" &amp; more </title>")))
+    item = F.concat(F.lit("<item>"), title, F.lit("<link>https://feed.example/"), key, F.lit("</link><description>&lt;b&gt;"), "o_orderpriority", F.lit("&lt;/b&gt; order</description>"), date, F.lit("</item>"))
+    items = table(spark, sf_dir, "orders").select((key % 1000).alias("feed"), F.struct(key.alias("k"), item.alias("x")).alias("item"))
+    body = F.concat(F.lit("<rss><channel>"), F.array_join(F.transform(F.sort_array(F.collect_list("item")), lambda i: i["x"]), ""), F.lit("</channel></rss>"))
+    landed = items.groupBy("feed").agg(body.alias("body")).select(
+        F.col("feed").cast("string").alias("url"), "body", F.lit("google_news").alias("source_type"), F.lit(None).cast("string").alias("brand"), F.col("feed").cast("string").alias("source")
+    )
+    raw = raw_items(entries_of(landed), RUN_DATE, "source", "ord")
+    own = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", c))), lambda x: x[c]), "|").alias
+    return raw.groupBy(F.col("source").cast("long").alias("feed")).agg(
+        F.count("*").alias("n"), own("raw_title")("titles"), own("link")("links"), own("summary")("summaries"), own("date")("dates"), F.count_if("date_is_real").alias("dated")
+    )
+
+
+@query("""SELECT (row_number() OVER (ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey) - 1)::INT AS pos, o_orderkey AS id, 'Order ' || o_orderkey AS title,
+strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 3 = 0 THEN 'Unknown' ELSE o_orderpriority END AS source,
+CASE WHEN o_orderkey % 5 = 0 THEN 'market' ELSE 'tech' END AS category FROM orders WHERE o_orderstatus = 'P'""")
+def corpus_round_trip(spark, sf_dir):
+    """An inventory merged of two halves, written as a document, and read back: its order, and defaults for what it lacks."""
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(
+        key.alias("id"), F.concat(F.lit("Order "), key).alias("title"), F.concat(F.lit("u"), key).alias("url"),
+        F.when(key % 3 != 0, F.col("o_orderpriority")).alias("source"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
+        F.when(key % 5 != 0, "tech").alias("category"), *[F.lit(None).cast("string").alias(c) for c in ("categoryName", "brand", "summary", "source_type", "first_seen", "product_category")],
+    )
+    both = merge(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"))
+    path = new_folder(spark, "document")
+    corpus.write_document(corpus.output_document(both, both.agg(F.count("*").alias("total")), RUN_DATE, ["a"], []), path)
+    found = corpus.articles_of(spark.read.schema(corpus.DOCUMENT).json(path), FITNESS, RUN_DATE)
+    return spark.read.schema(corpus.DOCUMENT).json(path).select(F.posexplode("articles.id").alias("pos", "id")).join(
+        found.select("id", "title", "date", "source", "category"), "id"
+    )
+
+
+CLEANED = f"""{DOCS_SQL}, c AS (SELECT *, CASE source WHEN 'src1' THEN 'official' WHEN 'src2' THEN 'product' ELSE 'google_news' END AS st FROM classed),
+d AS (SELECT *, st = 'official' AND doc_id % 2 = 0 AS undated, doc_id % 4 = 0 AS refetched FROM c),
+a AS (SELECT *, CASE
+  WHEN st = 'official' AND NOT (NOT {has_word("you", column="title")} AND {has_word("fr", "de", "en", column="title")}) THEN 'removed_howto'
+  WHEN undated AND NOT refetched THEN 'removed_no_real_date'
+  WHEN st = 'product' AND brand IS NULL AND {has_word("scum", column="b")} AND NOT {has_word("that", column="b")} THEN 'removed_offtopic' END AS first,
+  CASE WHEN brand IN ('Idiom', 'Trash') AND {has("pathetic", column="b")} THEN 'removed_celebrity_noise'
+  WHEN brand = 'Idiom' AND NOT regexp_matches(b, '(?i)that.*with') THEN 'removed_brand_ambiguous'
+  WHEN brand = 'Trash' AND NOT {has("this", column="b")} THEN 'removed_brand_ambiguous' END AS second,
+  CASE WHEN undated THEN 'date_corrected' WHEN st = 'product' THEN 'product_to_gnews' ELSE 'keep' END AS change FROM d),
+j AS (SELECT *, coalesce(first, second, change) AS action, CASE WHEN first IS NULL THEN change END AS own FROM a)"""
+
+
+@query(f"""{CLEANED} SELECT count(*) FILTER (action = 'removed_howto') AS removed_howto, count(*) FILTER (action = 'removed_offtopic') AS removed_offtopic,
+count(*) FILTER (action = 'removed_no_real_date') AS removed_no_real_date, count(*) FILTER (action = 'removed_celebrity_noise') AS removed_celebrity_noise,
+count(*) FILTER (action = 'removed_brand_ambiguous') AS removed_brand_ambiguous, count(*) FILTER (own = 'date_corrected') AS date_corrected,
+count(*) FILTER (own = 'product_to_gnews') AS product_to_gnews, count(*) FILTER (starts_with(action, 'removed_')) AS removed_total,
+(SELECT string_agg(text, '|' ORDER BY doc_id) FROM (SELECT doc_id, '[' || action || '] ' || substr(title, 1, 60) AS text FROM j WHERE action <> 'keep' ORDER BY doc_id LIMIT 40)) AS samples FROM j""")
+def cleaning_figures(spark, sf_dir):
+    """The cleaning report in full: a figure for each action, and the first titles with one."""
+    pack = replace(DEMO, official_news=r"\b(?:fr|de|en)\b")
+    kinds = F.when(F.col("source") == "src1", "official").when(F.col("source") == "src2", "product").otherwise("google_news")
+    undated = (F.col("source") == "src1") & (F.col("doc_id") % 2 == 0)
+    rows = classified(spark, sf_dir).withColumns(
+        {"id": F.col("doc_id"), "url": F.concat(F.lit("u"), "doc_id"), "date": F.when(undated, F.lit(RUN_DATE)).otherwise("2024-01-02"), "source_type": kinds}
+    )
+    fetched = table(spark, sf_dir, "documents").where("doc_id % 4 = 0").select(F.concat(F.lit("u"), "doc_id").alias("url"), F.lit("2024-01-01").alias("real_date"))
+    actions = cut(clean_actions(fill_defaults(rows, pack, RUN_DATE), pack, RUN_DATE, fetched.union(fetched)))
+    return cleaning_report(actions).withColumn("samples", F.array_join("samples", "|"))
+
+
+@query("""WITH f AS (SELECT s_suppkey, 'https://feed.example/' || s_suppkey AS url, s_suppkey % 7 <> 0 AS ok FROM supplier),
+b AS (SELECT n_nationkey, n_name, n_nationkey % 3 <> 0 AS ok FROM nation)
+SELECT concat_ws('|', (SELECT string_agg(url, '|' ORDER BY s_suppkey) FROM f WHERE ok), (SELECT string_agg('official:' || n_name || ':https://' || n_nationkey, '|' ORDER BY n_nationkey) FROM b WHERE ok)) AS sources_ok,
+concat_ws('|', (SELECT string_agg(url, '|' ORDER BY s_suppkey) FROM f WHERE NOT ok), (SELECT string_agg('official:' || n_name, '|' ORDER BY n_nationkey) FROM b WHERE NOT ok)) AS sources_failed""")
+def source_statuses(spark, sf_dir):
+    """Ordered lists of the sources that came and failed: suppliers as feeds of which some have landed, nations as brands."""
+    feeds = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seq"), F.concat(F.lit("https://feed.example/"), "s_suppkey").alias("url"))
+    landed = feeds.where("seq % 7 <> 0").select("url")
+    stories = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("ord"), F.col("n_name").alias("brand"), (F.col("n_nationkey") % 3 != 0).alias("ok"), F.concat(F.lit("https://"), "n_nationkey").alias("url")
+    )
+    lists = source_lists(feed_status(feeds, landed).select("seq", "url", "ok"), stories)
+    return lists.select(*[F.array_join(c, "|").alias(c) for c in ("sources_ok", "sources_failed")])
+
+
+def services() -> tuple:
+    """A service that is busy now and then and fails for some texts, asked with patience, and a simpler one that fails for others."""
+    asked: dict[str, int] = {}
+
+    def first(text: str) -> str:
+        asked[text] = asked.get(text, 0) + 1
+        if text[-1] in "01":
+            raise ValueError("no such text")
+        if asked[text] == 1 and text[-1] in "23456":
+            raise P.Busy(429)
+        return f"first {text}"
+
+    def second(text: str) -> str:
+        if text[-1] == "1":
+            raise OSError("down")
+        return "" if text[-2:] == "00" else f"second {text}"
+
+    return P.patient(first, first_s=0.0), second
+
+
+@query("""SELECT DISTINCT c_name AS text, CASE WHEN c_name LIKE '%1' OR c_name LIKE '%00' THEN c_name WHEN c_name LIKE '%0' THEN 'second ' || c_name ELSE 'first ' || c_name END AS translated FROM customer""")
+def translation_services(spark, sf_dir):
+    """Names translated by a service that is busy and fails at times, its fallback, or as they stand where both fail."""
+    first, second = services()
+    return P.translate(spread(table(spark, sf_dir, "customer")), "c_name", first, second)
