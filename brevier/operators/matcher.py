@@ -21,8 +21,8 @@ from brevier.functions.text import column, keyword_pattern, matches_source
 from brevier.operators import rules as R
 
 #: Letters beyond A to Z that match them whatever the case.
-FOLDED = str.maketrans({"İ": "i", "ı": "i", "ſ": "s", "K": "k"})
-WORD = regex.compile(r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}‌‍]")
+FOLDED = str.maketrans({"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"})
+WORD = regex.compile(r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\u200c\u200d]")
 #: Bits of a number that Spark keeps without its sign.
 MOST_LISTS = 62
 

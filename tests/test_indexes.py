@@ -3,8 +3,6 @@
 import random
 from collections import Counter
 
-from pyspark.sql import functions as F
-
 from brevier.operators import cube as C
 from brevier.operators import dashboard as B
 from brevier.operators import rules as R

@@ -18,7 +18,7 @@ def composed(rng):
     names = [*values.QUERY_BRANDS, *values.TRACKED_BRANDS, "sole F63", "SHUA", "舒華", "喬山", "proform", "Cybex eagle", "nautilus, inc", "iFit for your ProForm", "St. Louis True Fitness", "schwinn IC4"]
     lists = (values.FINANCE, values.TECH, values.FITNESS, values.WEARABLE, values.STRENGTH, values.MILITARY, values.BALL_SPORT, values.SMART_RING, values.CROSS_INDUSTRY, values.APPAREL, values.EQUIPMENT, values.CELEBRITY, values.ORGANIZING)
     words = [w for each in lists for w in each]
-    noise = ["replacement part", "for parts", "new jersey", "Jersey City", "jerseys", "tonal shift", "playing with tonal", "vintage schwinn", "lego", "police", "nautilus 的車款", "fınance", "ſtock", "BİKE", "Kettlebell", "élite", "gyḿ", "plate_", "_app", "10-K!", "\n", "x" * 30]
+    noise = ["replacement part", "for parts", "new jersey", "Jersey City", "jerseys", "tonal shift", "playing with tonal", "vintage schwinn", "lego", "police", "nautilus 的車款", "fınance", "ſtock", "BİKE", "\u212aettlebell", "gym\u200d", "Kettlebell", "élite", "gyḿ", "plate_", "_app", "10-K!", "\n", "x" * 30]
     glue = [" ", " ", " ", "-", "", ", ", "　", ".", "́", "é"]
     for _ in range(3000):
         parts = [rng.choice(names), *rng.choices(words, k=rng.randrange(4)), *rng.choices(noise, k=rng.randrange(2))]
