@@ -108,9 +108,13 @@ def in_blocks(nodes: DataFrame, leaves: int) -> DataFrame:
     return nodes.withColumn("__block", F.floor(F.col("position") / leaves).cast("long"))
 
 
-def numbered(nodes: DataFrame, order: list[str], per_range: int = 50_000) -> DataFrame:
-    """nodes (branch, ...) with position, from 0, among the rows of their branch in a total order, and their number, size."""
-    ranges = max(1, -(-nodes.count() // per_range))
+def numbered(nodes: DataFrame, order: list[str], per_range: int = 10_000, most: int = 1_000_000) -> DataFrame:
+    """nodes (branch, ...) with position, from 0, among the rows of their branch in a total order, and their number, size.
+
+    A task sorts about per_range rows, more as soon as all cores have as many, and no more than `most`.
+    """
+    n, cores = nodes.count(), nodes.sparkSession.sparkContext.defaultParallelism
+    ranges = max(1, -(-n // most), min(cores, -(-n // per_range)))
     by = ["branch", *order]
     dealt = cut(nodes.repartitionByRange(ranges, *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
     dealt = dealt.withColumn("__range", F.shiftright("__at", 33))
