@@ -156,7 +156,10 @@ def keyed(articles: DataFrame) -> DataFrame:
 def run_pipeline(
     existing: DataFrame, raw: DataFrame, pack: R.RulePack, run_date: str, refetched: DataFrame | None = None
 ) -> dict[str, DataFrame]:
-    """The daily job: clean the inventory, judge and number new items, merge. Existing rows win over new ones."""
+    """The daily job: clean the inventory, judge and number new items, merge. Existing rows win over new ones.
+
+    last_id: the greatest id given so far, which a row that is cleaned away may have had.
+    """
     max_id = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     actions = cut(clean_actions(existing, pack, run_date, refetched))
     kept = actions.where(~F.col("action").startswith("removed_")).select(*COLUMNS)
@@ -165,6 +168,7 @@ def run_pipeline(
     return {
         "articles": merge(kept, fresh),
         "added": fresh,
+        "last_id": judged.agg((F.lit(max_id) + F.count_if(F.col("outcome") == "accepted")).cast("long").alias("last_id")),
         "report": report(judged),
         "cleaned": cleaning_report(actions),
     }

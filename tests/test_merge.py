@@ -112,3 +112,11 @@ def test_cleaning(spark):
 def test_keys(spark):
     row = keyed(spark.createDataFrame([article(1, "A  B!")], ARTICLE)).first()
     assert (row.url_key, row.title_key) == ("https://a.com/1", "a b")
+
+
+def test_last_id_counts_rows_that_are_cleaned_away(spark):
+    existing = spark.createDataFrame([article(1, "Peloton news"), article(9, "How to row", source_type="official")], ARTICLE)
+    raw = spark.createDataFrame([(1, "Peloton news", "https://a.com/1", "", RUN, True, "google_news", None, None)], RAW)
+    out = run_pipeline(existing, raw, PACK, RUN)
+    assert [r.id for r in out["articles"].collect()] == [1] and out["added"].count() == 0
+    assert out["last_id"].first().last_id == 9
