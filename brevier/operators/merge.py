@@ -18,7 +18,7 @@ ARTICLE = (
 COLUMNS = [f.split()[0] for f in ARTICLE.split(", ")]
 
 
-def running_number(rows: DataFrame, order: str | list[str], name: str, per_bucket: int = 100_000) -> DataFrame:
+def running_number(rows: DataFrame, order: str | list[str | Column], name: str, per_bucket: int = 100_000) -> DataFrame:
     """rows with name: 1, 2, ... in the given order, without one task that sees all rows.
 
     Rows are dealt by ranges of the order; ranges are counted, and their counts summed up in one small window.

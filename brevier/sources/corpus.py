@@ -17,7 +17,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brevier.operators.merge import ARTICLE, COLUMNS, fill_defaults
+from brevier.operators.merge import ARTICLE, COLUMNS, fill_defaults, running_number
 from brevier.operators.rules import RulePack
 
 DOCUMENT = (
@@ -29,6 +29,9 @@ DOCUMENT = (
     "timeline: array<struct<date: string, count: bigint>>, updated: string>"
 )
 
+#: A document of a corpus that many hold, with the place of its first article in the whole corpus.
+PART = DOCUMENT + ", first bigint"
+
 
 def read_document(spark: SparkSession, path: str, on_error: str = "raise") -> DataFrame:
     """One row a JSON document. A broken file raises, or gives no rows with on_error="empty"."""
@@ -49,6 +52,13 @@ def articles_of(documents: DataFrame, pack: RulePack, run_date: str) -> DataFram
     return fill_defaults(rows, pack, run_date)
 
 
+def places_of(documents: DataFrame) -> DataFrame:
+    """(pos, id) of articles: their place in the corpus, be it one document or many."""
+    first = F.col("first") if "first" in documents.columns else F.lit(0)
+    listed = documents.select(first.alias("first"), F.posexplode("articles.id").alias("pos", "id"))
+    return listed.select((F.coalesce("first", F.lit(0)) + F.col("pos")).cast("int").alias("pos"), "id")
+
+
 CLEANED = [
     "removed_howto", "removed_offtopic", "removed_no_real_date", "removed_celebrity_noise", "removed_brand_ambiguous",
     "date_corrected", "product_to_gnews", "removed_total",
@@ -68,38 +78,76 @@ def output_document(
     """One row in the form of a corpus document. It holds all articles, as its one reader, a browser, needs them.
 
     official_results: brand to (kind, url) of its source; cleaned: the row of merge.cleaning_report. More than `most`
-    articles are no document for a browser, and refused: write_articles takes any number.
+    articles are no document for a browser, and refused: output_documents and write_articles take any number.
     """
     n = articles.limit(most + 1).count()
     if n > most:
-        raise ValueError(f"over {most} articles don't fit one document: use write_articles")
+        raise ValueError(f"over {most} articles don't fit one document: use output_documents or write_articles")
     listed = articles.agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct(F.struct(F.col("date"), (-F.col("id")).alias("n")).alias("k"), F.struct(*COLUMNS).alias("a"))), asc=False),
             lambda x: x["a"],
         ).alias("articles")
     )
+    head = heading(stats, generated_at, sources_ok, sources_failed, official_results, cleaned)
+    return listed.join(head).select("generated_at", "sources_ok", "sources_failed", "official_results", "cleaned_noise", "articles", "stats")
+
+
+def heading(
+    stats: DataFrame, generated_at: str, sources_ok: list[str], sources_failed: list[str],
+    official_results: dict[str, tuple[str, str]] | None, cleaned: DataFrame | None,
+) -> DataFrame:
+    """One row: all of a document but its articles."""
     strings = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
     told = [x for brand, pair in (official_results or {}).items() for x in (F.lit(brand), strings(pair))]
     results = F.create_map(*told) if told else F.lit(None)
+    head = stats.select(F.struct("*").alias("stats"))
     if cleaned is None:
-        noise = listed.select(F.lit(None).cast("map<string, bigint>").alias("cleaned_noise"))
+        head = head.withColumn("cleaned_noise", F.lit(None).cast("map<string, bigint>"))
     else:
-        noise = cleaned.select(F.create_map(*[x for c in CLEANED for x in (F.lit(c), F.col(c))]).alias("cleaned_noise"))
-    return listed.join(stats.select(F.struct("*").alias("stats"))).join(noise).select(
+        head = head.join(cleaned.select(F.create_map(*[x for c in CLEANED for x in (F.lit(c), F.col(c))]).alias("cleaned_noise")))
+    return head.select(
         F.lit(generated_at).alias("generated_at"), strings(sources_ok).alias("sources_ok"),
         strings(sources_failed).alias("sources_failed"), results.cast("map<string, array<string>>").alias("official_results"),
-        "cleaned_noise", "articles", "stats",
+        "cleaned_noise", "stats",
     )
 
 
+def output_documents(
+    articles: DataFrame,
+    stats: DataFrame,
+    generated_at: str,
+    sources_ok: list[str],
+    sources_failed: list[str],
+    official_results: dict[str, tuple[str, str]] | None = None,
+    cleaned: DataFrame | None = None,
+    per_document: int = 10_000,
+) -> DataFrame:
+    """A corpus of any number of articles as documents of at most so many each, in the order that one document has.
+
+    Each has the heading of the whole corpus, and `first`: the place of its first article. No articles are one document.
+    """
+    order = [F.desc_nulls_last("date"), F.asc_nulls_last("id")]
+    numbered = running_number(articles.select(*COLUMNS), order, "__n")
+    first = F.floor((F.col("__n") - 1) / per_document) * per_document
+    listed = numbered.groupBy(first.cast("long").alias("first")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("__n", F.struct(*COLUMNS).alias("a")))), lambda x: x["a"]).alias("articles")
+    )
+    start = articles.sparkSession.range(1).select(F.col("id").alias("first"))
+    every = listed.join(start, "first", "full").withColumn("articles", F.coalesce("articles", F.array().cast(listed.schema["articles"].dataType)))
+    head = heading(stats, generated_at, sources_ok, sources_failed, official_results, cleaned)
+    return every.join(F.broadcast(head)).select(
+        "generated_at", "sources_ok", "sources_failed", "official_results", "cleaned_noise", "articles", "stats", "first"
+    )
+
+
 def write_articles(articles: DataFrame, path: str) -> None:
     """Articles as JSON lines, a file a task: the form for corpora too large for one document."""
     articles.select(*COLUMNS).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def write_document(document: DataFrame, path: str) -> None:
-    """The document as one JSON text file in the folder path, nulls kept."""
+    """Documents as JSON text, one a line, in the folder path, nulls kept; a single one is one file."""
     document.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 

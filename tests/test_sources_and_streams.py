@@ -326,3 +326,20 @@ def test_tokens(spark):
         assert one(verify_token(F.lit(text), secret, now)) is None
     users = one(parse_users(F.lit("a:b, c:d:e,x:,y")))
     assert [(u.name, u.password) for u in users] == [("a", "b"), ("c", "d:e")]
+
+
+def test_output_documents(spark, tmp_path):
+    """More articles than one document may hold: several, which are read back as one corpus in the order of one document."""
+    dates = ["2026-01-02", None, "2026-01-05", "2026-01-02", "2026-01-03"]
+    rows = spark.createDataFrame([(k, *["x"] * 3, d, *["x"] * 7) for k, d in enumerate(dates)], corpus.ARTICLE)
+    stats = spark.createDataFrame([(5,)], "total long")
+    docs = corpus.output_documents(rows, stats, "now", ["a"], [], per_document=2)
+    corpus.write_document(docs, str(tmp_path / "docs"))
+    read = spark.read.schema(corpus.PART).json(str(tmp_path / "docs"))
+    assert sorted((r.first, len(r.articles), r.stats.total, r.sources_ok) for r in read.collect()) == [(0, 2, 5, ["a"]), (2, 2, 5, ["a"]), (4, 1, 5, ["a"])]
+    places = {r.id: r.pos for r in corpus.places_of(read).collect()}
+    one = corpus.output_document(rows, stats, "now", ["a"], []).first()
+    assert [a.id for a in one.articles] == sorted(places, key=places.get) == [2, 4, 0, 3, 1]
+    assert corpus.articles_of(read, PACK, "2026-08-01").count() == 5
+    none = corpus.output_documents(rows.limit(0), stats, "now", ["a"], []).collect()
+    assert [(r.first, r.articles) for r in none] == [(0, [])]
