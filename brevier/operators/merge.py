@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brevier.functions.dates import is_too_old
-from brevier.functions.session import cut
+from brevier.functions.session import cut, spread
 from brevier.functions.text import either, is_official_source, nfkc, strip, title_and_source, title_key, url_key
 from brevier.operators import rules as R
 from brevier.operators.dedupe import outcomes
+from brevier.operators.matcher import Rules
 
 ARTICLE = (
     "id long, title string, url string, source string, date string, category string, categoryName string, "
@@ -37,8 +38,8 @@ def running_number(rows: DataFrame, order: str | list[str | Column], name: str,
     )
 
 
-def prepare(raw: DataFrame, pack: R.RulePack, run_date: str, max_age_days: int = 740) -> DataFrame:
-    """Raw items as candidate articles: parts, keys, brand, class and the reason to leave them out, if any.
+def prepare(raw: DataFrame, run_date: str) -> DataFrame:
+    """Raw items as rows with their parts and keys, whose contents `judge` then reads.
 
     raw: seq, raw_title, link, summary, date, date_is_real, source_type, brand, source. Items without a title
     or a link are dropped.
@@ -55,26 +56,29 @@ def prepare(raw: DataFrame, pack: R.RulePack, run_date: str, max_age_days: int =
         F.when(fixed, strip("__nfkc")).otherwise(F.col("__parts.title")).alias("title"),
         F.when(fixed, F.col("fixed_source")).otherwise(F.col("__parts.source")).alias("new_source"),
     )
-    read = parts.select(
+    return parts.select(
         "seq", "title", F.col("link").alias("url"), F.col("new_source").alias("source"),
         either("date", F.lit(run_date)).alias("date"), either("summary", "title").alias("summary"), "source_type",
         "date_is_real", F.col("brand").alias("set_brand"), "fixed_source", url_key("link").alias("url_key"),
         title_key("title").alias("title_key"),
     )
-    branded = read.withColumn("brand", either("set_brand", R.detect_brand(pack, R.body("title", "summary"))))
-    excluded = R.exclusion_reason(
-        pack, "title", "summary", "brand", "source", R.is_relaxed("fixed_source", "source_type")
-    )
+
+
+def judge(read: DataFrame, pack: R.RulePack, run_date: str, max_age_days: int = 740) -> DataFrame:
+    """Rows of `prepare` as candidate articles: brand, class and the reason to leave them out, if any; one pass reads a text."""
+    rules = Rules(pack)
+    scanned = spread(read).withColumn("__hits", rules.hits("title", "summary"))
+    branded = scanned.withColumn("brand", either("set_brand", rules.brand("__hits")))
     reason = F.coalesce(
         R.official_reason(pack, "source_type", "title", "date_is_real"),
-        excluded,
+        rules.exclusion_reason("__hits", "brand", "source", R.is_relaxed("fixed_source", "source_type")),
         F.when(is_too_old("date", run_date, max_age_days), "too_old"),
     )
-    category = R.classify(pack, "title", "summary", "brand")
+    category = rules.category("__hits", "brand")
     return branded.select(
         "seq", "title", "url", "source", "date", category.alias("category"),
         R.category_label(pack, category).alias("categoryName"), "brand", "summary", "source_type",
-        F.lit(run_date).alias("first_seen"), R.classify_product(pack, "title", "summary").alias("product_category"),
+        F.lit(run_date).alias("first_seen"), rules.product("__hits").alias("product_category"),
         "url_key", "title_key", reason.alias("reason"),
     )
 
@@ -163,7 +167,7 @@ def run_pipeline(
     max_id = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     actions = cut(clean_actions(existing, pack, run_date, refetched))
     kept = actions.where(~F.col("action").startswith("removed_")).select(*COLUMNS)
-    judged = cut(outcomes(prepare(raw, pack, run_date), keyed(kept)))
+    judged = cut(outcomes(prepare(raw, run_date), keyed(kept), judge=lambda rows: judge(rows, pack, run_date)))
     fresh = new_articles(judged, max_id)
     return {
         "articles": merge(kept, fresh),
