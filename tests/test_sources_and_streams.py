@@ -343,3 +343,14 @@ def test_output_documents(spark, tmp_path):
     assert corpus.articles_of(read, PACK, "2026-08-01").count() == 5
     none = corpus.output_documents(rows.limit(0), stats, "now", ["a"], []).collect()
     assert [(r.first, r.articles) for r in none] == [(0, [])]
+
+
+def test_chunks_in_one_pass(spark):
+    """Pieces of long texts, line ends and characters of two units among them, by one pass and not by seeking each."""
+    texts = [None, "", "a", "\n\U0001f600", "é\n\U0001f600健" * 777, "x" * 100_001]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", sse.chunks("t").alias("c"))
+    for r in rows.collect():
+        text = texts[r.id] or ""
+        size = max(2, -(-len(text) // 120))
+        assert r.c == [text[k : k + size] for k in range(0, len(text), size)]
+    assert "substring" not in rows._jdf.queryExecution().optimizedPlan().toString()
