@@ -9,14 +9,17 @@ import json
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brevier.functions.dates import normalise_date
+from brevier.functions.session import spread
 from brevier.functions.text import column, url_host, url_key, url_path
 from brevier.operators import rules as R
 
+LINK = "ord int, text string, href string"
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 # Metadata that tells a date, in the order in which it is tried.
 META = [
@@ -133,16 +136,32 @@ def date_candidates(html: str | None) -> list[dict]:
     return out
 
 
+#: Pages whose links a worker holds at a time, before it passes them on.
+PAGES_AT_ONCE = 128
+
+
 def links(pages: DataFrame, url: str = "url", html: str = "html", drop_nav: bool = True) -> DataFrame:
-    """pages with one row for each link: ord, text, href."""
+    """pages, dealt over all cores, with one row for each link: ord, text, href.
+
+    A worker holds a batch as it came and the links of a few of its pages.
+    """
+    others = [c for c in pages.columns if c != html]
+    schema = T.StructType([*[f for f in pages.schema.fields if f.name != html], *T.StructType.fromDDL(LINK).fields])
 
-    @F.pandas_udf("array<struct<ord: int, text: string, href: string>>")
-    def find(bodies: pd.Series, bases: pd.Series) -> pd.Series:
-        return pd.Series([anchors(h, b, drop_nav) for h, b in zip(bodies, bases, strict=True)])
+    def find(batches):
+        for batch in batches:
+            bodies, bases, kept = batch.column(html), batch.column(url), batch.select(others)
+            for low in range(0, batch.num_rows, PAGES_AT_ONCE):
+                rows, found = [], []
+                for k in range(low, min(batch.num_rows, low + PAGES_AT_ONCE)):
+                    new = anchors(bodies[k].as_py(), bases[k].as_py(), drop_nav)
+                    rows += [k] * len(new)
+                    found += new
+                own = kept.take(pa.array(rows, pa.int64()))
+                more = [pa.array([x[c] for x in found], t) for c, t in (("ord", pa.int32()), ("text", pa.string()), ("href", pa.string()))]
+                yield pa.RecordBatch.from_arrays([*own.columns, *more], [*others, "ord", "text", "href"])
 
-    return pages.withColumn("__links", find(column(html), column(url))).select(
-        *[c for c in pages.columns if c != html], F.inline("__links")
-    )
+    return spread(pages).mapInArrow(find, schema)
 
 
 def article_links(
@@ -172,9 +191,11 @@ def article_links(
 def published_dates(pages: DataFrame, run_date: str, html: str = "html") -> DataFrame:
     """pages with real_date: the first candidate that is a valid date, null without one."""
 
-    @F.pandas_udf("array<struct<stage: int, ord: int, raw: string>>")
-    def candidates(bodies: pd.Series) -> pd.Series:
-        return bodies.map(date_candidates)
+    kind = pa.list_(pa.struct([("stage", pa.int32()), ("ord", pa.int32()), ("raw", pa.string())]))
+
+    @F.arrow_udf("array<struct<stage: int, ord: int, raw: string>>")
+    def candidates(bodies: pa.Array) -> pa.Array:
+        return pa.array((date_candidates(b.as_py()) for b in bodies), kind)
 
     valid = F.filter(F.transform("__raw", lambda c: normalise_date(c["raw"], run_date)), lambda d: d.isNotNull())
     return pages.withColumn("__raw", candidates(column(html))).withColumn("real_date", F.get(valid, F.lit(0))).drop("__raw")

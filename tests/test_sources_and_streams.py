@@ -354,3 +354,12 @@ def test_chunks_in_one_pass(spark):
         size = max(2, -(-len(text) // 120))
         assert r.c == [text[k : k + size] for k in range(0, len(text), size)]
     assert "substring" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_links_of_many_pages_leave_in_parts(spark, monkeypatch):
+    """Links of more pages than a worker holds at once, null pages and kept columns among them."""
+    pages = [(k, f"https://a.com/{k}", None if k % 7 == 0 else "<a href='/x'>one</a>" * (k % 4), [k]) for k in range(300)]
+    monkeypatch.setattr(H, "PAGES_AT_ONCE", 16)
+    found = H.links(spark.createDataFrame(pages, "id long, url string, html string, more array<long>").coalesce(1), drop_nav=False)
+    wanted = [(k, k, j, "one", "https://a.com/x") for k in range(300) if k % 7 for j in range(k % 4)]
+    assert sorted((r.id, r.more[0], r.ord, r.text, r.href) for r in found.collect()) == wanted
