@@ -8,7 +8,7 @@ import unicodedata
 from collections.abc import Iterable
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -125,9 +125,10 @@ def display_time(value: Column | str) -> Column:
 def nfkc(text: Column | str) -> Column:
     """Unicode normal form KC, by an Arrow batch function: Spark has none of its own."""
 
-    @F.pandas_udf("string")
-    def normalise(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
+    @F.arrow_udf("string")
+    def normalise(values: pa.Array) -> pa.Array:
+        texts = (v.as_py() for v in values)
+        return pa.array((t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in texts), pa.string())
 
     return normalise(column(text))
 
@@ -167,8 +168,8 @@ def visible_text(raw: str | None) -> str:
 def clean_html(raw: Column | str) -> Column:
     """Visible text of HTML, by an Arrow batch function."""
 
-    @F.pandas_udf("string")
-    def clean(values: pd.Series) -> pd.Series:
-        return values.map(visible_text)
+    @F.arrow_udf("string")
+    def clean(values: pa.Array) -> pa.Array:
+        return pa.array((visible_text(v.as_py()) for v in values), pa.string())
 
     return clean(column(raw))

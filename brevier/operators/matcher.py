@@ -12,7 +12,7 @@ import re
 from functools import reduce
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -149,9 +149,9 @@ class Rules:
         """The bits of title and summary. A plan makes them once: filters on what follows from them stay above."""
         scanner = Scanner(self.lists)
 
-        @F.pandas_udf("bigint")
-        def scan(texts: pd.Series) -> pd.Series:
-            return texts.map(scanner.scan)
+        @F.arrow_udf("bigint")
+        def scan(texts: pa.Array) -> pa.Array:
+            return pa.array((scanner.scan(t.as_py()) for t in texts), pa.int64())  # one text at a time leaves Arrow
 
         return scan.asNondeterministic()(R.body(title, summary))
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from brevier.operators import matcher as M
 from brevier.operators import rules as R
@@ -70,3 +71,11 @@ def test_phrases_and_what_patterns_need():
     with pytest.raises(ValueError):
         M.Scanner({str(k): ["x"] for k in range(63)})
     assert M.Scanner({"none": []}).scan("anything") == 0
+
+
+def test_texts_leave_arrow_one_at_a_time(spark):
+    """A worker holds no second copy of a batch's texts: hits are scanned from Arrow's own."""
+    rows = spark.createDataFrame([(1, "Peloton treadmill", None), (2, "", "x")], "id long, title string, summary string")
+    hit = rows.select("id", M.Rules(FITNESS).hits("title", "summary").alias("hits"))
+    assert [r.hits != 0 for r in hit.orderBy("id").collect()] == [True, False]
+    assert f", {PythonEvalType.SQL_SCALAR_ARROW_UDF}" in hit._jdf.queryExecution().executedPlan().toString()
