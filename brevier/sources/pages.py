@@ -11,11 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+FILES_A_TASK = 100
+
+
 def write_pages(rows: DataFrame, path: str, date: str = "date", id_col: str = "id", per_file: int = 100_000) -> None:
     """Write rows by date, latest first (null last), then id; the pair (date, id) must tell rows apart."""
     files = max(1, -(-rows.count() // per_file))
+    # A task writes up to FILES_A_TASK files one after the other, so that what tasks tell the driver doesn't grow with the files.
+    tasks = min(files, max(rows.sparkSession.sparkContext.defaultParallelism, -(-files // FILES_A_TASK)))
     order = [F.desc_nulls_last(date), F.asc_nulls_first(id_col)]
-    rows.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/rows")
+    dealt = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    dealt.write.mode("overwrite").option("maxRecordsPerFile", per_file).parquet(f"{path}/rows")
     stored = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows")
     key = F.struct(F.col(date).alias("date"), F.col(id_col).alias("id"))
     ends = stored.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"), F.max_by(key, sort_key(date, id_col)).alias("first"))
@@ -33,6 +39,12 @@ def manifest(spark: SparkSession, path: str) -> list:
     return sorted(spark.read.parquet(f"{path}/manifest").collect(), key=lambda r: r["before"])
 
 
+def files_at(spark: SparkSession, path: str, low: int, size: int) -> list:
+    """The manifest's rows of the files that hold the places from low on, so many; no others leave the executors."""
+    held = spark.read.parquet(f"{path}/manifest").where((F.col("before") < low + size) & (F.col("before") + F.col("n") > low))
+    return sorted(held.collect(), key=lambda r: r["before"])
+
+
 def read_files(spark: SparkSession, schema, files: list[str]) -> DataFrame:
     return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
 
@@ -40,7 +52,7 @@ def read_files(spark: SparkSession, schema, files: list[str]) -> DataFrame:
 def page_at(spark: SparkSession, path: str, schema, number: int, size: int = 20, date: str = "date", id_col: str = "id") -> DataFrame:
     """The rows of page `number`, from 0, with their place in the whole order."""
     low = number * size
-    held = [r for r in manifest(spark, path) if r["before"] < low + size and r["before"] + r["n"] > low]
+    held = files_at(spark, path, low, size)
     rows = read_files(spark, schema, [r["file"] for r in held])
     order = Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last(date), F.asc_nulls_first(id_col))  # rows of a page's files
     place = F.lit(held[0]["before"] if held else 0) + F.row_number().over(order) - 1
@@ -49,19 +61,16 @@ def page_at(spark: SparkSession, path: str, schema, number: int, size: int = 20,
 
 def page_after(spark: SparkSession, path: str, schema, after: tuple | None, size: int = 20, date: str = "date", id_col: str = "id") -> DataFrame:
     """The first rows after the key (date, id) of the last row seen; from the start if there is none."""
-    files = manifest(spark, path)
-    behind = lambda key: (key[0] is not None, key[0] or "", key[1] is None, -(key[1] or 0))  # noqa: E731  as sort_key
-    at = 0
+    low = ahead = 0
     if after is not None:
-        at = max(0, sum(behind(r["first"]) >= behind(after) for r in files) - 1)
-    held, room = [], size
-    for k, r in enumerate(files[at:]):
-        held.append(r["file"])
-        room -= 0 if k == 0 and after is not None else r["n"]  # of the first file any number may be behind
-        if room <= 0:
-            break
+        then = F.struct(F.lit(after[0] is not None), F.lit(after[0]).cast(schema[date].dataType), F.lit(after[1] is None), -F.lit(after[1]).cast(schema[id_col].dataType))
+        begun = spark.read.parquet(f"{path}/manifest").where(sort_key("first.date", "first.id") >= then)
+        last = begun.agg(F.max_by(F.struct("before", "n"), "before").alias("at")).first()["at"]  # the file that holds the key, or its end
+        low = last["before"] if last else 0
+        ahead = last["n"] if last else 0
+    # Of the first file any number of rows may be behind, so the files after it must hold a page of their own.
+    held = [r["file"] for r in files_at(spark, path, low, size + ahead)]
     rows = read_files(spark, schema, held)
     if after is not None:
-        then = F.struct(F.lit(after[0] is not None), F.lit(after[0]).cast(schema[date].dataType), F.lit(after[1] is None), -F.lit(after[1]).cast(schema[id_col].dataType))
         rows = rows.where(sort_key(date, id_col) < then)
     return rows.orderBy(F.desc_nulls_last(date), F.asc_nulls_first(id_col)).limit(size)

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from brevier.operators import cube as C
 from brevier.operators import dashboard as B
 from brevier.operators import rules as R
@@ -93,3 +95,19 @@ def test_pages_equal_the_sorted_rows(spark, tmp_path):
     assert seen == wanted
     pages.write_pages(docs.limit(0), path)
     assert pages.page_at(spark, path, docs.schema, 0).count() == 0 and pages.page_after(spark, path, docs.schema, None).count() == 0
+
+
+def test_pages_are_written_by_few_tasks(spark, tmp_path, monkeypatch):
+    """Many files come from few tasks, none is over its number of rows, and a page asks the manifest for its own files alone."""
+    path, cores = str(tmp_path / "pages"), spark.sparkContext.defaultParallelism
+    docs = spark.range(3000).selectExpr("id", "concat('2024-01-', lpad(id % 28 + 1, 2, '0')) AS date")
+    pages.write_pages(docs, path, per_file=10)
+    files = pages.manifest(spark, path)
+    assert len(files) >= 300 and max(f["n"] for f in files) <= 10
+    writers = {f["file"].split("/part-")[1].split("-")[0] for f in files}
+    assert len(writers) <= max(cores, 3)
+    monkeypatch.setattr(pages, "manifest", None)
+    wanted = [r.id for r in docs.orderBy(F.desc("date"), "id").collect()]
+    assert [r.id for r in pages.page_at(spark, path, docs.schema, 70, 20).orderBy("place").collect()] == wanted[1400:1420]
+    last = docs.where(F.col("id") == wanted[1419]).first()
+    assert [r.id for r in pages.page_after(spark, path, docs.schema, (last["date"], last["id"]), 20).collect()] == wanted[1420:1440]
