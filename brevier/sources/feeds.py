@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brevier.functions.dates import published_date
+from brevier.functions.session import cut
 from brevier.functions.text import clean_html, either, percent_encode, strip
 from brevier.operators.merge import running_number
 from brevier.operators.stats import dimension
@@ -98,7 +99,8 @@ def raw_items(entries: DataFrame, run_date: str, *order: str) -> DataFrame:
     """
     real = published_date(either("published", "pubDate"), "updated")
     kept = entries.where((strip("title") != "") & (strip("link") != ""))
-    numbered = running_number(kept, list(order), "__seq") if order else kept.withColumn("__seq", F.monotonically_increasing_id())
+    # Numbers take several passes over the rows, of which each would parse the feeds anew.
+    numbered = running_number(cut(kept), list(order), "__seq") if order else kept.withColumn("__seq", F.monotonically_increasing_id())
     return numbered.select(
         F.col("__seq").cast("long").alias("seq"), strip("title").alias("raw_title"), strip("link").alias("link"),
         clean_html(either("summary", "description")).alias("summary"), F.coalesce(real, F.lit(run_date)).alias("date"),
