@@ -111,3 +111,14 @@ def test_pages_are_written_by_few_tasks(spark, tmp_path, monkeypatch):
     assert [r.id for r in pages.page_at(spark, path, docs.schema, 70, 20).orderBy("place").collect()] == wanted[1400:1420]
     last = docs.where(F.col("id") == wanted[1419]).first()
     assert [r.id for r in pages.page_after(spark, path, docs.schema, (last["date"], last["id"]), 20).collect()] == wanted[1420:1440]
+
+
+def test_postings_are_lists_of_blocks(spark, tmp_path):
+    """A gram has one row for a block of texts, not one for each text; repeated ids don't hide a row from a search."""
+    path = str(tmp_path / "index")
+    docs = spark.createDataFrame([(k % 90, f"gym row {k % 90}") for k in range(100)], "id long, title string").repartition(2)
+    text_index.build_text_index(docs, path, "id", ["title"])
+    postings = spark.read.parquet(f"{path}/postings")
+    blocks = docs.sparkSession.sparkContext.defaultParallelism
+    assert postings.where("gram = 'gym'").count() <= blocks and postings.where("gram = 'gym'").selectExpr("explode(ids)").count() == 100
+    assert text_index.search_index(docs, path, "gym row 1", "id", ["title"]).count() == docs.where("title like 'gym row 1%'").count()
