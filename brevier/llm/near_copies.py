@@ -8,12 +8,15 @@ and variant brings pairs together. Bits grow with the logarithm of the number of
 about one text at every size, and tables with the bits, so that pairs at the threshold are met with probability
 RECALL (and nearer ones surely). Texts with one set of shingles are one node: exact copies cost nothing more.
 
-Candidates are linear in the nodes, however many near copies a group has: at each of its variants a node is compared with
-the one before it, in the order of their numbers. Pairs whose CHECK_BITS-bit SimHash is too far for near copies are dropped
-at once; the others' sets decide. A pair that meets at one variant only can be parted by a node between. In a family of texts that share a frame and are almost near copies, a variant is crowded, and a
-text's neighbours there are mostly others than its own copies. So the nodes of crowded variants that stay apart from two
-neighbours are compared by their shingles as well: all that share a shingle which few of them have, and of those that share
-a frequent one each with one other (`crowded_pairs`).
+At each of its variants a node is compared with the one before it, in the order of their numbers, so that these pairs are
+linear in the nodes, however many near copies a group has. Pairs whose CHECK_BITS-bit SimHash is too far for near copies are
+dropped at once; the others' sets decide.
+
+What ball hashing leaves apart is found exactly (`completed`). Sets of J >= t that are put in one order share a shingle
+among their first n - ceil(t n) + 1, and the places of the first shared one bound what they can share (prefix and positional
+filter). All pairs that meet so, fit, and are not yet in one group are compared by their sets: no link is left out. Any
+order is right; this one puts last the shingles that unlike texts of a sample share, so that texts with a common frame don't
+all meet at its shingles.
 """
 
 from __future__ import annotations
@@ -182,8 +185,9 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
+            for part in (batch.slice(low, 500) for low in range(0, batch.num_rows, 500)):
+                sets = [shingle_set(t.as_py(), shingle).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
 
     return texts.mapInArrow(run, "node long, hashes array<long>")
 
@@ -214,40 +218,109 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return cut(both.where(near).select("u", "v").distinct())
 
 
-def apart_in_crowds(pairs: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, root, check) of the nodes that met two of other groups, or more, in crowded variants and are too far from them."""
-    roots = cut(components(links))
-    rooted = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
-    failed = (
-        pairs.where("crowded")
-        .join(links, ["u", "v"], "left_anti")
-        .join(rooted("u"), "u", "left")
-        .join(rooted("v"), "v", "left")
-        .where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
-    )
-    often = failed.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-    return often.join(nodes, "node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "check")
+#: Of so many texts one is read for the shingles that come last, and so many bits at most mark these.
+SAMPLE, MOST_MARKS = 16, 28
+
+
+def marks(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
+    """Bits by the leading bits of a shingle's hash, as words of 64: set for shingles that unlike sets of a sample share.
+
+    Others that fall on a set bit are taken for such ones, too: the marks order shingles, and every order is right.
+    """
+
+    def run(batches):
+        for whole in batches:
+            for batch in (whole.slice(low, 100) for low in range(0, whole.num_rows, 100)):
+                sets = [shingle_set(text.as_py(), shingle) for text in batch.column(0)]
+                names = np.array([xxhash.xxh32_intdigest(x.tobytes()) for x in sets], np.uint32).view(np.int32)
+                own = np.repeat(names, [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(own)], ["token", "own"])
+
+    sample = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    tokens = sample.mapInArrow(run, "token long, own int").groupBy("token").agg(F.min("own").alias("a"), F.max("own").alias("b"))
+    shared = cut(tokens.where("a != b").select("token"))
+    size = min(MOST_MARKS, max(10, (32 * shared.count()).bit_length()))
+    at = shared.select(F.shiftrightunsigned("token", 64 - size).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (size - 6), np.uint64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    return out
+
+
+def prefix(hashes: np.ndarray, threshold: float, marks: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, marked ones last: sets that reach the threshold share one of them."""
+    at = hashes >> np.uint64(64 - 6 - (len(marks).bit_length() - 1))
+    late = (marks[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    length = len(hashes) - math.ceil(threshold * len(hashes) - 1e-6) + 1 if len(hashes) else 0
+    return np.concatenate([hashes[~late], hashes[late]])[:length]
+
+
+def prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float, marks: np.ndarray) -> DataFrame:
+    """(key, size, tokens) for each row: how many shingles its set has, and the first of them."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in (whole.slice(low, 500) for low in range(0, whole.num_rows, 500)):
+                sets = [shingle_set(text.as_py(), shingle) for text in batch.column(1)]
+                tokens = [prefix(x, threshold, marks).view(np.int64) for x in sets]
+                columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(tokens, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "size", "tokens"])
+
+    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "key struct<a: bigint, b: bigint>, size int, tokens array<long>")
+
+
+def postings(prefixes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(token, node, size, rest) of first shingles that two nodes or more have; rest: how many of the node's, from this one on."""
+    keys = nodes.select("node", F.col("first.key").alias("key"))
+    keys = F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
+    rows = prefixes.join(keys, "key").select("node", "size", F.posexplode("tokens").alias("pos", "token"))
+    token = Window.partitionBy("token")
+    both = rows.select("token", "node", "size", (F.col("size") - F.col("pos")).alias("rest"))
+    return both.withColumns({"a": F.min("node").over(token), "b": F.max("node").over(token)}).where("a != b").drop("a", "b")
 
 
-#: Nodes of a shingle that are all compared; of more, each is compared with one.
-FEW = 16
+def fitting(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(u, v) of pairs (node, root, size, rest and the same with other_) of unlike roots whose sets can reach the threshold, if
+    the token at which they meet is their first."""
+    need = threshold / (1 + threshold) * (F.col("size") + F.col("other_size")) - 1e-6
+    fit = pairs.where((F.col("root") != F.col("other_root")) & (F.least("rest", "other_rest") >= need))
+    return fit.select(F.least("node", "other_node").alias("u"), F.greatest("node", "other_node").alias("v")).distinct()
 
 
-def crowded_pairs(crowd: DataFrame, sets: DataFrame, furthest: int) -> DataFrame:
-    """(u, v) of nodes (node, root, check) of unlike roots that share a shingle, and whose check bits are near.
+def completed(links: DataFrame, postings: DataFrame, sets_of, threshold: float) -> DataFrame:
+    """links, and all others between nodes that they leave apart. sets_of: gives (node, hashes) of wanted nodes.
 
-    All pairs at a shingle that at most FEW nodes have. A more frequent one's nodes are dealt at random to chains of some
-    hundred, in which each is compared with the one before it: so pairs are linear in the nodes' shingles.
+    Pairs of unlike roots are all compared once they are few, or once a round brings no link. Before, a round compares at
+    each token one node of a root with one of the next, so that large groups join without all their pairs.
     """
-    rows = sets.join(crowd, "node").select("node", "root", "check", F.explode("hashes").alias("token"))
-    counts = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    chain = F.when(F.col("n") <= FEW, 0).otherwise(F.pmod(F.xxhash64("node", "token"), F.ceil(F.col("n") / 256)))
-    before = Window.partitionBy("token", "chain").orderBy("node").rowsBetween(1 - FEW, -1)
-    met = rows.join(counts, "token").withColumn("chain", chain).select("node", "root", "check", "n", F.collect_list(F.struct("node", "root", "check")).over(before).alias("others"))
-    others = F.when(F.col("n") <= FEW, F.col("others")).otherwise(F.slice("others", -1, 1))
-    near = F.filter(others, lambda o: (o["root"] != F.col("root")) & (F.bit_count(o["check"].bitwiseXOR(F.col("check"))) <= furthest))
-    pairs = met.select("node", F.explode(F.transform(near, lambda o: o["node"])).alias("other"))
-    return pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+    names = ["node", "root", "size", "rest"]
+    while True:
+        roots = components(links)
+        rooted = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        counts = rooted.groupBy("token", "root").agg(F.count("*").alias("n"))
+        each = counts.groupBy("token").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        apart = cut(rooted.join(each.where("roots > 1"), "token"))
+        rows, all_pairs = apart.agg(F.count("*"), F.sum((F.col("n") * F.col("n") - F.col("own")) / F.col("n"))).first()
+        if not rows:
+            return links
+        if all_pairs <= 32 * rows:
+            break
+        order = Window.partitionBy("token").orderBy("root", "node")
+        met = apart.withColumns({f"other_{c}": F.lag(c).over(order) for c in names})
+        new = joined(cut(fitting(met, threshold)), sets_of, threshold)
+        if new.isEmpty():
+            break
+        links = cut(links.union(new))
+    other = apart.select("token", *[F.col(c).alias(f"other_{c}") for c in names])
+    met = apart.where("root != most").join(other, "token")
+    return cut(links.union(joined(cut(fitting(met, threshold)), sets_of, threshold)))
+
+
+def joined(pairs: DataFrame, sets_of, threshold: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets, read for these pairs, reach the threshold."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    return verified(pairs, sets_of(ends), threshold)
 
 
 def near_copy_groups(
@@ -262,14 +335,10 @@ def near_copy_groups(
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("first")
     each = prints.groupBy("set").agg(first, F.any_value("check").alias("check"), F.any_value("prints").alias("prints"))
     nodes = cut(each.withColumn("node", F.monotonically_increasing_id()))
-    pairs = cut(met_pairs(variants(nodes, bits), furthest(threshold)))
-    ends = lambda df: df.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    links = verified(pairs, sets_of(ends(pairs), nodes, docs, id_col, text_col, shingle), threshold)
-    crowd = cut(apart_in_crowds(pairs, links, nodes))
-    if not crowd.isEmpty():
-        sets = sets_of(crowd.select("node"), nodes, docs, id_col, text_col, shingle)
-        more = cut(crowded_pairs(crowd, sets, furthest(threshold)))
-        links = cut(links.union(verified(more, sets, threshold)).distinct())
+    sets = lambda wanted: sets_of(wanted, nodes, docs, id_col, text_col, shingle)
+    links = joined(cut(met_pairs(variants(nodes, bits), furthest(threshold)).select("u", "v")), sets, threshold)
+    first = prefixes(docs, id_col, text_col, shingle, threshold, marks(docs, text_col, shingle))
+    links = completed(links, cut(postings(first, nodes)), sets, threshold)
     named = nodes.select("set", "node").join(components(links), "node", "left").select("set", F.coalesce("root", "node").alias("group"))
     return prints.select("id", "key", "set").join(named, "set").select("id", "key", "group")
 

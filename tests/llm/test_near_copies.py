@@ -2,9 +2,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from brevier.llm import near_copies
 from brevier.llm.near_copies import bit_distance, bits_for, drop_near_copies, met_pairs, near_copy_groups, shingle_set, short_prints, simhash_words, tables_for
+from brevier.llm.near_copies import completed, marks, postings, prefixes, row_key, sets_of
 from tests.llm.test_simhash import roots
 
 
@@ -142,3 +145,40 @@ def test_one_row_of_each_group_stays(spark):
     kept = drop_near_copies(docs)
     assert kept.columns == docs.columns
     assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=repr) == sorted([(1, a), (2, b), (None, c), (3, d)], key=repr)
+
+
+def alternating(rng, n=120, chunks=40):
+    """Texts that share variants by chance of order: each near copies with others that stand between further ones."""
+    base, texts = prose(rng, 400), []
+    for k in range(n):
+        words = list(base)
+        for at in rng.sample(range(chunks), 5 + k % 4):
+            words[at * 10] = f"c{rng.randrange(3)}x{at}"
+        texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("found", [0, 0.5])
+def test_completion_finds_every_link(spark, found):
+    """Whatever share of the links the first pass has brought, and with all shingles, some or none put last."""
+    rng = random.Random(9)
+    texts = alternating(rng) + corpus() + family(rng, 20)
+    sets = [shingle_set(t) for t in texts]
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if jaccard(set(sets[a].tolist()), set(sets[b].tolist())) >= 0.8]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    nodes = docs.select(F.col("doc_id").alias("node"), F.struct(row_key("doc_id", "text").alias("key")).alias("first"))
+    links = spark.createDataFrame([p for p in near if rng.random() < found], "u long, v long")
+    expected = roots(near)
+    read = lambda wanted: sets_of(wanted, nodes, docs, "doc_id", "text", 5)
+    for late in (marks(docs, "text", 5), np.zeros(16, np.uint64), np.full(16, 2**64 - 1, np.uint64)):
+        rows = postings(prefixes(docs, "doc_id", "text", 5, 0.8, late), nodes)
+        got = roots([(r.u, r.v) for r in completed(links, rows, read, 0.8).collect()])
+        assert {k: r for k, r in got.items()} == {k: r for k, r in expected.items()}
+
+
+def test_links_that_the_first_pass_misses_are_found(spark, monkeypatch):
+    """No pair meets at a variant: the groups are those of brute force all the same."""
+    monkeypatch.setattr(near_copies, "met_pairs", lambda rows, furthest: rows.where("false").selectExpr("node as u", "node as v"))
+    texts = corpus() + alternating(random.Random(3))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == sorted(kept_by_brute_force(texts))
