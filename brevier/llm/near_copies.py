@@ -111,7 +111,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bits: in
     n_words = math.ceil(bits * tables / 64)
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(low, 500) for whole in batches for low in range(0, whole.num_rows, 500)):
             sets, checks, prints = [], [], []
             for text in batch.column(2):
                 hashes = shingle_set(text.as_py(), shingle)
@@ -288,6 +288,10 @@ def fitting(pairs: DataFrame, threshold: float) -> DataFrame:
     return fit.select(F.least("node", "other_node").alias("u"), F.greatest("node", "other_node").alias("v")).distinct()
 
 
+#: Nodes of other roots that a node meets at a token, on average, up to which all are compared at once.
+FEW = 1000
+
+
 def completed(links: DataFrame, postings: DataFrame, sets_of, threshold: float) -> DataFrame:
     """links, and all others between nodes that they leave apart. sets_of: gives (node, hashes) of wanted nodes.
 
@@ -304,7 +308,7 @@ def completed(links: DataFrame, postings: DataFrame, sets_of, threshold: float)
         rows, all_pairs = apart.agg(F.count("*"), F.sum((F.col("n") * F.col("n") - F.col("own")) / F.col("n"))).first()
         if not rows:
             return links
-        if all_pairs <= 32 * rows:
+        if all_pairs <= FEW * rows:
             break
         order = Window.partitionBy("token").orderBy("root", "node")
         met = apart.withColumns({f"other_{c}": F.lag(c).over(order) for c in names})

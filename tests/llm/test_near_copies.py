@@ -158,9 +158,10 @@ def alternating(rng, n=120, chunks=40):
     return texts
 
 
-@pytest.mark.parametrize("found", [0, 0.5])
-def test_completion_finds_every_link(spark, found):
-    """Whatever share of the links the first pass has brought, and with all shingles, some or none put last."""
+@pytest.mark.parametrize(("found", "few"), [(0, 0), (0.5, 1000)])
+def test_completion_finds_every_link(spark, monkeypatch, found, few):
+    """Whatever share of the links the first pass has brought, by rounds or at once, and with all shingles, some or none put last."""
+    monkeypatch.setattr(near_copies, "FEW", few)
     rng = random.Random(9)
     texts = alternating(rng) + corpus() + family(rng, 20)
     sets = [shingle_set(t) for t in texts]
