@@ -183,3 +183,44 @@ def test_links_that_the_first_pass_misses_are_found(spark, monkeypatch):
     texts = corpus() + alternating(random.Random(3))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == sorted(kept_by_brute_force(texts))
+
+
+def test_parities_part_no_near_copies():
+    """They differ in no more bits than the sets have shingles apart, whatever the sizes."""
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 40, 300, 513, 4000):
+        for changed in (0, 1, size // 20, size // 4):
+            a = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+            b = np.unique(np.concatenate([a[changed:], rng.integers(0, 1 << 63, changed // 2, np.uint64)]))
+            apart = len(np.setxor1d(a, b))
+            for bits in (near_copies.PARITY_BITS, near_copies.WIDE_BITS):
+                x, y = near_copies.parity(a, bits).view(np.uint64), near_copies.parity(b, bits).view(np.uint64)
+                assert len(x) == bits // 64 and int(np.bitwise_count(x ^ y).sum()) <= apart
+
+
+@pytest.mark.parametrize("length", [250, 2500])
+def test_a_family_that_is_not_near_enough_brings_few_pairs(spark, monkeypatch, length):
+    """Pairs whose sets are read grow with the texts, not with the square of the family; none that is near is lost."""
+    rng, compared = random.Random(length), []
+    frame, texts = prose(rng, length), []
+    for k in range(120):
+        own = length // 6
+        words = frame[: length // 3] + [f"own{k}x{j}" for j in range(own)] + frame[length // 3 + own :]
+        near = list(words)
+        near[rng.randrange(length)] = f"new{k}"
+        texts += [" ".join(words), " ".join(near)]
+    sets = [shingles(t) for t in texts]
+    assert jaccard(sets[0], sets[1]) > 0.9 and 0.65 < jaccard(sets[0], sets[2]) < 0.75
+    read = near_copies.joined
+    monkeypatch.setattr(near_copies, "joined", lambda pairs, *more: compared.append(pairs.count()) or read(pairs, *more))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == list(range(0, 240, 2))
+    assert sum(compared) <= 4 * len(texts)
+
+
+def test_rows_to_drop_may_be_many(spark, monkeypatch):
+    """The same rows stay if their keys are shuffled and not broadcast."""
+    monkeypatch.setattr(near_copies, "MOST_BROADCAST", 0)
+    texts = corpus()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == sorted(kept_by_brute_force(texts))
