@@ -252,6 +252,8 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
 
 #: Keys of texts to verify or to drop that are broadcast; more are joined by a shuffle of the texts.
 MOST_BROADCAST = 500_000
+#: Halves of keys of rows to judge that are broadcast, which keeps the texts of all other rows out of a shuffle.
+MOST_HALVES = 4_000_000
 
 
 def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -433,7 +435,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .select(F.col("key").alias("__key"), (F.col("key") == F.col("first")).alias("stays"))
     )
     judged = F.broadcast(judged) if judged.count() <= MOST_BROADCAST else judged
-    keyed = docs.withColumn("__key", row_key(id_col, text_col))
-    single = keyed.join(judged, "__key", "left_anti")
-    repeated = keyed.join(judged.where("stays"), "__key", "left_semi").dropDuplicates(["__key"])
+    halves = cut(judged.select(F.col("__key.a").alias("__half")).distinct())
+    halves = F.broadcast(halves) if halves.count() <= MOST_HALVES else halves
+    keyed = docs.withColumn("__key", row_key(id_col, text_col)).withColumn("__half", F.col("__key.a"))
+    met = keyed.join(halves, "__half", "left_semi")
+    single = keyed.join(halves, "__half", "left_anti").unionByName(met.join(judged, "__key", "left_anti"))
+    repeated = met.join(judged.where("stays"), "__key", "left_semi").dropDuplicates(["__key"])
     return single.unionByName(repeated).select(*docs.columns)

@@ -224,3 +224,15 @@ def test_rows_to_drop_may_be_many(spark, monkeypatch):
     texts = corpus()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == sorted(kept_by_brute_force(texts))
+
+
+def test_rows_that_share_half_a_key_with_one_to_drop_stay(spark, monkeypatch):
+    """As if all first halves of keys were alike: then the whole key decides."""
+    key = near_copies.row_key
+    monkeypatch.setattr(near_copies, "row_key", lambda *row: F.struct(F.lit(1).cast("long").alias("a"), key(*row)["b"].alias("b")))
+    rng = random.Random(8)
+    a, b = (" ".join(prose(rng, 60)) for _ in range(2))
+    docs = spark.createDataFrame([(1, a), (2, a), (3, b), (4, None), (4, None)], "doc_id long, text string")
+    for most in (near_copies.MOST_BROADCAST, 0):
+        monkeypatch.setattr(near_copies, "MOST_BROADCAST", most)
+        assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == [1, 3, 4]
