@@ -250,21 +250,27 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, hashes array<long>")
 
 
-#: Keys of texts to verify or to drop that are broadcast; more are joined by a shuffle of the texts.
+#: Keys of texts to verify or to drop that are broadcast; more are joined by a shuffle of the texts in question.
 MOST_BROADCAST = 500_000
 #: Halves of keys of rows to judge that are broadcast, which keeps the texts of all other rows out of a shuffle.
 MOST_HALVES = 4_000_000
 
 
+def halves(keyed: DataFrame, key: str = "key") -> DataFrame:
+    """(__half) of the rows' keys, to be broadcast up to MOST_HALVES."""
+    found = cut(keyed.select(F.col(f"{key}.a").alias("__half")).distinct())
+    return F.broadcast(found) if found.count() <= MOST_HALVES else found
+
+
 def sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(node, hashes) of the wanted nodes, read from one of their rows."""
     keys = cut(nodes.join(wanted, "node").select("node", F.col("first.key").alias("key")))
-    keys = F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
-    texts = (
-        docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-        .join(keys, "key")
-        .select("node", "text")
-    )
+    rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    if keys.count() <= MOST_BROADCAST:
+        keys = F.broadcast(keys)
+    else:
+        rows = rows.withColumn("half", F.col("key.a")).join(halves(keys).withColumnRenamed("__half", "half"), "half", "left_semi")
+    texts = rows.join(keys, "key").select("node", "text")
     return cut(shingle_sets(texts, shingle))  # a row repeated in docs repeats its node's
 
 
@@ -434,11 +440,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .where("key != first or n > 1")
         .select(F.col("key").alias("__key"), (F.col("key") == F.col("first")).alias("stays"))
     )
+    half = halves(judged, "__key")
     judged = F.broadcast(judged) if judged.count() <= MOST_BROADCAST else judged
-    halves = cut(judged.select(F.col("__key.a").alias("__half")).distinct())
-    halves = F.broadcast(halves) if halves.count() <= MOST_HALVES else halves
     keyed = docs.withColumn("__key", row_key(id_col, text_col)).withColumn("__half", F.col("__key.a"))
-    met = keyed.join(halves, "__half", "left_semi")
-    single = keyed.join(halves, "__half", "left_anti").unionByName(met.join(judged, "__key", "left_anti"))
+    met = keyed.join(half, "__half", "left_semi")
+    single = keyed.join(half, "__half", "left_anti").unionByName(met.join(judged, "__key", "left_anti"))
     repeated = met.join(judged.where("stays"), "__key", "left_semi").dropDuplicates(["__key"])
     return single.unionByName(repeated).select(*docs.columns)
